@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from duecall.llm import media
+from duecall.llm import bpe, media
 
 
 def queries() -> dict:
-    return {"op8_media_columns": media.query}
+    return {"op2_bpe": bpe.query, "op8_media_columns": media.query}
 
 
 def oracle_sql() -> dict:
