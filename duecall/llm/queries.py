@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from duecall.llm import bpe, media
+from duecall.llm import bpe, media, mixing, quality
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.query, "op8_media_columns": media.query}
+    return {"op2_bpe": bpe.query, "op5_mixing": mixing.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_mixing": mixing.ORACLE, "op10_quality_rules": quality.ORACLE}
