@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from duecall.llm import bpe, media, mixing, quality
+from duecall.llm import bpe, media, mixing, quality, warc
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.query, "op5_mixing": mixing.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
+    return {"op2_bpe": bpe.query, "op3_warc": warc.query, "op5_mixing": mixing.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict:
-    return {"op5_mixing": mixing.ORACLE, "op10_quality_rules": quality.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op10_quality_rules": quality.ORACLE}
