@@ -126,7 +126,8 @@ def cleaned(docs: DataFrame, limit: int = MAX_DOCUMENTS) -> DataFrame:
     verdict = judged(docs, limit).filter("kept").groupBy(*_DOC).agg(F.first("removed_at").alias("_at"))
     verdict = verdict.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
     out = docs.withColumn("_key", text_key(F.col("text"))).join(verdict, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_at", i)), "\n")
+    kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_at")), lambda i: F.get(x, i))
+    left = F.array_join(let(F.split("text", "\n"), kept), "\n")
     return out.withColumn("text", F.when(F.size("_at") > 0, left).otherwise(F.col("text"))).select(*docs.columns)
 
 

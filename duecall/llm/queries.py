@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from duecall.llm import bpe, media, mixing, pii, quality, warc
+from duecall.llm import bpe, line_dedup, media, mixing, pii, quality, warc
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
+    return {"op1_line_dedup": line_dedup.query, "op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict:
