@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from duecall.llm import bpe, line_dedup, media, mixing, near_dup, pii, quality, warc
+from duecall.llm import bpe, licenses, line_dedup, media, mixing, near_dup, pii, quality, warc
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.query, "op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op7_near_dup": near_dup.query, "op8_media_columns": media.query, "op10_quality_rules": quality.query}
+    return {"op1_line_dedup": line_dedup.query, "op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op7_near_dup": near_dup.query, "op8_media_columns": media.query, "op9_license_scans": licenses.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op7_near_dup": near_dup.ORACLE, "op10_quality_rules": quality.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_license_scans": licenses.oracle(), "op10_quality_rules": quality.ORACLE}
