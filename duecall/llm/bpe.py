@@ -242,22 +242,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encodes each text, decodes the ids and returns both sides' digests: the round trip
-    stays in one worker, so that neither ids nor texts travel back."""
+TOKENISED = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+
+
+def tokenised(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Encodes each text, decodes the ids and returns both sides' digests, and the ids if
+    wanted: the round trip stays in one worker, so that no text travels back."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _made(spec.value)
         for b in batches:
             ids = bpe.encode([x or "" for x in b.column(1).to_pylist()])
-            shas = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            raw = [x.astype("<u4").tobytes() for x in ids]
+            shas = [hashlib.sha256(x).hexdigest() for x in raw]
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TOKENISED.split(", ")])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENISED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir))
+    return tokenised(documents(spark, sf_dir), with_ids=False).drop("ids")

@@ -133,6 +133,18 @@ def curriculum(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def training_order(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it, in training order. A
+    document at which a source's target ends is there whole; rows equal in doc_id and text are placed alike."""
+    placed = mixed(docs.select("doc_id", "text", "source"), mix).filter(F.size("placements") > 0)
+    placed = placed.groupBy("doc_id", "tkey").agg(F.first("placements").alias("_p")).withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    rows = keyed.join(placed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")))
+    rows = rows.select(*docs.columns, F.inline("_p"))
+    order = ("position", "doc_id", "copy")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(documents(spark, sf_dir))
     first = F.get("placements", F.lit(0))["position"]

@@ -208,11 +208,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs, all columns, with one document of each component: the one with the smallest doc_id."""
+    """docs, all columns, with one document of each component: the one with the smallest doc_id, once if its row repeats."""
     kept = grouped(docs.select("doc_id", "text"), words).filter("doc_id is null or doc_id = component_id")
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct()
     keyed = docs.withColumn("_key", text_key(F.col("text")))
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_semi").select(*docs.columns)
+    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 ORACLE = r"""

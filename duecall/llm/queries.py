@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from duecall.llm import bpe, licenses, line_dedup, media, mixing, near_dup, pii, quality, warc
+import corpus_pipeline
+from duecall.llm import bpe, chat, licenses, line_dedup, media, mixing, near_dup, pii, quality, warc
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.query, "op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op7_near_dup": near_dup.query, "op8_media_columns": media.query, "op9_license_scans": licenses.query, "op10_quality_rules": quality.query}
+    return {"op1_line_dedup": line_dedup.query, "op2_bpe": bpe.query, "op3_warc": warc.query, "op4_pii": pii.query, "op5_mixing": mixing.query, "op6_chat_formatting": chat.query, "op7_near_dup": near_dup.query, "op8_media_columns": media.query, "op9_license_scans": licenses.query, "op10_quality_rules": quality.query, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
