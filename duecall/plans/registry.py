@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    return ()
+    from duecall.plans import catalogue
+
+    return (catalogue,)
 
 
 def queries() -> dict:
