@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from duecall.plans import catalogue
+    from duecall.plans import catalogue, lookups, searches
 
-    return (catalogue,)
+    return catalogue, searches, lookups
 
 
 def queries() -> dict:
