@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a an and are as at by for from in into is of on or that the to with".split()
 
 
-@F.pandas_udf("string")
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
-
-
 def folded(text: Column) -> Column:
     """Compatibility-decomposed, without accents; for ingest only, as it runs in Python."""
-    return _nfkd(text)
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
+
+    return fold(text)
 
 
 def squeezed(text: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from duecall.plans import catalogue, lookups, searches
+    from duecall.plans import catalogue, history, lookups, pages, searches
 
-    return catalogue, searches, lookups
+    return catalogue, searches, lookups, pages, history
 
 
 def queries() -> dict:
