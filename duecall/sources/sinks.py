@@ -17,19 +17,21 @@ def snapshot(df: DataFrame, folder: str, version: str) -> str:
     """Writes a new version beside the old ones and then moves the pointer file; readers see one or the other."""
     spark, path = df.sparkSession, f"{folder}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    temp, fs = _fs(spark, f"{folder}/_CURRENT.tmp")
+    temp, fs = _fs(spark, f"{folder}/CURRENT.tmp")
     out = fs.create(temp, True)
     out.write(bytearray(version.encode()))
     out.close()
-    target, _ = _fs(spark, f"{folder}/_CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(temp, target)
+    target, _ = _fs(spark, f"{folder}/CURRENT")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(temp), fs.makeQualified(target), how)
     return path
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.text(f"{folder}/_CURRENT").first()[0]
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
     return spark.read.parquet(f"{folder}/v={version}")
 
 

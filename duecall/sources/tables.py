@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CALL = T.StructType.fromDDL(
-    "id string, type string, name string, acronym string, domain string, topics array<string>, publisher string, source string, status string, callStatus string,"
-    "deadline string, closesAt string, expiresAt string, proposalDeadline string, rolling boolean, deadlineTBD boolean, url string, cfpUrl string, officialCfpUrl string"
+_TEXTS = "id type name acronym domain publisher source status callStatus deadline closesAt expiresAt proposalDeadline url cfpUrl officialCfpUrl".split()
+CALL = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TEXTS]
+    + [T.StructField("topics", T.ArrayType(T.StringType())), T.StructField("rolling", T.BooleanType()), T.StructField("deadlineTBD", T.BooleanType())]
 )
 
 
