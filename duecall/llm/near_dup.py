@@ -109,8 +109,12 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(run, SIGNED)
 
 
+#: Up to so many keys, 16 bytes each, are sent to all executors to find their texts; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, n, shingles) of the keys in wanted, a frame of (tkey, key) with one text for each key."""
+    """(key, shingles) of the keys in wanted, a written frame of (tkey, key) with one text for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -118,7 +122,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [shingles(x or "", words, hashes) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    texts = docs.select(text_key(F.col("text")).alias("tkey"), "text").join(wanted, "tkey").select("key", "text")
+    few = wanted.count() <= BROADCAST_KEYS
+    texts = docs.select(text_key(F.col("text")).alias("tkey"), "text").join(F.broadcast(wanted) if few else wanted, "tkey").select("key", "text")
     return texts.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
 
@@ -139,14 +144,27 @@ def pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that are links: first those that agree in MATCHES coordinates, then by the full sets."""
+def alike(a_n: Column, b_n: Column, a_signature: Column, b_signature: Column) -> Column:
+    """Whether two classes can be linked: sizes within 0.8, and MATCHES coordinates that agree."""
+    return (F.least(a_n, b_n) * 5 >= F.greatest(a_n, b_n) * 4) & (F.size(F.array_intersect(a_signature, b_signature)) >= MATCHES)
+
+
+def side(t: DataFrame, c: str) -> DataFrame:
+    return t.select(*(F.col(x).alias(c if x == "key" else f"{c}_{x}") for x in t.columns))
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike, with their sizes."""
     sig = classes.select("key", "n", "signature")
-    side = lambda t, c, s: t.select(*(F.col(x).alias(c if x == "key" else f"{s}_{x}") for x in t.columns))
-    pairs = pairs.join(side(sig, "a", "a"), "a").join(side(sig, "b", "b"), "b")
-    pairs = pairs.filter((F.least("a_n", "b_n") * 5 >= F.greatest("a_n", "b_n") * 4) & (F.size(F.array_intersect("a_signature", "b_signature")) >= MATCHES))
-    likely = written(pairs.select("a", "b", "a_n", "b_n"), "likely")
-    both = likely.join(side(sets, "a", "a"), "a").join(side(sets, "b", "b"), "b")
+    both = pairs.join(side(sig, "a"), "a").join(side(sig, "b"), "b")
+    return both.filter(alike(F.col("a_n"), F.col("b_n"), F.col("a_signature"), F.col("b_signature"))).select("a", "b", "a_n", "b_n")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The links among pairs (a, b, a_n, b_n), a written frame: by the full sets, made from the texts of these alone."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = written(full_sets(docs, written(classes.select("tkey", "key").join(keys, "key"), "wanted"), words), "sets")
+    both = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
     return both.filter(common * 100 >= (F.col("a_n") + F.col("b_n") - common) * 80).select("a", "b")
 
@@ -179,19 +197,21 @@ def grouped(docs: DataFrame, words: int) -> DataFrame:
     classes = rows.filter(f"n >= {SMALLEST}").join(one, "key").filter("tkey = _t").select("key", "n", "tkey", "signature")
     classes = written(classes.dropDuplicates(["key"]), "signatures")
     lists = written(postings(classes), "postings")
-    wanted = classes.join(lists.select("key").distinct(), "key", "left_semi").select("tkey", "key")
-    sets = written(full_sets(docs, written(wanted, "wanted"), words), "sets")
     stars = lists.filter("key <> centre").select(*pair(F.col("key"), F.col("centre"))).distinct()
-    links = written(confirmed(written(stars, "stars"), classes, sets), "star_links")
+    links = written(confirmed(written(likely(written(stars, "stars"), classes), "likely"), classes, docs, words), "star_links")
     found = components(links)
     # lists in which more than one component is left
     named = lists.join(found, "key", "left").select("token", "key", F.coalesce("component", "key").alias("component"))
     named = written(named, "named")
     open_lists = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    left = written(named.join(written(open_lists, "open"), "token", "left_semi"), "left")
-    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"))
-    cross = left.join(other, "token").filter("component < c2").select(*pair(F.col("key"), F.col("k2"))).distinct()
-    more = written(confirmed(written(cross, "cross"), classes, sets), "cross_links")
+    left = named.join(written(open_lists, "open"), "token", "left_semi")
+    left = written(left.join(classes.select("key", "n", "signature"), "key"), "left")
+    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
+    fit = (F.col("component") < F.col("c2")) & alike(F.col("n"), F.col("n2"), F.col("signature"), F.col("s2"))
+    met = left.join(other, (left["token"] == other["token"]) & fit)
+    first = F.col("key") < F.col("k2")
+    cross = met.select(*pair(F.col("key"), F.col("k2")), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("a_n"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("b_n")).distinct()
+    more = written(confirmed(written(cross, "cross"), classes, docs, words), "cross_links")
     if not more.isEmpty():
         found = components(links.union(more))
     # the smallest doc_id of each component; keys with one row of their own need no entry
