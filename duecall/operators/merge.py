@@ -76,10 +76,10 @@ def entity_merge(cards: DataFrame, groups: DataFrame, overlay: list[str]) -> Dat
     aren't mirrored; all against the cards as they were. cards: (card_id, group_id, title_key,
     acronym, year, mirrored, ...), groups: (group_id, title_key, acronym, year, ...overlay).
     """
-    first = lambda on: F.min("card_id")
-    by_id = cards.filter("group_id is not null").groupBy("group_id").agg(first(0).alias("m1"))
-    by_title = cards.filter("title_key <> ''").groupBy("title_key").agg(first(0).alias("m2"))
-    by_name = cards.filter("not mirrored and length(acronym) >= 3").groupBy("acronym", "year").agg(first(0).alias("m3"))
+    first = F.min("card_id")
+    by_id = cards.filter("group_id is not null").groupBy("group_id").agg(first.alias("m1"))
+    by_title = cards.filter("title_key <> ''").groupBy("title_key").agg(first.alias("m2"))
+    by_name = cards.filter("not mirrored and length(acronym) >= 3").groupBy("acronym", "year").agg(first.alias("m3"))
     matched = groups.join(by_id, "group_id", "left").join(by_title, "title_key", "left").join(by_name, ["acronym", "year"], "left")
     stage = F.when(F.col("m1").isNotNull(), "id").when(F.col("m2").isNotNull(), "title").when(F.col("m3").isNotNull(), "fuzzy").otherwise("new")
     matched = matched.withColumns({"card_id": F.coalesce("m1", "m2", "m3"), "stage": stage}).drop("m1", "m2", "m3")
