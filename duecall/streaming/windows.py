@@ -54,22 +54,18 @@ def rate_limited(events: DataFrame, keys: list[str], seconds: int, limit: int) -
 
 
 def rate_limited_stream(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
-    """The same on a stream: the state is a window's start and count, and lapses when the window has."""
+    """The same on a stream: a key's state is two numbers, its window's start and its count."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         start, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         times = rows["ts"].astype("int64").floordiv(1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1).tolist()
         out, start, count = folded(times, start, count, seconds * 1_000_000, limit)
         state.update((start, count))
-        state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "allowed": [a for _, a in out]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "start long, count long", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
