@@ -5,9 +5,9 @@ or more than 30 % of the words in 8-word windows that the text holds twice or mo
 
 Lines across documents: lines are normalised (lower case, white space collapsed) and
 hashed with the document's host. A line is boilerplate where more than ``MAX_DOCUMENTS``
-distinct documents of one host hold it. At the line, documents of equal text, or in
-which it has the same neighbours, count as one: copies of a document don't make its
-lines boilerplate. Boilerplate lines are removed; a document is depleted, and rejected,
+distinct documents of one host hold it, whatever stands around it. Documents of equal
+text count as one: exact copies of a document don't make its lines boilerplate. Near
+copies count each. Boilerplate lines are removed; a document is depleted, and rejected,
 where fewer than ``LEAST_LEFT`` % of its words are left.
 
 A null text has no words and fails the base rules; a null source is a host of its own.
@@ -77,14 +77,13 @@ def normal(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, at, line, context, words): the normalised lines with a word, by number in
-    the text; line is hashed with the host, context has the neighbours' hash."""
+    """(doc_id, tkey, at, line, words): the normalised lines with a word, by number in
+    the text; line is hashed with the host."""
 
     def rows(found: Column) -> Column:
-        row = lambda x, i: F.struct(
+        row = lambda x: F.struct(
             x["at"].alias("at"),
             F.xxhash64(F.col("source").isNull(), F.col("source"), x["line"]).alias("line"),
-            F.xxhash64(F.coalesce(F.get(found, i - 1)["line"], F.lit("")), F.coalesce(F.get(found, i + 1)["line"], F.lit(""))).alias("context"),
             (F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) + 1).cast("long").alias("words"),
         )
         return F.transform(found, row)
@@ -96,8 +95,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def boilerplate(found: DataFrame, limit: int = MAX_DOCUMENTS) -> DataFrame:
     """The lines, hashed with their host, that more than limit distinct documents hold."""
-    votes = found.groupBy("line", "tkey").agg(F.min_by("context", "at").alias("context"))
-    return votes.groupBy("line").agg(F.count_distinct("context").alias("n")).filter(F.col("n") > limit).select("line")
+    votes = found.select("line", "tkey").distinct()
+    return votes.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("line")
 
 
 def removed(docs: DataFrame, limit: int = MAX_DOCUMENTS) -> DataFrame:

@@ -25,6 +25,18 @@ def test_boilerplate_copies_and_depletion(spark):
     assert out[0] == f"{words(0)}\nfoot 0" and out[100] == f"home page\n{words(0)}" and 301 not in out
 
 
+def test_block_of_lines_with_the_same_neighbours(spark):
+    block = ["cookie notice", "we use cookies", "read our policy", "all rights reserved"]
+    rows = [(k, "\n".join([words(k), *block]), "a") for k in range(26)] + [(100 + k, "\n".join([words(k), *block]), "b") for k in range(25)]
+    rows += [(200 + k, "\n".join([" ".join(block * 10), words(k, 5)]), "d") for k in range(26)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert all(got[k].kept and got[k].n_removed_lines == 4 and got[k].words_left == 25 for k in range(26))
+    assert all(got[100 + k].n_removed_lines == 0 for k in range(25))
+    assert all(got[200 + k].n_removed_lines == 1 and not got[200 + k].kept for k in range(26))
+    assert {r.doc_id: r.text for r in quality.cleaned(df).collect()}[0] == words(0)
+
+
 def test_repeat_words_as_brute_force(spark):
     texts = ["a b c d e f g h " * 3, "a " * 9, "a " * 8, words(1) + " " + words(1)[:40], "x y " * 10 + words(2), words(3, 3000) + " a" * 20]
     df = spark.createDataFrame([(k, t, "s", "") for k, t in enumerate(texts)], SCHEMA)
