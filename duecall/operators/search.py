@@ -113,24 +113,29 @@ def decode_cursor(cursor: str) -> int:
     return n if 0 <= n <= 10_000 else 0
 
 
-def diversified(ranked: DataFrame, group: str, most: int, bonus: float = 0.7, least: float = 0.2) -> DataFrame:
-    """Greedy re-ranking of each group's first ``most`` rows: the next one has the largest
+def diversified(ranked: DataFrame, group: str, limit: int, bonus: float = 0.7, least: float = 0.2) -> DataFrame:
+    """Greedy choice of ``limit`` of each group's rows, out of all: the next one has the largest
     score + bonus * novelty, novelty being the best 1 / (1 + uses) of its topics, and least at least.
 
-    The choice depends on all before it, so it runs by group in Python, on rows bounded by most.
+    Rows of one set of topics are equally novel at any time and so taken in their order:
+    the first ``limit`` of each set are all that can win. Ties keep the order of the step before,
+    as a stable sort does. The choice depends on all before it, so it runs by group in Python,
+    on rows bounded by limit times the sets.
     """
-    top = Window.partitionBy(group).orderBy(F.desc("score"), F.desc("year"), "title", "id")
-    head = ranked.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= most).select(group, "id", "topics", "score", "_r")
+    order = (F.desc("score"), F.desc("year"), "title", "id")
+    rows = ranked.withColumn("_set", F.array_join(F.transform(F.sort_array(F.coalesce("topics", F.array().cast("array<string>"))), lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ","))
+    head = capped(rows, [group, "_set"], limit, *order)
+    head = head.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).select(group, "id", "topics", "score", "_r")
 
     def pick(batch: pd.DataFrame) -> pd.DataFrame:
         rows = batch.sort_values("_r").to_dict("records")
+        topics = lambda r: [] if r["topics"] is None else r["topics"]
         used: dict[str, int] = {}
         out = []
-        while rows:
-            worth = [r["score"] + bonus * max([least, *(1 / (1 + used.get(t, 0)) for t in r["topics"])]) for r in rows]
-            best = max(range(len(rows)), key=lambda k: (worth[k], -k))
-            row = rows.pop(best)
-            for t in row["topics"]:
+        while rows and len(out) < limit:
+            rows.sort(key=lambda r: -(r["score"] + bonus * max([least, *(1 / (1 + used.get(t, 0)) for t in topics(r))])))
+            row = rows.pop(0)
+            for t in topics(row):
                 used[t] = used.get(t, 0) + 1
             out.append((row[group], row["id"], len(out) + 1))
         return pd.DataFrame(out, columns=[group, "id", "ord"])

@@ -83,6 +83,26 @@ def test_fold_prefers_the_richer_and_keeps_order(spark):
     assert {(r.id, r.duplicate_of) for r in gone.collect()} == {(1, 3), (2, 3)}
 
 
+def test_diversity_chooses_out_of_all_rows(spark):
+    rows = [("v", k, ["a"] if k < 60 else ["b"] if k < 63 else ["a", "c"], round(1 - k / 1000, 4), 2000, f"t{k:02}") for k in range(70)]
+    rows += [("w", 100 + k, [["x"], ["y"], ["x", "y"], None][k % 4], round(0.5 - k // 8 / 10, 4), 2000, f"t{k:02}") for k in range(40)]
+    df = spark.createDataFrame(rows, "venue string, id long, topics array<string>, score double, year int, title string")
+    got = {}
+    for r in search.diversified(df, "venue", 9).orderBy("ord").collect():
+        got.setdefault(r.venue, []).append(r.id)
+    for venue in "vw":
+        left = sorted((r for r in rows if r[0] == venue), key=lambda r: (-r[3], -r[4], r[5], r[1]))
+        used, want = {}, []
+        while left and len(want) < 9:
+            left.sort(key=lambda r: -(r[3] + 0.7 * max([0.2, *(1 / (1 + used.get(t, 0)) for t in r[2] or [])])))
+            row = left.pop(0)
+            want.append(row[1])
+            for t in row[2] or []:
+                used[t] = used.get(t, 0) + 1
+        assert got[venue] == want
+    assert got["v"][1] == 60
+
+
 def test_bibtex_strings_and_braces():
     (kind, key, fields), = parsers.bibtex_entries('@misc{x, a = {b {c} d}, e = "f, g", h = 12 }')
     assert (kind, key, fields) == ("misc", "x", {"a": "b {c} d", "e": "f, g", "h": "12"})
