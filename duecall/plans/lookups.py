@@ -105,12 +105,8 @@ def theta_contains(spark: SparkSession, d: str) -> DataFrame:
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4))"
 
 
-@query(f"""WITH t AS (SELECT DISTINCT p_name AS n, p_brand AS b FROM part WHERE p_partkey <= 300), x AS (SELECT n, b, {_TOK.format('n')} AS w FROM t), p AS (SELECT x.n AS a, y.n AS b, list_intersect(x.w, y.w) AS i, x.w AS v, y.w AS w FROM x JOIN x y ON x.b = y.b AND x.n < y.n)
-SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
- round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
-def similarity_family(spark: SparkSession, d: str) -> DataFrame:
-    """The four set similarities on names that share a brand."""
-    x = table(spark, d, "part").filter("p_partkey <= 300").select(F.col("p_name").alias("n"), F.col("p_brand").alias("b")).distinct()
+def _similarities(parts: DataFrame) -> DataFrame:
+    x = parts.select(F.col("p_name").alias("n"), F.col("p_brand").alias("b")).distinct()
     x = x.withColumn("w", F.array_distinct(T.tokens(T.name_text(F.col("n")), 4, digits=False, stop=[])))
     y = x.select(F.col("n").alias("n2"), "b", F.col("w").alias("w2"))
     both = x.join(y, "b").filter("n < n2")
@@ -119,6 +115,22 @@ def similarity_family(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("n").alias("left_name"), F.col("n2").alias("right_name"), *(v.alias(k) for k, v in rounded.items())).distinct()
 
 
+@query(f"""WITH t AS (SELECT DISTINCT p_name AS n, p_brand AS b FROM part WHERE p_partkey <= 300), x AS (SELECT n, b, {_TOK.format('n')} AS w FROM t), p AS (SELECT x.n AS a, y.n AS b, list_intersect(x.w, y.w) AS i, x.w AS v, y.w AS w FROM x JOIN x y ON x.b = y.b AND x.n < y.n)
+SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
+ round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
+def similarity_family(spark: SparkSession, d: str) -> DataFrame:
+    """The four set similarities on names that share a brand; its SQL takes the first 300 parts."""
+    return _similarities(table(spark, d, "part").filter("p_partkey <= 300"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT p_name AS n, p_brand AS b FROM part), x AS (SELECT n, b, {_TOK.format('n')} AS w FROM t), p AS (SELECT x.n AS a, y.n AS b, list_intersect(x.w, y.w) AS i, x.w AS v, y.w AS w FROM x JOIN x y ON x.b = y.b AND x.n < y.n)
+SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
+ round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
+def similarity_family_all(spark: SparkSession, d: str) -> DataFrame:
+    """The four set similarities on the names of all parts that share a brand."""
+    return _similarities(table(spark, d, "part"))
+
+
 @query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 8)) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 8)) AS w FROM documents),
 bw AS (SELECT item_id, unnest(q) AS t FROM b), dw AS (SELECT doc_id, unnest(w) AS t FROM d), m AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN dw USING (t) GROUP BY ALL)
 SELECT item_id, doc_id, round(n / len(q)::DOUBLE, 6) AS ratio FROM m JOIN b USING (item_id) WHERE len(q) > 0 AND n / len(q)::DOUBLE >= 0.6""")
