@@ -244,6 +244,23 @@ def entity_merge_three_stage(spark: SparkSession, d: str) -> DataFrame:
     return merge.entity_merge(cards, groups, ["track"])
 
 
+@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part),
+g AS (SELECT 'g' || (p_partkey + 3) AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 70 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size + 25 AS year, 'live ' || p_type AS track FROM part),
+m AS (SELECT g.*, i.m1, t.m2, n.m3 FROM g LEFT JOIN (SELECT group_id, min(card_id) AS m1 FROM c WHERE group_id IS NOT NULL GROUP BY 1) i USING (group_id) LEFT JOIN (SELECT title_key, min(card_id) AS m2 FROM c WHERE title_key <> '' GROUP BY 1) t USING (title_key) LEFT JOIN (SELECT acronym, year, min(card_id) AS m3 FROM c WHERE NOT mirrored AND length(acronym) >= 3 GROUP BY 1, 2) n USING (acronym, year)),
+s AS (SELECT *, coalesce(m1, m2, m3) AS card_id, CASE WHEN m1 IS NOT NULL THEN 'id' WHEN m2 IS NOT NULL THEN 'title' WHEN m3 IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS stage FROM m),
+h AS (SELECT * FROM s WHERE card_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY CASE stage WHEN 'id' THEN 1 WHEN 'title' THEN 2 ELSE 3 END, group_id) = 1)
+SELECT c.card_id, coalesce(h.group_id, c.group_id) AS group_id, coalesce(h.stage, 'kept') AS stage, coalesce(h.track, c.track) AS track FROM c LEFT JOIN h USING (card_id) UNION ALL SELECT NULL, group_id, stage, track FROM s WHERE card_id IS NULL""")
+def entity_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """entity_merge_three_stage over all parts, once as cards and once, with shifted ids and years, as groups; the acronym is long enough for the third stage."""
+    p = table(spark, d, "part")
+    key = lambda m: F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", ""), (F.col("p_partkey") % m).cast("string")).alias("title_key")
+    group = lambda shift: F.concat(F.lit("g"), (F.col("p_partkey") + shift).cast("string"))
+    short = F.lower(F.substring("p_brand", 5, 4)).alias("acronym")
+    cards = p.select(F.col("p_partkey").alias("card_id"), F.when(F.col("p_partkey") % 5 == 0, group(0)).alias("group_id"), key(40), short, F.col("p_size").alias("year"), (F.col("p_partkey") % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"))
+    groups = p.select(group(3).alias("group_id"), key(70), short, (F.col("p_size") + 25).alias("year"), F.concat(F.lit("live "), F.col("p_type")).alias("track"))
+    return merge.entity_merge(cards, groups, ["track"])
+
+
 @query("""WITH a AS (SELECT DISTINCT p_brand AS b, p_name AS n FROM part WHERE p_partkey % 10 = 1), r AS (SELECT p_brand AS b, p_name AS n, min(p_partkey) AS ord FROM part WHERE p_partkey % 10 = 2 GROUP BY 1, 2),
 h AS (SELECT a.b, a.n, r.n AS m, ord, len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE AS s FROM a JOIN r ON a.b = r.b WHERE len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE >= 0.5)
 SELECT b AS brand, n AS name, m AS matched, s AS score FROM h QUALIFY row_number() OVER (PARTITION BY b, n ORDER BY s DESC, ord) = 1""")
@@ -255,6 +272,19 @@ def argmax_registry_match(spark: SparkSession, d: str) -> DataFrame:
     return lookup.best_match(a, r, "_k", ["brand"], score, 0.5, "ord").select("brand", "name", "matched", "score")
 
 
+@query("""WITH a AS (SELECT DISTINCT p_brand AS b, p_name AS n FROM part), r AS (SELECT y.p_brand AS b, x.p_name AS n, min(x.p_partkey) AS ord FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1 GROUP BY 1, 2),
+h AS (SELECT a.b, a.n, r.n AS m, ord, len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE AS s FROM a JOIN r ON a.b = r.b WHERE len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE >= 0.5)
+SELECT b AS brand, n AS name, m AS matched, s AS score FROM h QUALIFY row_number() OVER (PARTITION BY b, n ORDER BY s DESC, ord) = 1""")
+def argmax_registry_all(spark: SparkSession, d: str) -> DataFrame:
+    """argmax_registry_match over all names; the registry has each part's name under the brand of the part after it."""
+    p = table(spark, d, "part")
+    a = p.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct().withColumn("_k", F.concat_ws("|", "brand", "name"))
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("brand"))
+    r = p.select("p_partkey", "p_name").join(after, "p_partkey").groupBy("brand", F.col("p_name").alias("matched")).agg(F.min("p_partkey").alias("ord"))
+    score = F.size(F.array_intersect(F.split("name", " "), F.split("matched", " "))) / F.lit(2.0)
+    return lookup.best_match(a, r, "_k", ["brand"], score, 0.5, "ord").select("brand", "name", "matched", "score")
+
+
 @query("WITH t AS (SELECT c_mktsegment AS s, c_nationkey AS n, count(*) AS c FROM customer GROUP BY ALL) SELECT s AS segment, n AS nation, c AS n, count(*) OVER (PARTITION BY s) > 2 AS shared, CASE WHEN lead(c) OVER (PARTITION BY s ORDER BY c DESC, n) IS NULL OR c > lead(c) OVER (PARTITION BY s ORDER BY c DESC, n) THEN 'strict' ELSE 'tie' END AS lead_kind FROM t")
 def strict_best_window(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
