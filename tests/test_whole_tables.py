@@ -43,3 +43,11 @@ def test_registry_match_of_all_names(spark, shifted):
     registry_rows = [(rows[k + 1][1], rows[k][2]) for k in range(len(rows) - 1)]
     want = {(b, n) for _, b, n in rows if any(b == rb and set(n.split()) & set(rn.split()) for rb, rn in registry_rows)}
     assert {(r.brand, r.name) for r in QUERIES["argmax_registry_all"](spark, d).collect()} == want and want
+
+
+def test_cosine_of_every_fiftieth(spark, shifted):
+    d, con = shifted
+    df = QUERIES["extra_cosine_all"](spark, d)
+    same(df, con, ORACLES["extra_cosine_all"])
+    got = df.groupBy("q").count().collect()
+    assert len(got) == 10 and all(r.q % 50 == 0 and r["count"] == 10 for r in got)
