@@ -33,9 +33,13 @@ ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 are 17 x 4297.
 EPOCH, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 17, 4297
 
+#: A secret's value has 16 characters or more and goes on to its end, parts between dots included; a dot at its end is the sentence's.
+SECRET_NAME = r"(?i:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?"
+SECRET_VALUE = r"(?=[A-Za-z0-9+/_.=-]{15,}?[A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++(?:\.++[A-Za-z0-9+/_=-]++)*+"
+
 #: Candidates by kind, tried in this order at each place. Repetition is possessive or bounded: the time is linear in the text.
 PATTERNS = {
-    "secret": r"(?<![\w])(?i:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_-]{16,128}+\"?",
+    "secret": rf"(?<![\w]){SECRET_NAME}{SECRET_VALUE}\"?",
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}+",
     "iban": r"(?<![\w])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[./-]\d)",
@@ -204,9 +208,12 @@ def email(key: str, m: Column) -> Column:
 
 
 def secret(key: str, m: Column) -> Column:
-    value = F.regexp_extract(m, r"([A-Za-z0-9+/_-]{16,128})\"?$", 1)
-    new = F.substr(F.repeat(digest("secret", key, value), 2), F.lit(1), F.length(value))
-    return F.concat(F.regexp_extract(m, r"^(.*?)[A-Za-z0-9+/_-]{16,128}\"?$", 1), new, F.when(m.endswith('"'), '"').otherwise(""))
+    def of(value: Column) -> Column:
+        length = F.length(value)
+        new = F.substr(F.repeat(digest("secret", key, value), F.ceil(length / 64).cast("int")), F.lit(1), length)
+        return F.concat(F.regexp_extract(m, f"^{SECRET_NAME}", 0), new, F.when(m.endswith('"'), '"').otherwise(""))
+
+    return let(F.regexp_extract(m, f"^{SECRET_NAME}({SECRET_VALUE})", 1), of)
 
 
 KINDS = {"secret": secret, "email": email, "iban": iban, "date": date, "phone": phone, "ssn": ssn, "card": card, "ip": ip}

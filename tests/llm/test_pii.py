@@ -48,6 +48,17 @@ def test_formats_validity_and_links(spark):
     assert out(spark, texts[:1], "other key")[0].text != got[0].text
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    long, jwt, padded = "a1B2" * 75, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "QUJDREVGR0hJSktMTU5PUA=="
+    texts = [f'token = "{long}" end', f"secret: {jwt}. Next", f"api_key={padded}", f"api_key={jwt[:9]}.{long}", "password: short.one", "token=" * 50_000, "secret: " + "a." * 100_000]
+    got = out(spark, texts)
+    assert re.fullmatch(r'token = "[0-9a-f]{300}" end', got[0].text)
+    assert re.fullmatch(rf"secret: [0-9a-f]{{{len(jwt)}}}\. Next", got[1].text)
+    assert re.fullmatch(r"api_key=[0-9a-f]{24}", got[2].text) and re.fullmatch(r"api_key=[0-9a-f]{310}", got[3].text)
+    assert got[4].text == texts[4] and all(got[k].found == ["secret"] for k in (0, 1, 2, 3, 5, 6))
+    assert [len(got[k].text) for k in got] == [len(t) for t in texts]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(12 * 7).select((F.col("id") % 12).alias("a"), F.floor(F.col("id") / 12).alias("b"))
     pairs = df.select(pii.permuted("t", "k", F.col("a"), F.col("b"), F.lit(12), F.lit(7)).alias("p")).select("p.x", "p.y").collect()
