@@ -10,13 +10,19 @@ without words the set is empty and linked with nothing. Two documents are linked
    Linked classes agree in at least ``MATCHES`` coordinates (but for a chance under 1e-7,
    the binomial tail at 0.8). So in any order of the postings, two linked classes meet
    in a list even if each leaves out its last ``MATCHES - 1``: each leaves out its most
-   frequent ones. Classes with fewer than ``MATCHES`` shared coordinates go altogether.
-3. Stars: in each list every class is paired with one centre, drawn by hash. Pairs that
-   agree in MATCHES coordinates are confirmed on the full sets, and the links' components
+   frequent ones (prefix merging). These long lists are never merged: for a pair that met in
+   a short one, the whole count of collisions is looked up in the two signatures (skip
+   merging), and pairs under MATCHES go. Classes with fewer than MATCHES shared coordinates go altogether.
+3. A class also carries the parity of its shingles' counts in ``BITS`` buckets. Two parities
+   differ in no more bits than the sets in elements, so a pair whose bits differ more than
+   0.8 allows is no link: that bound is exact, loses nothing, and holds before pairs are emitted.
+4. Stars: in each list every class is paired with one centre, drawn by hash. Pairs that
+   can be links are confirmed on the full sets, and the links' components
    are found. A large group of near copies thus takes a few pairs for each copy.
-4. The rest: lists in which more than one component is left pair classes of different
-   components, all of them, and these are confirmed likewise. No link between
-   components is lost; links within one need no pair.
+5. The rest: in lists with more than one component, the classes outside the list's largest
+   component are compared with those of other components, all of them; only pairs within
+   the parity bound are emitted, and confirmed likewise. No link between components is
+   lost; links within one need no pair.
 
 Nothing is capped or sampled. A null text is an empty one. Each row is a node of its own
 by its text: rows that share a doc_id aren't linked by that. A null doc_id has a null
@@ -37,6 +43,8 @@ from pyspark.sql import functions as F
 from duecall.llm.common import documents, small_batches, text_key, written
 
 COORDINATES, MATCHES = 32, 12
+#: Bits of a parity sketch; a power of two.
+BITS = 1024
 #: Sets of fewer shingles are linked with equal ones only: 4 of 5 is the first other way to 0.8.
 SMALLEST = 4
 KEPT_WORDS = 1_000_000
@@ -89,20 +97,28 @@ def set_key(x: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64).item()
 
 
-SIGNED = "doc_id long, tkey long, n long, key long, signature array<long>"
+def parity(x: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of BITS buckets, as longs; a set's sketch xor
+    another's has at most as many bits as the sets' symmetric difference has elements."""
+    odd = np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SIGNED = "doc_id long, tkey long, n long, key long, signature array<long>, parity array<long>"
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, tkey, n, key, signature) of each row; no signature for sets under SMALLEST."""
+    """(doc_id, tkey, n, key, signature, parity) of each row; no signature and parity for sets under SMALLEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
             sets = [shingles(x or "", words, hashes) for x in b.column(2).to_pylist()]
             sigs = [signature(x).view(np.int64) if len(x) >= SMALLEST else None for x in sets]
+            bits = [parity(x) if len(x) >= SMALLEST else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "tkey", "n", "key", "signature"],
+                [b.column(0).cast(pa.int64()), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "tkey", "n", "key", "signature", "parity"],
             )
 
     small_batches(docs.sparkSession)
@@ -144,9 +160,10 @@ def pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def alike(a_n: Column, b_n: Column, a_signature: Column, b_signature: Column) -> Column:
-    """Whether two classes can be linked: sizes within 0.8, and MATCHES coordinates that agree."""
-    return (F.least(a_n, b_n) * 5 >= F.greatest(a_n, b_n) * 4) & (F.size(F.array_intersect(a_signature, b_signature)) >= MATCHES)
+def near(a_n: Column, b_n: Column, a_parity: Column, b_parity: Column) -> Column:
+    """Whether sizes and parities allow 0.8: the symmetric difference of linked sets is at most a ninth of both sizes."""
+    differ = sum((F.bit_count(F.get(a_parity, F.lit(k)).bitwiseXOR(F.get(b_parity, F.lit(k)))) for k in range(1, BITS // 64)), F.bit_count(F.get(a_parity, F.lit(0)).bitwiseXOR(F.get(b_parity, F.lit(0)))))
+    return (F.least(a_n, b_n) * 5 >= F.greatest(a_n, b_n) * 4) & (differ * 9 <= a_n + b_n)
 
 
 def side(t: DataFrame, c: str) -> DataFrame:
@@ -154,10 +171,10 @@ def side(t: DataFrame, c: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, with their sizes."""
-    sig = classes.select("key", "n", "signature")
-    both = pairs.join(side(sig, "a"), "a").join(side(sig, "b"), "b")
-    return both.filter(alike(F.col("a_n"), F.col("b_n"), F.col("a_signature"), F.col("b_signature"))).select("a", "b", "a_n", "b_n")
+    """The pairs (a, b) that can be links, with their sizes: by sizes and parities, then by the count of all collisions."""
+    sig = classes.select("key", "n", "signature", "parity")
+    both = pairs.join(side(sig, "a"), "a").join(side(sig, "b"), "b").filter(near(F.col("a_n"), F.col("b_n"), F.col("a_parity"), F.col("b_parity")))
+    return both.filter(F.size(F.array_intersect("a_signature", "b_signature")) >= MATCHES).select("a", "b", "a_n", "b_n")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -194,24 +211,26 @@ def grouped(docs: DataFrame, words: int) -> DataFrame:
     by_key = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.min("tkey").alias("tkey"))
     by_key = written(by_key, "classes")
     one = by_key.select("key", F.col("tkey").alias("_t"))
-    classes = rows.filter(f"n >= {SMALLEST}").join(one, "key").filter("tkey = _t").select("key", "n", "tkey", "signature")
+    classes = rows.filter(f"n >= {SMALLEST}").join(one, "key").filter("tkey = _t").select("key", "n", "tkey", "signature", "parity")
     classes = written(classes.dropDuplicates(["key"]), "signatures")
     lists = written(postings(classes), "postings")
     stars = lists.filter("key <> centre").select(*pair(F.col("key"), F.col("centre"))).distinct()
     links = written(confirmed(written(likely(written(stars, "stars"), classes), "likely"), classes, docs, words), "star_links")
     found = components(links)
-    # lists in which more than one component is left
+    # lists in which more than one component is left, and the largest of each
     named = lists.join(found, "key", "left").select("token", "key", F.coalesce("component", "key").alias("component"))
     named = written(named, "named")
-    open_lists = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    left = named.join(written(open_lists, "open"), "token", "left_semi")
-    left = written(left.join(classes.select("key", "n", "signature"), "key"), "left")
-    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
-    fit = (F.col("component") < F.col("c2")) & alike(F.col("n"), F.col("n2"), F.col("signature"), F.col("s2"))
-    met = left.join(other, (left["token"] == other["token"]) & fit)
-    first = F.col("key") < F.col("k2")
-    cross = met.select(*pair(F.col("key"), F.col("k2")), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("a_n"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("b_n")).distinct()
-    more = written(confirmed(written(cross, "cross"), classes, docs, words), "cross_links")
+    sizes = named.groupBy("token", "component").agg(F.count("*").alias("m"))
+    open_lists = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.component").alias("top"))
+    left = named.join(written(open_lists, "open"), "token")
+    left = left.join(classes.select("key", "n", "parity"), "key").select("token", "key", "component", "n", "parity", (F.col("component") != F.col("top")).alias("outer"))
+    left = written(left, "left")
+    rest = left.filter("outer").drop("outer")
+    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("outer").alias("outer2"))
+    fit = (F.col("component") != F.col("c2")) & (~F.col("outer2") | (F.col("component") < F.col("c2"))) & near(F.col("n"), F.col("n2"), F.col("parity"), F.col("p2"))
+    met = rest.join(other, (rest["token"] == other["token"]) & fit)
+    cross = written(met.select(*pair(F.col("key"), F.col("k2"))).distinct(), "cross")
+    more = written(confirmed(written(likely(cross, classes), "cross_likely"), classes, docs, words), "cross_links")
     if not more.isEmpty():
         found = components(links.union(more))
     # the smallest doc_id of each component; keys with one row of their own need no entry
