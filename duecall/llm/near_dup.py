@@ -187,22 +187,34 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, component) of the keys in links (a, b): the smallest key reachable.
+    """(key, component) of the keys in links (a, b): one key of each group that links reach.
 
-    Each round a key takes the least label next to it and then its label's label; the
-    labels are written each round. Long chains halve each time.
+    Each round a key hooks on to the least key next to it, and the hooks are followed to
+    their roots; then the links between roots take their place. A root is less than all
+    next to it, so at least half of the keys go each round, and links within a group at once.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("key"), "label"), "labels")
+    links, names = written(links.select(*pair(F.col("a"), F.col("b"))).filter("a <> b").distinct(), "links"), None
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near.withColumnRenamed("a", "key"), "key").select("key", "label", F.least("label", "near").alias("next"))
-        hooked = written(hooked, "hooked")
-        jump = hooked.select(F.col("key").alias("next"), F.col("next").alias("far"))
-        after = written(hooked.join(jump, "next").select("key", "label", F.least("next", "far").alias("next")), "labels")
-        if after.filter("label <> next").isEmpty():
-            return after.select("key", F.col("next").alias("component"))
-        labels = after.select("key", F.col("next").alias("label"))
+        both = links.union(links.select("b", "a"))
+        hooks = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("next")).withColumnRenamed("a", "key"), "hooks")
+        while True:
+            after = written(hooks.join(hooks.select(F.col("key").alias("next"), F.col("next").alias("root")), "next"), "roots")
+            hooks = after.select("key", F.col("root").alias("next"))
+            if after.filter("next <> root").isEmpty():
+                break
+        roots = hooks.withColumnRenamed("next", "component")
+        names = roots if names is None else written(renamed(names, roots), "names")
+        ends = links.join(roots.select(F.col("key").alias("a"), F.col("component").alias("x")), "a").join(roots.select(F.col("key").alias("b"), F.col("component").alias("y")), "b")
+        links = written(ends.filter("x <> y").select(*pair(F.col("x"), F.col("y"))).distinct(), "links")
+        if links.isEmpty():
+            return names
+
+
+def renamed(names: DataFrame, roots: DataFrame) -> DataFrame:
+    """names (key, component) with components that are keys of roots renamed to theirs."""
+    new = roots.select(F.col("key").alias("component"), F.col("component").alias("new"))
+    rest = [c for c in names.columns if c != "component"]
+    return names.join(new, "component", "left").select(*rest, F.coalesce("new", "component").alias("component"))
 
 
 def grouped(docs: DataFrame, words: int) -> DataFrame:
@@ -231,10 +243,14 @@ def grouped(docs: DataFrame, words: int) -> DataFrame:
     met = rest.join(other, (rest["token"] == other["token"]) & fit)
     cross = written(met.select(*pair(F.col("key"), F.col("k2"))).distinct(), "cross")
     more = written(confirmed(written(likely(cross, classes), "cross_likely"), classes, docs, words), "cross_links")
+    joined = None
     if not more.isEmpty():
-        found = components(links.union(more))
+        ends = more.join(side(found, "a"), "a", "left").join(side(found, "b"), "b", "left")
+        joined = components(ends.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")))
     # the smallest doc_id of each component; keys with one row of their own need no entry
     whole = by_key.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    if joined is not None:
+        whole = renamed(whole, joined)
     least = written(whole.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1"), "least")
     ids = written(whole.join(least, "component").select("key", "component_id"), "ids")
     out = rows.select("doc_id", "tkey", "n", "key").join(ids, "key", "left")
