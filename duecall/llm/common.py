@@ -18,10 +18,13 @@ BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset, as in tests on one machine, a temporary folder is set; on a
+    cluster that folder would be another one on each machine, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="duecall-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -72,9 +75,27 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns: extra ones, clashing or not, stay out of the plan."""
-    return df.select(*names)
+#: The one name that a column of an operator's input must not have.
+ROW = "_row"
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column ROW, and more columns: no name of docs can clash with an operator's own."""
+    if ROW in docs.columns:
+        raise ValueError(f"a column is named {ROW}")
+    row = F.struct(*(F.col(name(c)) for c in docs.columns))
+    return docs.select(row.alias(ROW), *(c.alias(k) for k, c in more.items()))
+
+
+def name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def unpacked(rows: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The columns of a packed frame, in order. own has columns that replace those of the
+    same name; those that have none come last."""
+    old = [own.get(c, F.col(ROW).getField(c)).alias(c) for c in columns]
+    return rows.select(*old, *(v.alias(k) for k, v in own.items() if k not in columns))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

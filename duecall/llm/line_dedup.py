@@ -7,15 +7,20 @@ least hash, the rightmost if tied, is its fingerprint. Two texts that share a ru
 lines with ``MIN_WORDS`` words share its windows, and so a fingerprint at the same place
 in the run: none is missed.
 
-Fingerprints that occur once in the corpus are dropped. The positions of the others are
-joined, and from each the match is extended both ways: by the windows, on its left and
-right, that it is the fingerprint of. A window that also occurs earlier, by doc_id (null
-last), text and line, is a later run; its lines go. A run of any length is made of
-such windows, so exactly the lines in later runs of ``MIN_WORDS`` words or more go.
+A row goes out for each selected fingerprint only: its place, the hashes of the lines
+around it as far as its windows reach, and the windows' extents. Fingerprints that occur
+once are dropped. The positions of the others are joined to the first position of the
+same fingerprint, by doc_id (null last), text and line, and the match is extended both
+ways as long as the line hashes agree. Windows within the extended match occur earlier,
+so their lines go. A window of which the first position isn't the origin, as other lines
+stand there, is joined likewise to the first position of its own lines; none is passed over. A run of any
+length is made of such windows, so exactly the lines in later runs of ``MIN_WORDS`` words
+or more go. Fingerprints and windows are compared by 128 bits, extended lines by 64 each.
 
 A null text stays null, an empty one empty; lines without a word stay. Rows equal in
 doc_id and text are one document and get the same result. Runs may overlap: the first
-window stays, whatever lies only in later ones goes. An empty table gives no rows.
+window stays, whatever lies only in later ones goes. An empty table gives no rows. Extra
+columns pass through, whatever their names; one named removed_lines is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecall.llm.common import documents, let, small_batches, text_key, written
+from duecall.llm.common import ROW, documents, let, packed, small_batches, text_key, unpacked, written
 
 MIN_WORDS = 50
 
@@ -56,83 +61,115 @@ def windows(words: np.ndarray, least: int) -> np.ndarray:
     return np.unique(runs, axis=0) if len(runs) else runs.reshape(0, 2)
 
 
-def fingerprints(hashes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run the line with the least hash in it, the rightmost if tied, and a hash of all of it.
+def fingerprints(hashes: list[int], runs: list[list[int]]) -> list[int]:
+    """For each run the line with the least hash in it, the rightmost if tied.
 
     Runs are sorted by their ends, both of which only rise, so the minimum slides along.
     """
-    least = np.empty(len(runs), np.int64)
-    whole = np.empty(len(runs), np.uint64)
-    data, queue, head, fed = hashes.tobytes(), [], 0, 0
-    values = hashes.tolist()
-    for k, (a, b) in enumerate(runs.tolist()):
+    out, queue, head, fed = [], [], 0, 0
+    for a, b in runs:
         while fed <= b:
-            while len(queue) > head and values[queue[-1]] >= values[fed]:
+            while len(queue) > head and hashes[queue[-1]] >= hashes[fed]:
                 queue.pop()
             queue.append(fed)
             fed += 1
         while queue[head] < a:
             head += 1
-        least[k] = queue[head]
-        whole[k] = xxhash.xxh3_64_intdigest(data[8 * a : 8 * b + 8], seed=b - a)
-    return least, whole
+        out.append(queue[head])
+    return out
+
+
+POSITIONS = "doc_id long, tkey long, f long, g long, mark int, before array<long>, after array<long>, windows array<struct<l:int,r:int,first:int,last:int>>"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([(x, pa.int32()) for x in ("l", "r", "first", "last")])))
+_NAMES = ("doc_id", "tkey", "f", "g", "mark", "before", "after", "windows")
+
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-RUNS = "doc_id long, tkey long, fingerprint long, mark int, run long, first int, last int"
 
+def marked(text: str, least: int) -> Iterator[tuple]:
+    """(f, g, mark, before, after, windows) of each selected fingerprint of a text: its hash, its
+    line's number, the hashes of the lines before (nearest first) and after it, and its windows:
+    how many lines they go left and right, and their first and last lines' numbers."""
+    found = normal_lines(text)
+    if not found:
+        return
+    at, lines, words = zip(*found, strict=True)
+    wide = [xxhash.xxh3_128_intdigest(x) for x in lines]
+    low = [signed(x & (1 << 64) - 1) for x in wide]
+    spans = windows(np.array(words, np.int64), least)
+    spans = spans[np.lexsort((spans[:, 0], spans[:, 1]))].tolist()
+    by_mark: dict[int, list] = {}
+    for (a, b), m in zip(spans, fingerprints(low, spans), strict=True):
+        by_mark.setdefault(m, []).append((a, b))
+    for m, own in by_mark.items():
+        first, last = min(a for a, _ in own), max(b for _, b in own)
+        ways = [{"l": m - a, "r": b - m, "first": at[a], "last": at[b]} for a, b in own]
+        yield low[m], signed(wide[m] >> 64), at[m], low[first:m][::-1], low[m + 1 : last + 1], ways
 
-def runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The windows of each document: (doc_id, tkey, fingerprint, mark, run, first, last); mark is the fingerprint's line, lines by their number in the text."""
+
+def positions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The selected fingerprints of each document."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         for b in batches:
-            parts: list[list] = [[] for _ in kinds]
-            for doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = normal_lines(text or "")
-                if not found:
-                    continue
-                at, lines, words = zip(*found, strict=True)
-                hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-                spans = windows(np.array(words, np.int64), least)
-                spans = spans[np.lexsort((spans[:, 0], spans[:, 1]))]
-                marks, whole = fingerprints(hashes, spans)
-                at = np.array(at, np.int32)
-                n = len(spans)
-                for p, x in zip(parts, ([doc] * n, [key] * n, hashes[marks].view(np.int64), at[marks], whole.view(np.int64), at[spans[:, 0]], at[spans[:, 1]]), strict=True):
-                    p.extend(x if isinstance(x, list) else x.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+            rows = [(doc, key, *x) for doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in marked(text or "", least)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], list(_NAMES))
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(of, RUNS)
+    return docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(of, POSITIONS)
 
 
-def later(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tkey, ranges): for each document with later runs their (first, last) line numbers.
+def agreeing(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the start on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return let(same, lambda s: let(F.array_position(s, False).cast("int"), lambda p: F.when(p == 0, F.size(s)).otherwise(p - 1)))
 
-    Counts and first places are aggregated before the shuffle, and written before they
-    are joined, so that the join can split the partition of a very common run.
-    """
-    key = (F.col("doc_id").isNull().alias("n"), "doc_id", "tkey")
-    place, mark = F.struct(*key, "first"), F.struct(*key, "mark")
-    found = written(runs(docs, least), "runs")
-    often = found.groupBy("fingerprint").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select("fingerprint")
-    matched = found.join(written(often, "fingerprints"), "fingerprint", "left_semi")
-    origins = matched.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("run", F.col("a").alias("origin"))
-    repeats = found.join(written(origins, "origins"), "run").filter(F.col("origin") < place)
-    return repeats.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+
+def place(line: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tkey", F.col(line).alias("line"))
+
+
+def first_places(found: DataFrame, keys: tuple[str, str], line: str, name: str) -> DataFrame:
+    """(*keys, origin): the first place of what occurs at two places or more. Aggregated before the
+    shuffle, and written, so that a join with it can split the partition of a very common key."""
+    ends = found.groupBy(*keys).agg(F.min(place(line)).alias("origin"), F.max(place(line)).alias("z"))
+    return written(ends.filter("origin <> z").drop("z"), name)
+
+
+def later(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, tkey, ranges): for each document with later runs their (first, last) line numbers."""
+    found = written(positions(docs, least), "positions")
+    found = written(found.join(first_places(found, ("f", "g"), "mark", "origins"), ["f", "g"]), "repeated")
+    origin = found.filter(place("mark") == F.col("origin")).groupBy("f", "g").agg(F.first("before").alias("o_before"), F.first("after").alias("o_after"))
+    met = found.filter(place("mark") > F.col("origin")).join(written(origin, "around"), ["f", "g"])
+    met = met.withColumn("l", agreeing(F.col("before"), F.col("o_before"))).withColumn("r", agreeing(F.col("after"), F.col("o_after")))
+    inside = lambda w: (w["l"] <= F.col("l")) & (w["r"] <= F.col("r"))
+    of = lambda w: F.concat(F.reverse(F.slice("before", F.lit(1), w["l"])), F.array("f", "g"), F.slice("after", F.lit(1), w["r"]))
+    own = lambda w: let(of(w), lambda x: F.struct(F.xxhash64(x).alias("u"), F.xxhash64(w["l"], x).alias("v"), w["first"].alias("first"), w["last"].alias("last")))
+    met = met.select(
+        "doc_id", "tkey",
+        F.transform(F.filter("windows", inside), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"))).alias("within"),
+        F.transform(F.filter("windows", lambda w: ~inside(w)), own).alias("rest"),
+    )
+    met = written(met, "extended")
+    rest = met.select("doc_id", "tkey", F.inline("rest"))
+    again = rest.join(first_places(rest, ("u", "v"), "first", "others"), ["u", "v"]).filter(F.col("origin") < place("first"))
+    ranges = met.select("doc_id", "tkey", F.inline("within")).union(again.select("doc_id", "tkey", "first", "last"))
+    return ranges.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
 def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs, all columns, with later runs taken out of text, and ``removed_lines``: how many lines went."""
-    gone = later(docs, least).withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
-    kept = cut(F.col("text"), F.col("ranges"))
-    out = out.withColumn("_cut", F.when(F.col("ranges").isNotNull(), kept))
-    text = F.when(F.col("ranges").isNotNull(), F.array_join("_cut", "\n")).otherwise(F.col("text"))
-    n = F.when(F.col("ranges").isNotNull(), F.size(F.split("text", "\n")) - F.size("_cut")).otherwise(0).cast("long")
-    return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), n.alias("removed_lines"))
+    gone = later(docs.select("doc_id", "text"), least)
+    rows = packed(docs, d=F.col("doc_id"), k=text_key(F.col("text")))
+    out = rows.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tkey")), "left")
+    text = F.col(f"{ROW}.text")
+    out = out.withColumn("left", F.when(F.col("ranges").isNotNull(), cut(text, F.col("ranges"))))
+    n = F.when(F.col("ranges").isNotNull(), F.size(F.split(text, "\n")) - F.size("left")).otherwise(0).cast("long")
+    return unpacked(out, docs.columns, text=F.when(F.col("ranges").isNotNull(), F.array_join("left", "\n")).otherwise(text), removed_lines=n)
 
 
 def cut(text: Column, ranges: Column) -> Column:

@@ -45,6 +45,16 @@ def test_runs_match_brute_force(spark):
         assert got[d] == ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop)), d
 
 
+def test_first_position_with_other_lines_around(spark):
+    """Runs that a fingerprint's first position doesn't hold are found at their own first positions."""
+    rng = random.Random(8)
+    lines = [f"m{k} n{k} o{k}" for k in range(6)] + ["the common line of all documents"]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(2, 8)))) for k in range(120)]
+    gone = brute(rows, 12)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()}
+    assert got == {d: len(gone[(d, t)]) for d, t in rows}
+
+
 def test_one_long_line_and_short_lines(spark):
     passage = " ".join(f"w{k}" for k in range(51))
     df = spark.createDataFrame([(1, f"head\n{passage}\ntail"), (2, f"other\n{passage}\nend"), (3, "head\ntail")], "doc_id long, text string")
