@@ -21,3 +21,32 @@ def test_scan(spark):
     assert got == {1: {"apache-2.0"}, 2: {"mit-text"}, 3: {"mit"}, 4: {"all-rights-reserved"}, 5: set(), 6: set(), 7: set(), 8: set()}
     assert licenses.scanned(df.limit(0)).count() == 0
     assert all(r.licenses == [] for r in licenses.scanned(df, {}).collect())
+
+
+def test_long_texts_ties_and_hundreds_of_templates(spark):
+    """Against exact containment of every window, in plain Python."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"q{k}" for k in range(60)]
+    texts = {f"t{n:03}": " ".join(rng.choice(words) for _ in range(rng.randint(2, 40))) for n in range(150)}
+    long = " ".join(rng.choice(words) for _ in range(20_000))
+    rows = [(n, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 30))), t, "end", t])) for n, t in enumerate(texts.values())]
+    rows += [(900, long), (901, texts["t000"]), (901, texts["t000"])]
+    got = {}
+    for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect():
+        got.setdefault(r.doc_id, []).append([(m.license, m.at, round(m.containment, 6)) for m in r.licenses])
+    by_name = {n: t.split() for n, t in texts.items()}
+    for doc, text in dict(rows).items():
+        w, want = text.split(), []
+        for n, t in by_name.items():
+            k = min(licenses.WIDTH, len(t))
+            held = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+            s, m = len(t) - k + 1, len(w) - k + 1
+            h = [tuple(w[i : i + k]) for i in range(m)]
+            for j in range(max(1, -(-m // s) - 1) if m > 0 else 0):
+                share = len(set(h[j * s : j * s + 2 * s]) & held) * 100 / len(held)
+                if share >= licenses.CONTAINED:
+                    want.append((n, j * s, round(share, 6)))
+        assert all(sorted(want) == x for x in got[doc]), doc
+    assert len(got[901]) == 2 and any(x for x in got[5][0])
