@@ -40,7 +40,7 @@ def test_block_of_lines_with_the_same_neighbours(spark):
 def test_repeat_words_as_brute_force(spark):
     texts = ["a b c d e f g h " * 3, "a " * 9, "a " * 8, words(1) + " " + words(1)[:40], "x y " * 10 + words(2), words(3, 3000) + " a" * 20]
     df = spark.createDataFrame([(k, t, "s", "") for k, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: r.n_repeat_words for r in quality.base(df).collect()}
+    got = {r.doc_id: r.n_repeat_words for r in quality.measured(df).collect()}
     for k, t in enumerate(texts):
         w = t.split()
         seen = {}
