@@ -13,8 +13,13 @@ which its target ends counts with the words up to there, so that a source's word
 come within one of its target.
 
 A null text has no words; a null source is a source of its own, last in order. Rows
-equal in doc_id and text are each mixed by themselves and get the same digest.
-A document without words takes none. An empty table gives no rows.
+equal in doc_id and text are each placed by themselves, as often as they repeat.
+A document without words takes none. An empty table gives no rows. Extra columns,
+whatever their names, pass through ``training_order``; of rows equal in doc_id and text it takes
+the least by the other columns (any, where a column is a map and has no order).
+
+``sources`` has windows over one row for each source in one task: sources are few by
+the nature of a mix. Texts are read once; what follows works on a written table of sizes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duecall.llm.common import documents, n_words, text_key
+from duecall.llm.common import ROW, documents, n_words, packed, text_key, unpacked, written
 
 #: A source's documents are dealt over this many buckets by their random order: words
 #: before a document are those of earlier buckets plus those before it in its own.
@@ -105,7 +110,7 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     """
     order = F.md5(F.concat_ws("\x1f", F.lit(mix.seed), F.col("doc_id").cast("string")).cast("binary"))
     slim = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "source", n_words(F.col("text")).alias("size"), order.alias("_order"))
-    slim = slim.withColumn("_bucket", F.substring("_order", 1, BUCKETS_HEX))
+    slim = written(slim.withColumn("_bucket", F.substring("_order", 1, BUCKETS_HEX)), "sizes")
     per_source = sources(slim, mix)
     buckets = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,14 +140,14 @@ def curriculum(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
 
 def training_order(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it, in training order. A
-    document at which a source's target ends is there whole; rows equal in doc_id and text are placed alike."""
-    placed = mixed(docs.select("doc_id", "text", "source"), mix).filter(F.size("placements") > 0)
-    placed = placed.groupBy("doc_id", "tkey").agg(F.first("placements").alias("_p")).withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    rows = keyed.join(placed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")))
-    rows = rows.select(*docs.columns, F.inline("_p"))
-    order = ("position", "doc_id", "copy")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    document at which a source's target ends is there whole; rows equal in doc_id and text each at their own places."""
+    places = mixed(docs.select("doc_id", "text", "source"), mix).select(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("tkey").alias("k"), F.inline("placements"))
+    doc_id = F.col("doc_id")
+    rows = packed(docs, n=doc_id.isNull(), d=F.coalesce(doc_id, F.lit(0)), k=text_key(F.col("text")))
+    one = F.first(ROW) if "map<" in rows.schema[ROW].dataType.simpleString() else F.min(ROW)
+    rows = rows.groupBy("n", "d", "k").agg(one.alias(ROW)).join(places, ["n", "d", "k"])
+    order = ("position", "n", "d", "copy")
+    return unpacked(rows.repartitionByRange(*order).sortWithinPartitions(*order), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
