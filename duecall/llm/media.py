@@ -2,10 +2,12 @@
 
 ``store`` wraps bytes into a container of raw 8-bit 24 x 24 frames. ``probe``
 walks the nested boxes, decodes the sample tables and gives codec, duration and
-keyframe byte ranges; it never decodes a sample. A null or broken container
-gives a row of nulls with the reason in ``error``; empty bytes give an error too.
-Rows stay apart: repeated rows, ties and extra columns don't matter, as only the
-key and the bytes are read.
+keyframe byte ranges of every track; it never decodes a sample. A null or broken container
+gives a row of nulls with the reason in ``error``; empty bytes and fragmented
+containers (moof) give an error too. What a container says of itself is held against
+its bytes before anything of that size is made. An empty text is one frame of padding, a null one
+likewise, a very long one many. Rows stay apart: repeated rows, ties and extra columns
+don't matter, as only the key and the bytes are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecall.llm.common import documents, small_batches
+from duecall.llm.common import documents, small_batches, written
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -30,6 +32,7 @@ GOP = 25
 PER_CHUNK = 50
 PAD = b"\xff"
 #: Boxes that hold boxes.
+DEEPEST = 16
 NESTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta")
 
 
@@ -95,6 +98,8 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple =
             size = end - at
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} has size {size}")
+        if kind == b"moof" or len(path) > DEEPEST:
+            raise ValueError("fragments aren't read" if kind == b"moof" else "boxes are nested too deep")
         yield (*path, kind), at + head, at + size
         if kind in NESTS:
             yield from walk(data, at + head, at + size, (*path, kind))
@@ -124,7 +129,7 @@ def _table(data: memoryview, at: int, end: int, kind: str, columns: int, start:
     n = struct.unpack_from(">I", data, at + start - 4)[0]
     width = np.dtype(kind).itemsize * columns
     if at + start + n * width > end:
-        raise ValueError("a sample table is cut short")
+        raise ValueError("a table is cut short")
     return np.frombuffer(data, kind, n * columns, at + start).astype(np.int64).reshape(n, columns)
 
 
@@ -142,13 +147,15 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Track:
             t.width, t.height = struct.unpack_from(">HH", data, at + 40)
     at, end = boxes[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, at + 4)
+    if fixed * n > len(data):
+        raise ValueError("samples beyond the end")
     t.sizes = np.full(n, fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 12)[:, 0]
     chunks = _table(data, *boxes[b"co64"], ">u8", 1)[:, 0] if b"co64" in boxes else _table(data, *boxes[b"stco"], ">u4", 1)[:, 0]
     runs = _table(data, *boxes[b"stsc"], ">u4", 3)
     if len(chunks) and len(runs):
         firsts = runs[:, 0] - 1
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(firsts, len(chunks))))
-        if per_chunk.sum() != n:
+        if firsts[0] != 0 or (per_chunk < 0).any() or per_chunk.sum() != n:
             raise ValueError("chunks and samples don't agree")
         before = np.concatenate([[0], np.cumsum(t.sizes)])[:-1]
         first_sample = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
@@ -157,6 +164,8 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Track:
     elif n:
         raise ValueError("samples without chunks")
     t.syncs = _table(data, *boxes[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(n)
+    if len(t.syncs) and not (0 <= t.syncs.min() and t.syncs.max() < n):
+        raise ValueError("a keyframe that is no sample")
     if b"stts" in boxes and not t.duration:
         times = _table(data, *boxes[b"stts"], ">u4", 2)
         t.duration = int((times[:, 0] * times[:, 1]).sum())
@@ -188,13 +197,18 @@ def samples(data: bytes, track: Track) -> bytes:
     ends = track.offsets + track.sizes
     breaks = np.flatnonzero(track.offsets[1:] != ends[:-1]) + 1
     starts, stops = track.offsets[np.append(0, breaks)], ends[np.append(breaks - 1, len(ends) - 1)]
-    if stops.max() > len(data):
+    if starts.min() < 0 or (stops < starts).any() or stops.max() > len(data):
         raise ValueError("samples beyond the end")
     return b"".join(data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
 
 
 STORED = "doc_id long, n_bytes long, media binary"
-PROBED = "doc_id long, n_bytes long, media_bytes long, codec string, width int, height int, duration double, n_samples long, keyframes array<struct<first:long,bytes:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, error string"
+#: The first track's payload is digested; all tracks' tables are kept.
+RANGES = "array<struct<first:long,bytes:long>>"
+TRACKS = f"array<struct<codec:string,handler:string,width:int,height:int,duration:double,n_samples:long,keyframes:{RANGES}>>"
+PROBED = f"doc_id long, n_bytes long, media_bytes long, tracks {TRACKS}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, error string"
+_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)]))
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -211,21 +225,21 @@ def store(docs: DataFrame) -> DataFrame:
 
 def _probe(n_bytes: int | None, data: bytes | None) -> tuple:
     if data is None:
-        return (n_bytes, *[None] * 11, "null")
+        return (n_bytes, *[None] * 6, "null")
     sha = hashlib.sha256(data).hexdigest()
     try:
-        t = tracks(data)[0]
-        payload = samples(data, t)
-        ranges = [{"first": a, "bytes": n} for a, n in t.keyframes()]
+        found = tracks(data)
+        payload = samples(data, found[0])
+        rows = [{"codec": t.codec, "handler": t.handler, "width": t.width, "height": t.height, "duration": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.sizes), "keyframes": [{"first": a, "bytes": n} for a, n in t.keyframes()]} for t in found]
     except (ValueError, IndexError) as e:
-        return (n_bytes, len(data), *[None] * 9, sha, str(e)[:200])
-    return (n_bytes, len(data), t.codec, t.width, t.height, t.duration / t.timescale if t.timescale else None, len(t.sizes), ranges, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sha, None)
+        return (n_bytes, len(data), *[None] * 4, sha, str(e)[:200])
+    return (n_bytes, len(data), rows, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sha, None)
 
 
 def probe(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> what the first track's tables say, and the payload's digests."""
-    names = [x.split()[0] for x in PROBED.replace("array<struct<first:long,bytes:long>>", "x").split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    """(doc_id, n_bytes, media) -> what the tracks' tables say, and the first track's digests."""
+    names = ["doc_id", "n_bytes", "media_bytes", "tracks", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "error"]
+    kinds = [pa.int64(), pa.int64(), _TRACKS, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +251,10 @@ def probe(stored: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probed = probe(store(documents(spark, sf_dir)))
-    ranges = F.crc32(F.to_json("keyframes").cast("binary"))
-    feature = F.format_string("%s;%dx%d;%.2f s;%d frames;%d keyframes;ranges %08x", "codec", "width", "height", "duration", "n_samples", F.size("keyframes"), ranges)
-    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    """The containers are written as a binary column and read back, and the features come from what was read."""
+    probed = probe(written(store(documents(spark, sf_dir)), "media", "zstd"))
+    t = F.get("tracks", F.lit(0))
+    ranges = F.array_join(F.transform(t["keyframes"], lambda k: F.format_string("%d+%d", k["first"], k["bytes"])), ",")
+    out = probed.select("*", t["codec"].alias("codec"), t["width"].alias("width"), t["height"].alias("height"), t["duration"].alias("duration"), t["n_samples"].alias("n_samples"), F.size(t["keyframes"]).alias("n_keyframes"), ranges.alias("keyframes"))
+    feature = F.format_string("%s;%dx%d;%.2f s;%d frames;%d keyframes;ranges %08x", "codec", "width", "height", "duration", "n_samples", "n_keyframes", F.crc32(F.col("keyframes").cast("binary")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "duration", "n_samples", "keyframes")

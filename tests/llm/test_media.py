@@ -1,5 +1,7 @@
 import hashlib
+import random
 import struct
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -68,3 +70,45 @@ def test_columns(spark):
     assert media.probe(media.store(df.limit(0))).count() == 0
     bad = spark.createDataFrame([(1, 2, None), (2, 2, bytearray(b"junk"))], "doc_id long, n_bytes long, media binary")
     assert sorted(bool(r.error) for r in media.probe(bad).collect()) == [True, True]
+
+
+def test_false_tables_give_errors():
+    good = media.container(media.padded(b"x"))
+    at = good.index(b"stsz") + 8
+    huge = good[:at] + struct.pack(">II", 8, 2**32 - 1) + good[at + 8 :]
+    sync = good.index(b"stss") + 12
+    zero = good[:sync] + struct.pack(">I", 0) + good[sync + 4 :]
+    deep = b"x"
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    for bad in (huge, zero, deep, good + media.box(b"moof")):
+        assert media._probe(1, bad)[-1]
+
+
+def test_damaged_bytes_never_raise():
+    rng = random.Random(4)
+    good = media.container(media.padded(b"some text " * 200))
+    for _ in range(3000):
+        bad = bytearray(good[: rng.randrange(len(good))] if rng.random() < 0.2 else good)
+        for _ in range(rng.randint(1, 6)):
+            if bad:
+                bad[rng.randrange(min(len(bad), 720))] = rng.randrange(256)
+        assert len(media._probe(1, bytes(bad))) == 8
+
+
+def test_query_as_brute_force(spark, tmp_path):
+    """The query's columns from the text alone, and from the stored bytes by what its ranges say."""
+    texts = ["", None, "short", "é" * 700, "word " * 40_000, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media.query(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
+        r, stored = got[k], media.container(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        frames = len(payload) // 576
+        assert r.n_samples == frames and r.duration == frames / 25 and r.codec == "raw "
+        pieces = [tuple(map(int, x.split("+"))) for x in r.keyframes.split(",")]
+        assert [stored[a : a + n] for a, n in pieces] == [payload[576 * j : 576 * j + 576] for j in range(0, frames, 25)]
+    assert got[2].feature == got[5].feature
