@@ -17,8 +17,12 @@ Originals are aggregated to one row for each hash before the join, so a passage
 many messages hold or quote makes no pairs; the join is between written tables and plain
 shuffles, so that a common hash can be split. A thread is never gathered: it is rows in order.
 
-Null texts stay null. Messages with a null conv_id or turn are kept and never linked.
-Repeated rows are one message and get one result each. An empty table gives no rows.
+Null texts stay null, empty ones empty; very long ones are handled line by line. Messages with a null conv_id or turn are kept and never linked.
+Repeated rows are one message and get one result each; ties between originals go to the earliest.
+An empty table gives no rows. Only conv_id, turn, role and text are read, so extra columns don't matter.
+
+``quoting`` makes a table of replies out of plain conversations: each message that follows
+others quotes the one before it, and that one's quote of the message before, as mail does.
 """
 
 from __future__ import annotations
@@ -103,8 +107,6 @@ def links(messages: DataFrame) -> DataFrame:
     quotes = quoting.select("conv_id", "turn", "tkey", F.explode(let(parsed(F.col("text")), passages)).alias("p"))
     quotes = quotes.select("conv_id", "turn", "tkey", F.col("p.level").alias("level"), F.col("p.at").alias("at"), F.inline(let(F.col("p.text"), units)))
     quotes = written(quotes.groupBy("conv_id", "turn", "tkey", "hash").agg(F.min(F.struct("level", "form", "at")).alias("rank")), "quotes")
-    if quotes.isEmpty():
-        return messages.sparkSession.createDataFrame([], "conv_id long, turn long, tkey long, to_conv long, to_turn long")
     wanted = written(quotes.select("hash").distinct(), "wanted")
     originals = keyed.select("conv_id", "turn", F.inline(let(let(parsed(F.col("text")), own_text), units))).join(wanted, "hash", "left_semi")
     near = originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
@@ -156,7 +158,53 @@ def formatted(messages: DataFrame) -> DataFrame:
     return out.repartitionByRange("thread_id", "conv_id", "turn", "text").sortWithinPartitions("thread_id", "conv_id", "turn", "text")
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) with, before its own text, each message's quote of the
+    turn before, announced, and of the turn before that at the second level, where these have words.
+
+    A turn is joined to the turns before it by (conv_id, turn), each aggregated to one text first:
+    a conversation of very many turns is never gathered.
+    """
+    keyed = messages.select("conv_id", "turn", "role", "text")
+    one = written(keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("conv_id", "turn").agg(F.min("text").alias("said")), "said")
+    before = lambda k: one.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.col("said").alias(f"q{k}"))
+    out = keyed
+    for k in (1, 2):
+        out = out.join(before(k), (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}")), "left")
+    marked = lambda c, m: F.concat(F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(m), x)), "\n"), F.lit("\n"))
+    head = F.concat(F.when(F.coalesce("q2", "q1").isNotNull(), F.lit("The other wrote:\n")).otherwise(""), F.coalesce(marked("q2", ">> "), F.lit("")), F.coalesce(marked("q1", "> "), F.lit("")))
+    return out.select("conv_id", "turn", "role", F.concat(head, F.col("text")).alias("text"))
+
+
+def markup(role: Column, text: Column) -> Column:
+    """A message in chat markup; what looks like a mark in its text is escaped."""
+    own = F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), own, F.lit("\n<|end|>\n"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each message, in reply order, with its chat markup."""
-    out = formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.withColumn("markup", F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n")))
+    """One row for each message, in reply order, with its chat markup. The table's conversations
+    hold no quotes, so all are made into replies that quote first."""
+    out = formatted(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return out.withColumn("markup", markup(F.col("role"), F.col("text")))
+
+
+#: Without quotes and hashes: a message replies to the earliest turn of its conversation that
+#: holds the quoted text whole, as a paragraph or as a line.
+ORACLE = r"""
+WITH m AS (SELECT conv_id, turn, role, text, regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]') AS has FROM conversations),
+one AS (SELECT conv_id, turn, min(text) AS text FROM m WHERE has GROUP BY conv_id, turn),
+u0 AS (SELECT conv_id, turn, 0 AS form, text AS part FROM one
+  UNION ALL SELECT conv_id, turn, 1, unnest(regexp_split_to_array(text, '\n[\x20\x09\r]*\n')) FROM one
+  UNION ALL SELECT conv_id, turn, 2, unnest(string_split(text, chr(10))) FROM one),
+u AS (SELECT conv_id, turn, form, lower(trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g'))) AS unit FROM u0),
+v AS (SELECT conv_id, unit, min(turn) AS turn FROM u WHERE form = 0 OR length(unit) - length(replace(unit, ' ', '')) >= 2 GROUP BY conv_id, unit),
+w AS (SELECT u.conv_id, u.turn, v.turn AS origin FROM u JOIN v ON v.conv_id = u.conv_id AND v.unit = u.unit WHERE form = 0)
+SELECT m.conv_id AS thread_id, m.conv_id, m.turn, role,
+  CASE WHEN a.conv_id IS NULL AND b.conv_id IS NULL THEN text ELSE regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') END AS text,
+  CASE WHEN coalesce(a.origin, b.origin) IS NOT NULL AND text IS NOT NULL THEN m.conv_id END AS to_conv,
+  CASE WHEN text IS NOT NULL THEN coalesce(a.origin, b.origin) END AS to_turn,
+  CASE WHEN text IS NULL THEN 0 ELSE (a.conv_id IS NOT NULL)::BIGINT + (b.conv_id IS NOT NULL)::BIGINT END::BIGINT AS n_quotes,
+  '<|' || coalesce(role, 'user') || '|>' || chr(10) || replace(coalesce(CASE WHEN a.conv_id IS NULL AND b.conv_id IS NULL THEN text ELSE regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') END, ''), '<|', '<\|') || chr(10) || '<|end|>' || chr(10) AS markup
+FROM m LEFT JOIN w a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN w b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2
+"""

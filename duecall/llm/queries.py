@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_license_scans": licenses.oracle(), "op10_quality_rules": quality.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat_formatting": chat.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_license_scans": licenses.oracle(), "op10_quality_rules": quality.ORACLE}

@@ -46,3 +46,22 @@ def test_chains_of_conversations_and_order(spark):
 
 def test_empty_table(spark):
     assert run(spark, []).count() == 0
+
+
+def test_replies_as_their_sql(spark, tmp_path):
+    """The query against SQL over conversations with repeated, blank, null and very long texts."""
+    import random
+
+    from compare import same
+
+    rng = random.Random(6)
+    said = ["yes", "Yes ", "no thank you all", "first line here it is\n\nsecond paragraph of it\nlast line of all", "second paragraph of it", "last line of  all", " \n", None, "", "a <|user|> mark", "word " * 30_000]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(said)) for c in range(40) for t in range(rng.randint(1, 9))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    out = chat.query(spark, str(tmp_path))
+    same(out, con, chat.ORACLE)
+    assert out.filter("n_quotes = 2").count() > 40 and out.filter("to_turn < turn - 1").count() > 5
