@@ -8,15 +8,22 @@ ones different ones, and whoever has the key can invert it.
 - payment cards: 13 to 19 digits with a valid Luhn digit; the digits before it are
   permuted, the check digit is computed anew, separators stay
 - bank accounts (IBAN): valid mod 97; the digits are permuted, letters stay, check digits anew
-- telephone numbers: North American ones keep valid area and exchange codes; others keep the country code
+- telephone numbers: North American ones keep valid area and exchange codes; others keep the
+  country code, written apart, or else of two digits (1 and 7 alone)
 - social security numbers: valid ranges are kept
 - IPv4 addresses: each half is permuted
 - dates: yyyy-mm-dd, yyyy/mm/dd, dd/mm/yyyy, mm/dd/yyyy, dd.mm.yyyy from 1900 to 2099; permuted as days, so one
   date in two formats stays one date
-- mail addresses and secrets are no numbers: a keyed hash of the value, in the same form
+- mail addresses and secrets are no numbers: a keyed hash of the value, of 128 bits or as long
+  as the value, so that different ones don't meet in a corpus of any size
 
-A null text stays null; what fails its rule stays as it is, and so does all other text.
-Rows don't affect each other: ties, repeated rows and extra columns change nothing.
+A null text stays null, an empty one empty; what fails its rule stays as it is, and so does all
+other text. The time is linear in a text's length. Rows don't affect each other: ties and repeated
+rows change nothing. An empty table gives no rows. Extra columns pass through, whatever their
+names; one named found is replaced.
+
+The key is an argument. The query takes it from the session's ``spark.duecall.pii.key``, and
+where that is unset, as in tests, uses a demonstration key that keeps nothing secret.
 """
 
 from __future__ import annotations
@@ -26,9 +33,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecall.llm.common import documents, let
+from duecall.llm.common import ROW, documents, let, packed, unpacked
 
-KEY = "demo-key-1"
+KEY, KEY_SETTING = "demo-key-1", "spark.duecall.pii.key"
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 are 17 x 4297.
 EPOCH, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 17, 4297
@@ -43,7 +50,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}+",
     "iban": r"(?<![\w])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[./-]\d)",
-    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-](?:\(?\d{2,4}\)?[ .-]){1,4}\d{2,8})(?![\w]|-\d)",
+    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-](?:\(?\d{2,4}\)?[ .-]){1,4}\d{2,8}|\+\d{8,15})(?![\w]|-\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w]|[.-]\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
@@ -157,11 +164,11 @@ def phone(key: str, m: Column) -> Column:
         return F.when((area >= 200) & (exchange >= 200), shaped(m, new))
 
     def abroad(d: Column) -> Column:
-        code = F.regexp_extract(m, r"^\+(\d{1,3})", 1)
+        code = F.when(m.rlike(r"^\+\d{8,15}$"), F.regexp_extract(m, r"^\+([17]|\d\d)", 1)).otherwise(F.regexp_extract(m, r"^\+(\d{1,3})", 1))
         rest = F.substr(d, F.length(code) + 1)
         return F.when(F.length(d).between(8, 15), shaped(m, F.concat(code, scrambled("phone", key, rest))))
 
-    plain = m.rlike(r"^(\+?1[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$")
+    plain = m.rlike(r"^(\+?1[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$|^\+1\d{10}$")
     return let(digits(m), lambda d: F.when(plain, north(d)).otherwise(abroad(d)))
 
 
@@ -204,7 +211,7 @@ def date(key: str, m: Column) -> Column:
 
 
 def email(key: str, m: Column) -> Column:
-    return F.concat(F.lit("user-"), F.substring(digest("email", key, F.lower(m)), 1, 12), F.lit("@example.invalid"))
+    return F.concat(F.lit("user-"), F.substring(digest("email", key, F.lower(m)), 1, 32), F.lit("@example.invalid"))
 
 
 def secret(key: str, m: Column) -> Column:
@@ -229,25 +236,27 @@ def judged(key: str, m: Column) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced by its pseudonymised form, and a column ``found``: the kind of each replaced value, in order."""
+    none = F.array().cast("array<string>")
 
     def of(text: Column) -> Column:
-        matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), judged(key, m).alias("new")))
+        def with_matches(matches: Column) -> Column:
+            def joined(found: Column) -> Column:
+                back = F.transform(F.split(text, PATTERN, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(found, i)["new"]["value"], F.get(found, i)["old"], F.lit(""))))
+                kinds = F.filter(F.transform(found, lambda x: x["new"]["kind"]), lambda k: k.isNotNull())
+                return F.struct(F.array_join(back, "").alias("text"), kinds.alias("found"))
 
-        def joined(found: Column) -> Column:
-            back = F.transform(F.split(text, PATTERN, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(found, i)["new"]["value"], F.get(found, i)["old"], F.lit(""))))
-            kinds = F.filter(F.transform(found, lambda x: x["new"]["kind"]), lambda k: k.isNotNull())
-            return F.struct(F.array_join(back, "").alias("text"), kinds.alias("found"))
+            some = let(F.transform(matches, lambda m: F.struct(m.alias("old"), judged(key, m).alias("new"))), joined)
+            return F.when(F.size(matches) > 0, some).otherwise(F.struct(text.alias("text"), none.alias("found")))
 
-        return let(matches, joined)
+        return let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), with_matches)
 
-    none = F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("found"))
-    done = F.when(F.col("text").rlike(PATTERN), let(F.col("text"), of)).otherwise(none)
-    out = docs.withColumn("_pii", done)
-    return out.select(*(F.col("_pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("_pii.found").alias("found"))
+    text = F.col(f"{ROW}.text")
+    out = packed(docs).withColumn("done", F.when(text.isNotNull(), let(text, of)))
+    return unpacked(out, docs.columns, text=F.col("done.text"), found=F.coalesce("done.found", none))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+    out = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(KEY_SETTING, KEY))
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join("found", ",").alias("kinds"), "text")

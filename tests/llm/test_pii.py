@@ -1,3 +1,6 @@
+import datetime
+import hashlib
+import random
 import re
 from collections import Counter
 
@@ -7,7 +10,7 @@ from duecall.llm import pii
 
 
 def out(spark, texts, key=pii.KEY):
-    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, found int").drop("found")
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, found int")
     return {r.doc_id: r for r in pii.pseudonymised(df, key).collect()}
 
 
@@ -70,4 +73,112 @@ def test_repeated_rows_very_long_texts_and_empty_table(spark):
     long = "x" * 300_000 + " 4111111111111111 " + "a." * 50_000
     got = out(spark, [long, long])
     assert got[0].text == got[1].text and len(got[0].text) == len(long) and got[0].found == ["card"]
-    assert pii.pseudonymised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymised(spark.createDataFrame([], "doc_id long, text string"), pii.KEY).count() == 0
+
+
+# The same in plain Python, value by value.
+
+
+def network(kind, key, x, y, rows, columns):
+    for i in range(8):
+        own = columns if i % 2 else rows
+        h = int(hashlib.sha256(f"{key}|{kind}|{i}|{y}".encode()).hexdigest()[:14], 16)
+        x, y = y, (x + h) % own
+    return x, y
+
+
+def shape(form, new):
+    left = iter(new)
+    return "".join(next(left) if c in "0123456789" else c for c in form)
+
+
+def scramble(kind, key, s):
+    a = len(s) // 2
+    x, y = network(kind, key, int(s[:a] or 0), int(s[a:]), 10**a, 10 ** (len(s) - a))
+    return (f"{x:0{a}}" if a else "") + f"{y:0{len(s) - a}}"
+
+
+def twin(kind, key, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        check = lambda b: next(c for c in "0123456789" if luhn(b + c))
+        new = scramble(kind, key, d[:-1])
+        return shape(m, new + check(new)) if luhn(d) else None
+    if kind == "iban":
+        c = m.replace(" ", "")
+        worth = lambda t: int("".join(str(int(x, 36)) for x in t))
+        inner = shape(c[4:], scramble(kind, key, re.sub("[^0-9]", "", c[4:])))
+        check = 98 - worth(inner + c[:2] + "00") % 97
+        return shape(m, f"{check:02}" + re.sub("[^0-9]", "", inner)) if worth(c[4:] + c[:4]) % 97 == 1 else None
+    if kind == "phone":
+        if re.fullmatch(r"(\+?1[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}", m):
+            area, exchange, line = int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+            if area < 200 or exchange < 200:
+                return None
+            x, y = network(kind, key, area - 200, (exchange - 200) * 10_000 + line, 800, 8_000_000)
+            return shape(m, d[:-10] + f"{x + 200:03}{y // 10_000 + 200:03}{y % 10_000:04}")
+        code = re.match(r"\+([17]|\d\d)" if re.fullmatch(r"\+\d{8,15}", m) else r"\+(\d{1,3})", m)[1]
+        return shape(m, code + scramble(kind, key, d[len(code) :])) if 8 <= len(d) <= 15 else None
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        x, y = network(kind, key, area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return shape(m, f"{x + 1 + (x >= 665):03}{y // 9999 + 1:02}{y % 9999 + 1:04}")
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        x, y = network(kind, key, o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return ".".join(map(str, (x // 256, x % 256, y // 256, y % 256))) if max(o) < 256 else None
+    if kind == "date":
+        for looks, form in ((r"\d{4}-", "%Y-%m-%d"), (r"\d{4}/", "%Y/%m/%d"), (r"\d\d/", "%d/%m/%Y"), (r"\d\d/", "%m/%d/%Y"), (r"\d\d\.", "%d.%m.%Y")):
+            if re.match(looks, m):
+                try:
+                    n = (datetime.datetime.strptime(m, form).date() - datetime.date(1900, 1, 1)).days
+                except ValueError:
+                    continue
+                if 0 <= n < 17 * 4297:
+                    x, y = network(kind, key, n // 4297, n % 4297, 17, 4297)
+                    return (datetime.date(1900, 1, 1) + datetime.timedelta(x * 4297 + y)).strftime(form)
+        return None
+    if kind == "email":
+        return "user-" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:32] + "@example.invalid"
+    name, value, quote = re.fullmatch(r"(\w+\W?\w*\s{0,3}[=:]\s{0,3}\"?)([^\"]*)(\"?)", m).groups()
+    h = hashlib.sha256(f"{key}|secret|{value}".encode()).hexdigest()
+    return name + (h * (len(value) // 64 + 1))[: len(value)] + quote
+
+
+def test_whole_texts_as_brute_force(spark):
+    import regex
+
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def value():
+        card = digits(15)
+        card += next(c for c in "0123456789" if luhn(card + c))
+        number = digits(14)
+        check = 98 - int("".join(str(int(c, 36)) for c in "WEST" + number + "GB00")) % 97
+        made = [
+            card, digits(16), "-".join(card[k : k + 4] for k in (0, 4, 8, 12)), f"GB{check:02}WEST{number}", f"GB11WEST{number}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "+1" + digits(10), "+49" + digits(9),
+            f"+44 20 {digits(4)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", ".".join(str(rng.randint(0, 300)) for _ in range(4)), f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{rng.randint(1, 31):02}/{rng.randint(1, 12):02}/1999",
+            f"a.{digits(3)}@mail.example.org", "token = " + digits(30), f'api_key: "{digits(20)}.{digits(90)}"', digits(9),
+        ]
+        return rng.choice(made)
+
+    texts = [" ".join(rng.choice(["word", "in", value(), value()]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    got, kinds = out(spark, texts), Counter()
+    for k, text in enumerate(texts):
+        found = []
+
+        def new(m, found=found):
+            for kind, p in pii.PATTERNS.items():
+                if regex.fullmatch(p, m[0]):
+                    if (value := twin(kind, pii.KEY, m[0])) is not None:
+                        found.append(kind)
+                    return m[0] if value is None else value
+            raise AssertionError(m[0])
+
+        assert got[k].text == regex.sub(pii.PATTERN, new, text), text
+        assert got[k].found == found
+        kinds.update(found)
+    assert set(kinds) == set(pii.KINDS) and min(kinds.values()) > 10
