@@ -7,7 +7,9 @@ A word is ready when none of its pairs is in the table. Words are encoded once a
 worker, as far as a bounded memory of words goes.
 
 A null text is an empty one: no ids, decoded to an empty text. Repeated rows give
-repeated results. Texts are encoded whole, whatever their length.
+repeated results. Texts are encoded whole, whatever their length. An empty table gives no
+rows. Only doc_id and text are read, so extra columns, whatever their names, don't matter. A
+vocabulary file with another normaliser or pre-tokenizer than is built here raises ValueError.
 """
 
 from __future__ import annotations
@@ -92,6 +94,10 @@ class Bpe:
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.final = np.array([vocab[x + suffix] for x in letters], np.int64)
+        normal = [x["type"] for x in (j.get("normalizer") or {}).get("normalizers", [])]
+        parts = [x["type"] for x in j["pre_tokenizer"]["pretokenizers"]]
+        if normal not in ([], ["NFC", "Replace", "Lowercase"]) or parts not in (["Split"], ["Split", "ByteLevel"]):
+            raise ValueError(f"a vocabulary with {normal} and {parts}")
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

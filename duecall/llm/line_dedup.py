@@ -161,15 +161,26 @@ def later(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return ranges.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns, with later runs taken out of text, and ``removed_lines``: how many lines went."""
+def shortened(docs: DataFrame, least: int) -> DataFrame:
+    """The packed rows of docs with their new text and how many lines went."""
     gone = later(docs.select("doc_id", "text"), least)
     rows = packed(docs, d=F.col("doc_id"), k=text_key(F.col("text")))
     out = rows.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tkey")), "left")
     text = F.col(f"{ROW}.text")
     out = out.withColumn("left", F.when(F.col("ranges").isNotNull(), cut(text, F.col("ranges"))))
     n = F.when(F.col("ranges").isNotNull(), F.size(F.split(text, "\n")) - F.size("left")).otherwise(0).cast("long")
-    return unpacked(out, docs.columns, text=F.when(F.col("ranges").isNotNull(), F.array_join("left", "\n")).otherwise(text), removed_lines=n)
+    return out.select(ROW, F.when(F.col("ranges").isNotNull(), F.array_join("left", "\n")).otherwise(text).alias("new"), n.alias("n"))
+
+
+def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """docs, all columns, with later runs taken out of text, and ``removed_lines``: how many lines went."""
+    return unpacked(shortened(docs, least), docs.columns, text=F.col("new"), removed_lines=F.col("n"))
+
+
+def cleaned(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """docs, all columns, with later runs taken out of text, without the documents of which they leave no word."""
+    out = shortened(docs, least).filter((F.col("n") == 0) | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    return unpacked(out, docs.columns, text=F.col("new"))
 
 
 def cut(text: Column, ranges: Column) -> Column:

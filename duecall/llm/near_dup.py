@@ -26,7 +26,8 @@ without words the set is empty and linked with nothing. Two documents are linked
 
 Nothing is capped or sampled. A null text is an empty one. Each row is a node of its own
 by its text: rows that share a doc_id aren't linked by that. A null doc_id has a null
-component unless it is linked to others. Ties go to the smallest doc_id.
+component unless it is linked to others. Ties go to the smallest doc_id. An empty table
+gives no rows; extra columns, whatever their names, pass through ``representatives``.
 Sets are told apart by 64-bit hashes of shingles and of sets.
 """
 
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duecall.llm.common import documents, small_batches, text_key, written
+from duecall.llm.common import documents, packed, small_batches, text_key, unpacked, written
 
 COORDINATES, MATCHES = 32, 12
 #: Bits of a parity sketch; a power of two.
@@ -265,9 +266,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest doc_id, once if its row repeats."""
     kept = grouped(docs.select("doc_id", "text"), words).filter("doc_id is null or doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct()
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    kept = kept.select("doc_id", "tkey").distinct()
+    rows = packed(docs, d=F.col("doc_id"), k=text_key(F.col("text")))
+    rows = rows.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("tkey")), "left_semi")
+    return unpacked(rows.dropDuplicates(["d", "k"]), docs.columns)
 
 
 ORACLE = r"""

@@ -9,7 +9,8 @@ refer to that record.
 A null payload is an empty one. Payloads under ``MIN_REVISIT`` bytes are always
 responses. Where several rows hold the smallest page_id of an equal payload, all of
 them are responses. A null page_id sorts last and is written without a number. Broken
-archives raise ValueError. An empty table gives no archive and no rows.
+archives raise ValueError. An empty table gives no archive and no rows. Only page_id, url
+and html are read, so extra columns, whatever their names, don't matter; a url may be of any length.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ from duecall.llm.common import shared_path, small_batches, written
 MIN_REVISIT = 100
 #: Bytes of an archive after which a writer begins the next one, and bytes that the reader takes at once.
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 18
-#: Longer headers than this are taken for a broken archive.
-MAX_HEAD = 1 << 20
 #: Archives carry this one date, so that equal rows give equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +99,7 @@ def members(pieces: Iterable[bytes]) -> Iterator[bytes]:
 
 def parsed(data: bytes) -> Record:
     """The record of one member: framed by its Content-Length, its digests checked."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/1.") or end < 0:
         raise ValueError("no WARC header")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[:end].decode().split("\r\n")[1:])}

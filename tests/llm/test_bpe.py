@@ -55,3 +55,12 @@ def test_columns(spark):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df)).collect()}
     assert back == {1: "hello</w> <|endoftext|> world</w>", 2: "", 3: ""}
     assert bpe.tokenised(df.limit(0)).count() == 0
+
+
+def test_very_long_text_and_other_files():
+    text = "Some words of a text, 42 times! " * 40_000
+    assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+    spec = json.loads(bpe.vocabulary())
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps(spec))

@@ -41,3 +41,9 @@ def test_wrong_digests_and_lengths():
 
 def test_empty_table(spark, tmp_path):
     assert warc.read(warc.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_null_page_id_and_very_long_cells(spark, tmp_path):
+    rows = [(None, "http://a/" + "x" * 2_000_000, "y" * 3_000_000), (9, "http://a/9", "y" * 3_000_000), (None, None, None)]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/n")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got) == [("9", 3_000_000, "response", None), ("None", 0, "response", None), ("None", 3_000_000, "revisit", 9)]
