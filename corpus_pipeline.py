@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from duecall.llm import bpe, line_dedup, mixing, near_dup, quality
 from duecall.llm.common import documents, written
 
-#: SQL can't express byte-pair merges: the pipeline is tested against its operators' brute-force versions.
+#: SQL can't express byte-pair merges: the whole pipeline is tested against its stages in plain Python.
 ORACLE_SQL = None
 
 
@@ -31,8 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later runs of lines; documents of which nothing but white space is left go."""
-    out = line_dedup.deduplicated(docs)
-    return _sized(out.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns))
+    return _sized(line_dedup.cleaned(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
