@@ -34,11 +34,11 @@ TYPES = [
     ("conference", r"\b(?:conferences?|venues?)\b"),
 ]
 _AMOUNT = rf"(?P<n>{'|'.join(NUMBERS)}|\d+) (?P<unit>day|week|month|year)s?"
-_DATE = rf"(?P<month>{'|'.join(MONTHS)})(?: (?P<day>\d{{1,2}}))?(?: (?P<year>20\d\d))?"
+_DATE = rf"(?P<month>{'|'.join(f'{m[:3]}(?:{m[3:]})?' for m in MONTHS)})(?: (?P<day>\d{{1,2}})(?!\d))?(?: (?P<year>20\d\d))?\b"
 _BOUNDS = [
     ("least", rf"(?:at least|minimum of|more than|no sooner than) {_AMOUNT}"),
-    ("before", rf"(?<!in )(?:less than|under) {_AMOUNT}"),
-    ("most", rf"(?:within|in the next|in less than|no more than)(?: the next)? {_AMOUNT}"),
+    ("before", rf"(?:in less than|less than|under)(?: the next)? {_AMOUNT}"),
+    ("most", rf"(?:within|in the next|no more than)(?: the next)? {_AMOUNT}"),
 ]
 _DATES = [("least", rf"(?:after|later than|no earlier than) {_DATE}"), ("most", rf"(?:before|earlier than|no later than) {_DATE}")]
 
@@ -88,7 +88,7 @@ def parse(raw: str, now: datetime) -> Search:
             rest = rest[: m.start()] + " " + rest[m.end() :]
     for name, pattern in _DATES:
         if m := re.search(rf"\b{pattern}\b", rest):
-            month, day = MONTHS.index(m["month"]) + 1, int(m["day"] or 1)
+            month, day = next(k for k, x in enumerate(MONTHS, 1) if x.startswith(m["month"])), int(m["day"] or 1)
             try:
                 when = datetime(int(m["year"] or now.year), month, day)
             except ValueError:
@@ -101,16 +101,17 @@ def parse(raw: str, now: datetime) -> Search:
             rest = rest[: m.start()] + " " + rest[m.end() :]
     if re.search(r"\brolling\b", rest):
         out.rolling, rest = True, re.sub(r"\brolling\b", " ", rest)
-    if m := re.search(r"\b(?:trusted|verified|legitimate)\b(?: only)?", rest):
+    good = r"(?:trusted|verified|legitimate)"
+    if m := re.search(rf"\b{good} (?:only|calls?|venues?|conferences?|journals?|publishers?)\b|\bonly {good}\b", rest):
         out.trusted, rest = True, rest[: m.start()] + " " + rest[m.end() :]
     for kind, pattern in TYPES:
         if kind == "workshop" and "workshop-proposal" in out.types:
             continue
-        if re.search(pattern, rest):
+        if re.search(pattern, text):
             out.types += [kind, "special-issue"] if kind == "journal" and "special-issue" not in out.types else [kind]
             rest = re.sub(pattern, " ", rest)
     for name, (triggers, phrases) in CONCEPTS.items():
-        if any(re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", text) for t in triggers):
+        if any(t in text for t in triggers):
             out.concepts[name] = phrases
     words = [w.strip("./-") for w in rest.split()]
     out.terms = list(dict.fromkeys(w for w in words if w and w not in STOP_WORDS and w not in FILLER and (len(w) > 1 or w.isdigit())))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +15,30 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a an and are as at by for from in into is of on or that the to with".split()
 
 
-def folded(text: Column) -> Column:
-    """Compatibility-decomposed, without accents; for ingest only, as it runs in Python."""
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters of the basic plane whose compatibility decomposition without accents is ASCII: single letters, and ligatures."""
+    one, many = {}, {}
+    for k in range(0xA0, 0x10000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not "\u0300" <= c <= "\u036f")
+        if plain != chr(k) and plain.isascii() and plain.isalnum():
+            if len(plain) == 1:
+                one[chr(k)] = plain
+            elif plain.isalpha() and unicodedata.category(chr(k)) in ("Ll", "Lu", "Lt"):
+                many[chr(k)] = plain
+    return "".join(one), "".join(one.values()), many
+
 
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f"))
+_FROM, _TO, _LIGATURES = _decomposed()
 
-    return fold(text)
+
+def folded(text: Column) -> Column:
+    """Compatibility-decomposed, without accents: Latin letters, digits and ligatures; other scripts lose combining marks only."""
+    out = F.regexp_replace(F.translate(text, _FROM, _TO), "[\u0300-\u036f]", "")
+    ligatures = text
+    for old, new in _LIGATURES.items():
+        ligatures = F.replace(ligatures, F.lit(old), F.lit(new))
+    plain = F.regexp_replace(F.translate(ligatures, _FROM, _TO), "[\u0300-\u036f]", "")
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(f"[{''.join(_LIGATURES)}]"), plain).otherwise(out)
 
 
 def squeezed(text: Column) -> Column:
@@ -31,28 +46,28 @@ def squeezed(text: Column) -> Column:
 
 
 def search_text(text: Column) -> Column:
-    """Lower case; letters, digits and ``+#./-``; single blanks."""
-    return squeezed(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#./-]+", " "))
+    """Without accents, lower case; letters, digits and ``+#./-``; single blanks."""
+    return squeezed(F.regexp_replace(F.lower(folded(F.coalesce(text, F.lit("")))), r"[^a-z0-9+#./-]+", " "))
 
 
 def name_text(text: Column, years: bool = True, ampersand: bool = True) -> Column:
     """Lower-case letters and digits; optionally without years and with & as "and"."""
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lower(folded(F.coalesce(text, F.lit(""))))
     if ampersand:
         out = F.regexp_replace(out, "&", " and ")
     if not years:
-        out = F.regexp_replace(out, r"(^|[^0-9])(?:19|20)[0-9][0-9]($|[^0-9])", "$1 $2")
+        out = F.regexp_replace(out, r"(?<![a-z0-9])(?:19|20)[0-9][0-9](?![a-z0-9])", " ")
     return squeezed(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
 def acronym(text: Column) -> Column:
     """Without years, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?:19|20)[0-9][0-9]", "")), r"[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![A-Za-z0-9_])(?:19|20)[0-9][0-9](?![A-Za-z0-9_])", "")), r"[^a-z0-9]", "")
 
 
 def tokens(normal: Column, least: int = 2, digits: bool = True, stop: list[str] | None = None) -> Column:
     """Words of a normal form: edge ``./-`` stripped, stop words and short words dropped; digits may stay at any length."""
-    words = F.transform(F.split(normal, " "), lambda w: F.regexp_replace(w, r"^[./-]+|[./-]+$", ""))
+    words = F.split(F.regexp_replace(normal, r"(?<![^ ])[./-]+|[./-]+(?![^ ])", ""), " ")
     long = lambda w: (F.length(w) >= least) | (w.rlike("^[0-9]+$") if digits else F.lit(False))
     stop = STOP_WORDS if stop is None else stop
     return F.filter(words, lambda w: (w != "") & long(w) & ~w.isin(stop) if stop else (w != "") & long(w))

@@ -6,60 +6,73 @@ matches, not with the tokens. The corpus statistics are one row and are broadcas
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecall.functions import text as T
+from duecall.functions.parse import Search, parse
+from duecall.operators import lifecycle
+from duecall.sources.staging import written
+
 K1, B = 1.2, 0.75
 
 
-def scored(rows: DataFrame, key: str, high: Column, body: Column, weights: dict[str, float], high_weight: float, floor: float = 0.0) -> DataFrame:
+def scored(rows: DataFrame, high: Column, body: Column, weights: dict[str, float], high_weight: float, floor: float = 0.0, bonus: Column | None = None, once: bool = False) -> DataFrame:
     """rows with a BM25 score; high and body are arrays of tokens, weights the query's terms.
 
     score = sum over terms of w * ln(1 + (N - df + .5) / (df + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)),
-    tf and len counting the high field high_weight times. Statistics are over rows as given.
+    tf and len counting the high field high_weight times, and bonus, an expression over rows. Statistics are
+    over rows as given. They and the scores both need the counts: with ``once`` these are
+    written, so that long texts are taken apart once.
     """
-    if not weights:
-        return rows.withColumn("score", F.lit(0.0))
-    terms = F.array(*map(F.lit, weights))
+    terms = F.array(*map(F.lit, weights)).cast("array<string>")
     counted = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-    length = F.greatest(high_weight * F.size("_h") + F.size("_b"), F.lit(floor))
-    # counts of the query's terms are made beside the tokens, which go no further
-    slim = rows.withColumns({"_h": high, "_b": body}).withColumn("_tf", F.transform(terms, lambda t: high_weight * counted(F.col("_h"), t) + counted(F.col("_b"), t)))
-    slim = slim.withColumn("_len", length.cast("double")).drop("_h", "_b")
-    stats = slim.agg(F.count("*").alias("_n"), F.greatest(F.avg("_len"), F.lit(1.0)).alias("_avg"), *(F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(weights))))
+    count = lambda h, b: F.struct(F.greatest(high_weight * F.size(h) + F.size(b), F.lit(floor)).cast("double").alias("len"), F.transform(terms, lambda t: high_weight * counted(h, t) + counted(b, t)).alias("tf"))
+    both = F.get(F.transform(F.array(F.struct(high.alias("h"), body.alias("b"))), lambda x: count(x["h"], x["b"])), F.lit(0))
+    slim = rows.select(*rows.columns, both.alias("_c"), (F.lit(0.0) if bonus is None else bonus).alias("_bonus"))
+    drop = [c for c in rows.columns if c.startswith("_")]
+    slim = slim.drop(*drop)
+    slim = written(slim, "counts") if once else slim
+    stats = slim.agg(F.count("*").alias("_n"), F.greatest(F.avg("_c.len"), F.lit(1.0)).alias("_avg"), *(F.count_if(F.get("_c.tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(weights))))
     out = slim.crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for k, w in enumerate(weights.values()):
-        tf, df = F.get("_tf", F.lit(k)), F.col(f"_df{k}")
+        tf, df = F.get("_c.tf", F.lit(k)), F.col(f"_df{k}")
         idf = F.ln(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-        total = total + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
-    return out.withColumn("score", total).select(*rows.columns, "score")
+        total = total + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_c.len") / F.col("_avg")))).otherwise(0.0)
+    return out.withColumn("score", total + F.col("_bonus")).select(*(c for c in rows.columns if c not in drop), "score")
 
 
-def with_phrase(score: Column, phrase: str, high: Column, body: Column) -> Column:
-    """+5 for the whole phrase in the high text, else +2 in the body."""
+def phrase_bonus(phrase: str, high: Column, body: Column) -> Column:
+    """5 for the whole phrase in the high text, else 2 in the body; none for phrases under three characters."""
     if len(phrase) < 3:
-        return score
-    return score + F.when(high.contains(phrase), 5.0).when(body.contains(phrase), 2.0).otherwise(0.0)
+        return F.lit(0.0)
+    return F.when(high.contains(phrase), 5.0).when(body.contains(phrase), 2.0).otherwise(0.0)
 
 
 def concept_hits(text: Column, phrases: list[str]) -> Column:
-    return sum((F.when(F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {p}"), 1).otherwise(0) for p in phrases), F.lit(0))
+    """How many of the phrases a text holds, anywhere, also within words."""
+    return sum((F.when(text.contains(p), 1).otherwise(0) for p in phrases), F.lit(0))
 
 
-def with_concepts(score: Column, text: Column, concepts: dict[str, list[str]]) -> Column:
-    """+2 for each concept that is met, and 0.75 for each further phrase of it, three at most."""
+def concept_bonus(text: Column, concepts: dict[str, list[str]]) -> Column:
+    """2 for each concept that is met, and 0.75 for each further phrase of it, three at most."""
+    out = F.lit(0.0)
     for phrases in concepts.values():
         hits = concept_hits(text, phrases)
-        score = score + F.when(hits > 0, 2 + 0.75 * F.least(hits - 1, F.lit(3))).otherwise(0.0)
-    return score
+        out = out + F.when(hits > 0, 2 + 0.75 * F.least(hits - 1, F.lit(3))).otherwise(0.0)
+    return out
 
 
 def concept_filter(rows: DataFrame, text: Column, concepts: dict[str, list[str]]) -> DataFrame:
-    for phrases in concepts.values():
-        rows = rows.filter(concept_hits(text, phrases) > 0)
-    return rows
+    """Rows that hold a phrase of any concept; all rows where there is no concept."""
+    if not concepts:
+        return rows
+    phrases = dict.fromkeys(p for some in concepts.values() for p in some)
+    return rows.filter(concept_hits(text, list(phrases)) > 0)
 
 
 def expansion(terms: list[str], concepts: dict[str, list[str]]) -> dict[str, float]:
@@ -71,6 +84,25 @@ def expansion(terms: list[str], concepts: dict[str, list[str]]) -> dict[str, flo
     return out
 
 
+def searched(rows: DataFrame, raw: str, now: datetime, once: bool = True) -> tuple[DataFrame, Search]:
+    """The whole search, from a string to scored rows in order: constraints, concept filter, weighted BM25
+    over what is left, boosts, and a score above 0 where the query has meaning; else by deadline.
+
+    rows: (id, type, deadline, rolling, official, ``_high``, ``_body``) with the two fields' search texts.
+    """
+    q = parse(raw, now)
+    rows = lifecycle.constrained(rows, q.types, q.trusted, q.rolling, *(str(x) if x else None for x in (q.least, q.most, q.before)))
+    both = F.concat_ws(" ", "_high", "_body")
+    rows = concept_filter(rows, both, q.concepts)
+    if not (q.terms or q.concepts):
+        out = rows.drop("_high", "_body").withColumn("score", F.lit(0.0))
+        return out.orderBy(F.when(~F.coalesce("rolling", F.lit(False)), F.col("deadline")).asc_nulls_last(), "id"), q
+    bonus = phrase_bonus(q.text, F.col("_high"), F.col("_body")) + concept_bonus(both, q.concepts)
+    out = scored(rows, T.tokens(F.col("_high")), T.tokens(F.col("_body")), expansion(q.terms, q.concepts), 2.4, bonus=bonus, once=once)
+    out = out.withColumn("score", F.round("score", 6)).filter("score > 0")
+    return out.orderBy(F.desc("score"), "id"), q
+
+
 def faceted(papers: DataFrame, year: int | None = None, topic: str | None = None, method: str | None = None, open_only: bool = False) -> DataFrame:
     if year is not None:
         papers = papers.filter(F.col("year") == year)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.functions.parse import parse
-from duecall.operators import lifecycle as life
 from duecall.operators import search as S
 from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, table
 
@@ -39,66 +38,84 @@ sc AS (SELECT tf.*, {parts} AS score FROM tf, st)"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
+def _norm(expr: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower(coalesce({expr}, ''))), '[^a-z0-9+#./-]+', ' ', 'g'))"
+
+
 def _tok(expr: str) -> str:
-    return f"list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({expr}, '')), '[^a-z0-9+#./-]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[./-]+|[./-]+$', '', 'g')), lambda w: w <> '' AND (length(w) >= 2 OR regexp_matches(w, '^[0-9]+$')) AND NOT list_contains({_STOP}, w))"
+    return f"list_filter(list_transform(string_split({_norm(expr)}, ' '), lambda w: regexp_replace(w, '^[./-]+|[./-]+$', '', 'g')), lambda w: w <> '' AND (length(w) >= 2 OR regexp_matches(w, '^[0-9]+$')) AND NOT list_contains({_STOP}, w))"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    return docs.withColumns({"_high": T.search_text(F.concat_ws(" ", "source", "lang")), "_body": T.search_text(F.col("text"))})
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    none = {"type": F.lit("conference"), "deadline": F.lit(None).cast("timestamp_ntz"), "rolling": F.lit(False), "official": F.lit(True)}
+    return docs.withColumns({**none, "_high": T.search_text(F.concat_ws(" ", "source", "lang")), "_body": T.search_text(F.col("text"))}).drop("text")
 
 
-def _ranked(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
-    return S.scored(rows, "doc_id", T.tokens(F.col("_high")), T.tokens(F.col("_body")), terms, 2.4)
+_ASKED, _WHEN = "show me security license work in the src3 the inin apache", datetime(1998, 6, 1)
+_Q = parse(_ASKED, _WHEN)
 
 
-_C = f"c AS (SELECT doc_id, lang, source, text, {_tok('''source || ' ' || lang''')} AS h, {_tok('text')} AS b FROM documents WHERE {{where}})"
-_Q = parse("show me security license work in the src3 the inin apache", datetime(1998, 6, 1))
-_TERMS = {"license": 1.0, "work": 1.0, "src3": 1.0, "apache": 1.0, "inin": 1.0}
+def _search(q, where: str = "true") -> str:
+    """SQL of a whole search over the documents, from what its string was understood as."""
+    has = lambda p: f"contains(ht || ' ' || bt, '{p}')"
+    phrases = [p for some in q.concepts.values() for p in some]
+    kept = f" AND ({' OR '.join(map(has, phrases))})" if phrases else ""
+    hits = [" + ".join(f"{has(p)}::INT" for p in some) for some in q.concepts.values()]
+    boost = "".join(f" + CASE WHEN {h} > 0 THEN 2 + 0.75::DOUBLE * least({h} - 1, 3) ELSE 0 END" for h in hits)
+    phrase = f" + CASE WHEN contains(ht, '{q.text}') THEN 5 WHEN contains(bt, '{q.text}') THEN 2 ELSE 0 END" if len(q.text) >= 3 else ""
+    return f"""c0 AS (SELECT doc_id, {_norm("concat_ws(' ', source, lang)")} AS ht, {_norm('text')} AS bt, {_tok("concat_ws(' ', source, lang)")} AS h, {_tok('text')} AS b FROM documents WHERE {where}),
+c AS (SELECT * FROM c0 WHERE true{kept}), {_bm25(S.expansion(q.terms, q.concepts), 2.4)},
+found AS (SELECT doc_id, round(score{phrase}{boost}, 6) AS score FROM sc WHERE round(score{phrase}{boost}, 6) > 0)"""
 
 
-@query(f"WITH {_C.format(where='true')}, {_bm25(_TERMS, 2.4)}, p AS (SELECT doc_id, score + CASE WHEN contains(' ' || array_to_string(b, ' '), 'apache license') THEN 2 ELSE 0 END AS s FROM sc WHERE score > 0) SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) AS ord FROM p QUALIFY ord <= 50")
+@query(f"WITH {_search(_Q)} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ord FROM found QUALIFY ord <= 50")
 def bm25_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Constrained catalogue search, the flagship: score, phrase boost, best first."""
-    rows = _ranked(_docs(spark, d), _TERMS).filter("score > 0")
-    score = S.with_phrase(F.col("score"), "apache license", F.col("_high"), F.array_join(T.tokens(F.col("_body")), " "))
-    top = rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    """The whole catalogue search, the flagship: from a plain string to the best rows."""
+    rows, _ = S.searched(_docs(spark, d), _ASKED, _WHEN)
+    top = rows.select(F.col("id").alias("doc_id"), "score").limit(50)
     return top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
-@query(f"""WITH {_C.format(where="lang = 'en'")}, {_bm25({"the": 0.0, "license": 1.0, "mit": 1.0}, 2.4)} SELECT doc_id, round(score, 6) AS score FROM sc WHERE score > 0""")
+_MIT = parse("the license mit", _WHEN)
+
+
+@query(f"""WITH {_search(_MIT, "lang = 'en'")} SELECT doc_id, score FROM found""")
 def bm25_filtered_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Statistics over the filtered rows only."""
-    return _ranked(_docs(spark, d).filter("lang = 'en'"), {"the": 0.0, "license": 1.0, "mit": 1.0}).filter("score > 0").select("doc_id", F.round("score", 6).alias("score"))
+    return S.searched(_docs(spark, d).filter("lang = 'en'"), "the license mit", _WHEN)[0].select(F.col("id").alias("doc_id"), "score")
 
 
-_PHRASES = ["license", "public license", "apache"]
+_PHRASES = {"legal": ["license", "public license", "apache"], "speech": ["langua", "words of"]}
 
 
-@query("""WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9+#./-]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) || ' ' AS t FROM documents),
-h AS (SELECT doc_id, contains(t, ' license')::INT + contains(t, ' public license')::INT + contains(t, ' apache')::INT AS h FROM t)
-SELECT doc_id, (2 + 0.75 * least(h - 1, 3))::DOUBLE AS boost FROM h WHERE h > 0""")
+@query(f"""WITH t AS (SELECT doc_id, {_norm('text')} AS t FROM documents), h AS (SELECT doc_id, contains(t, 'license')::INT + contains(t, 'public license')::INT + contains(t, 'apache')::INT AS h, contains(t, 'langua')::INT + contains(t, 'words of')::INT AS g FROM t)
+SELECT doc_id, (CASE WHEN h > 0 THEN 2 + 0.75::DOUBLE * least(h - 1, 3) ELSE 0 END + CASE WHEN g > 0 THEN 2 + 0.75::DOUBLE * least(g - 1, 3) ELSE 0 END)::DOUBLE AS boost FROM h WHERE h > 0 OR g > 0""")
 def concept_boost(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.concept_filter(_docs(spark, d), F.col("_body"), {"legal": _PHRASES})
-    return rows.select("doc_id", S.with_concepts(F.lit(0.0), F.col("_body"), {"legal": _PHRASES}).alias("boost"))
+    """Rows that meet any concept, with their boost."""
+    rows = S.concept_filter(_docs(spark, d), F.col("_body"), _PHRASES)
+    return rows.select(F.col("id").alias("doc_id"), S.concept_bonus(F.col("_body"), _PHRASES).alias("boost"))
+
+
+_PLAIN = "trusted only workshops or conferences at least two weeks ahead, under three months"
 
 
 @query(f"""WITH {CALLS_SQL}, t AS (SELECT id, deadline FROM calls WHERE type IN ('workshop', 'conference') AND official AND NOT rolling AND deadline >= TIMESTAMP '{NOW}' + INTERVAL 14 DAY AND deadline < TIMESTAMP '1998-09-01')
-SELECT id, deadline, row_number() OVER (ORDER BY deadline, id) AS ord FROM t""")
+SELECT id, deadline, row_number() OVER (ORDER BY deadline, id) AS ord FROM t QUALIFY ord <= 1000""")
 def plain_language_search(spark: SparkSession, d: str) -> DataFrame:
-    """A query without terms: its constraints, soonest first."""
-    q = parse("trusted only workshops or conferences at least two weeks ahead, under three months", datetime(1998, 6, 1))
-    rows = life.constrained(calls(spark, d), q.types, q.trusted, q.rolling, *(str(x) if x else None for x in (q.least, q.most, q.before)))
-    return rows.select("id", "deadline", F.row_number().over(Window.orderBy(F.col("deadline").asc_nulls_last(), "id")).cast("long").alias("ord"))
+    """A query without terms: its constraints, the soonest thousand first."""
+    rows = calls(spark, d).withColumns({"_high": F.lit(""), "_body": F.lit("")})
+    top = S.searched(rows, _PLAIN, _WHEN)[0].select("id", "deadline").limit(1000)
+    return top.withColumn("ord", F.row_number().over(Window.orderBy(F.col("deadline").asc_nulls_last(), "id")).cast("long"))
 
 
 _PT = {"blue": 1.0, "steel": 1.0, "small": 1.0, "copper": 1.0}
-_P = f"{PAPERS_SQL}, c AS (SELECT id, title, year, citations, topics, method, venue, open_url, list_concat(string_split(lower(title), ' '), list_concat(list_transform(topics, lambda x: lower(x)), string_split(lower(method), ' '))) AS h, ['brand'] AS b FROM papers)"
+_P = f"{PAPERS_SQL}, c AS (SELECT id, title, year, citations, topics, method, venue, open_url, list_concat(string_split(lower(title), ' '), list_concat(list_transform(topics, lambda x: lower(x)), string_split(lower(method), ' '))) AS h, string_split(lower(venue), '#') AS b FROM papers)"
 
 
 def _scored_papers(rows: DataFrame) -> DataFrame:
     high = F.concat(F.split(F.lower("title"), " "), F.transform("topics", F.lower), F.split(F.lower("method"), " "))
-    return S.scored(rows, "id", high, F.array(F.lit("brand")), _PT, 2.5, floor=1.0).withColumn("score", F.round("score", 4))
+    return S.scored(rows, high, F.split(F.lower("venue"), "#"), _PT, 2.5, floor=1.0).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {_P}, {_bm25(_PT, 2.5, 1.0)}, r AS (SELECT *, round(score, 4) AS s FROM sc) SELECT id, s AS score, row_number() OVER (ORDER BY s DESC, year DESC, title, id) AS ord, (SELECT count(*) FROM r) AS total, 30::BIGINT AS next_offset FROM r QUALIFY ord BETWEEN 11 AND 30")
