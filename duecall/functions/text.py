@@ -31,8 +31,9 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _LIGATURES = _decomposed()
 
 
-def folded(text: Column) -> Column:
+def folded(text: Column | str) -> Column:
     """Compatibility-decomposed, without accents: Latin letters, digits and ligatures; other scripts lose combining marks only."""
+    text = F.col(text) if isinstance(text, str) else text
     out = F.regexp_replace(F.translate(text, _FROM, _TO), "[\u0300-\u036f]", "")
     ligatures = text
     for old, new in _LIGATURES.items():

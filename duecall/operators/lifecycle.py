@@ -20,10 +20,11 @@ def closure(now: str, status: Column, seed: Column, verified: Column, dates: lis
     """struct(active, reason, closed_at), tested in this order: a closing status; an imported
     seed that nobody verified; the first date that is set (unreadable, passed or ahead); rolling; pending date; nothing.
 
-    dates are parsed, raw their texts where they come as text: a text without a date is an invalid deadline.
+    dates are columns of dates; or raw is their texts: the first that isn't empty counts, and if
+    it can't be read the deadline is invalid, whatever the later ones say.
     """
-    date = F.coalesce(*dates)
-    text = F.coalesce(*raw) if raw else None
+    text = F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in raw)) if raw else None
+    date = F.coalesce(*dates) if text is None else F.coalesce(*(F.try_to_timestamp(text, F.lit(form)) for form in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"))).cast("timestamp_ntz")
     out = lambda active, reason, at=None: F.struct(F.lit(active).alias("active"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), (F.lit(None) if at is None else at).cast("timestamp_ntz").alias("closed_at"))
     low = F.lower(F.trim(status))
     cases = F.when(low.isin(CLOSED), out(False, F.concat(F.lit("status:"), low))).when(seed & ~verified, out(False, "unverified-seed"))

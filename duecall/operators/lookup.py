@@ -7,35 +7,36 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 
-# Formal ranks, and regional names that stand for one group.
-FORMAL, REGIONAL = ["A*", "A", "B", "C"], ["AUSTRALASIAN", "NATIONAL", "REGIONAL"]
+# Formal ranks.
+FORMAL = ["A*", "A", "B", "C"]
 
 
-def rank_group(rank: Column) -> Column:
-    up = F.upper(F.trim(rank))
-    return F.when(up.isin(FORMAL), up).when(F.exists(F.array(*map(F.lit, REGIONAL)), lambda r: up.startswith(r)), "Regional").otherwise("Unranked")
+def rank_group(rank: Column, groups: dict[str, str] | None = None) -> Column:
+    """A raw rank's group: as configured, a formal rank itself, a regional B or C its letter, else unranked."""
+    raw = F.trim(F.coalesce(rank, F.lit("")))
+    out = F.when(raw.isin(FORMAL), raw).when(raw.rlike(r"^(?i:australasian)\s+[bBcC]$"), F.upper(F.right(raw, F.lit(1)))).otherwise("unranked")
+    for name, group in (groups or {}).items():
+        out = F.when(raw == name, F.lit(group)).otherwise(out)
+    return out
 
 
-def ranked(calls: DataFrame, rankings: DataFrame, key: str, acronym: str, title: str) -> DataFrame:
-    """calls with rank and source of the ranking row of the same normal acronym, or nulls.
+def ranked(calls: DataFrame, rankings: DataFrame, key: str, acronym: str, title: str, kind: str | None = None, groups: dict[str, str] | None = None) -> DataFrame:
+    """calls with rank, rank_raw and rank_source of the ranking row of the same normal acronym, or nulls.
 
-    One candidate is taken; of several the one with strictly the best title
-    similarity; where the best tie, the first if all candidates have one rank group.
-    rankings: (ord, acronym, title, rank, source).
+    Only conferences and calls without a type (column kind) are ranked. One candidate is taken; of
+    several the one with strictly the best title similarity; where the best tie, the first of
+    them if all candidates have one rank group. rankings: (ord, acronym, title, rank, source).
     """
-    own = calls.withColumns({"_a": T.acronym(F.col(acronym)), "_t": T.tokens(T.name_text(F.col(title), years=False), 3, digits=False, stop=[])})
-    dim = rankings.select(F.col("ord").alias("_ord"), T.acronym(F.col("acronym")).alias("_b"), T.tokens(T.name_text(F.col("title"), years=False), 3, digits=False, stop=[]).alias("_u"), F.col("rank").alias("_rank"), F.col("source").alias("_source"))
-    hits = own.filter("_a <> ''").join(dim, F.col("_a") == F.col("_b")).select(key, "_ord", "_rank", "_source", T.jaccard(F.col("_t"), F.col("_u")).alias("_s"))
-    agg = hits.groupBy(key).agg(
-        F.max(F.struct("_s", -F.col("_ord"), "_rank", "_source")).alias("best"),
-        F.max("_s").alias("top"),
-        F.collect_list("_s").alias("all"),
-        F.min(F.struct("_ord", "_rank", "_source")).alias("first"),
-        F.count_distinct(rank_group(F.col("_rank"))).alias("groups"),
-    )
-    at_top = F.size(F.filter("all", lambda s: s == F.col("top")))
-    pick = lambda f: F.when(at_top == 1, F.col(f"best.{f}")).when(F.col("groups") == 1, F.col(f"first.{f}"))
-    return calls.join(agg.select(key, pick("_rank").alias("rank"), pick("_source").alias("rank_source")), key, "left")
+    words = lambda c: F.array_distinct(T.tokens(T.name_text(c, years=False, ampersand=False), 3, digits=False, stop=[]))
+    own = calls.withColumns({"_a": T.acronym(F.col(acronym)), "_t": words(F.col(title))}).filter("_a <> ''")
+    own = own.filter(F.coalesce(F.col(kind), F.lit("conference")) == "conference") if kind else own
+    dim = rankings.select(F.col("ord").alias("_ord"), T.acronym(F.col("acronym")).alias("_b"), words(F.col("title")).alias("_u"), F.col("rank").alias("_rank"), F.col("source").alias("_source"), rank_group(F.col("rank"), groups).alias("_group"))
+    hits = own.join(dim, F.col("_a") == F.col("_b")).select(key, "_ord", "_rank", "_source", "_group", T.jaccard(F.col("_t"), F.col("_u")).alias("_s"))
+    by_score = hits.groupBy(key, "_s").agg(F.min(F.struct("_ord", "_rank", "_source", "_group")).alias("_first"), F.count("*").alias("_n"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi"))
+    best = by_score.groupBy(key).agg(F.max(F.struct("_s", "_n", "_first")).alias("_top"), (F.min("_lo") == F.max("_hi")).alias("_one"))
+    sure = (F.col("_top._n") == 1) | F.col("_one")
+    pick = lambda f: F.when(sure, F.col(f"_top._first.{f}"))
+    return calls.join(best.select(key, pick("_group").alias("rank"), pick("_rank").alias("rank_raw"), pick("_source").alias("rank_source")), key, "left")
 
 
 def identified(calls: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.operators import lookup, merge, upserts
-from duecall.sources.tables import PAPERS_SQL, papers, table
+from duecall.sources.tables import CALLS_SQL, PAPERS_SQL, calls, papers, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,14 +38,17 @@ def ordered_child_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
-    """A catalogue from brands: two rows for some, of equal or different rank."""
-    p = table(spark, d, "part").filter("p_partkey % 20 = 0")
-    rank = F.get(F.array(*map(F.lit, ["A*", "A", "B", "C", "Australasian B", "D"])), (F.col("p_partkey") % 6).cast("int"))
-    return p.select(F.col("p_partkey").alias("ord"), F.substring("p_brand", 1, 8).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"))
+    """A catalogue of bounded size: each brand's first and last part, of equal or different rank."""
+    p = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("z"))
+    rank = F.get(F.array(*map(F.lit, ["A*", "A", "B", "C", "Australasian B", "National: USA"])), (F.col("ord") % 6).cast("int"))
+    keys = p.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("ord"))
+    rows = table(spark, d, "part").join(keys, F.col("p_partkey") == F.col("ord"))
+    return rows.select("ord", F.concat(F.substring("p_brand", 1, 8), F.lit(" 2001")).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"))
 
 
-_RANK = """r0 AS (SELECT p_partkey AS ord, substr(p_brand, 1, 8) AS acronym, p_name AS title, CASE p_partkey % 6 WHEN 0 THEN 'A*' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'Australasian B' ELSE 'D' END AS rank FROM part WHERE p_partkey % 20 = 0),
-r AS (SELECT *, regexp_replace(lower(acronym), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3)) AS t, CASE WHEN rank IN ('A*','A','B','C') THEN rank WHEN rank LIKE 'Australasian%' THEN 'Regional' ELSE 'Unranked' END AS g FROM r0)"""
+_RANK = """r0 AS (SELECT p_partkey AS ord, substr(p_brand, 1, 8) AS acronym, p_name AS title, CASE p_partkey % 6 WHEN 0 THEN 'A*' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'Australasian B' ELSE 'National: USA' END AS rank FROM part
+  WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT max(p_partkey) FROM part GROUP BY p_brand)),
+r AS (SELECT *, regexp_replace(lower(acronym), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3)) AS t, CASE WHEN rank IN ('A*','A','B','C') THEN rank WHEN rank = 'Australasian B' THEN 'B' ELSE 'unranked' END AS g FROM r0)"""
 
 
 @query("WITH " + _RANK + " SELECT g AS rank_group, count(*) AS n FROM r GROUP BY g")
@@ -53,13 +56,14 @@ def rank_group_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _rankings(spark, d).groupBy(lookup.rank_group(F.col("rank")).alias("rank_group")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _RANK + """, c AS (SELECT p_partkey AS id, regexp_replace(lower(substr(p_brand, 1, 8)), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t FROM part),
-h AS (SELECT c.id, r.ord, r.rank, r.g, CASE WHEN len(list_distinct(list_concat(c.t, r.t))) = 0 THEN 0 ELSE len(list_intersect(c.t, r.t)) / len(list_distinct(list_concat(c.t, r.t)))::DOUBLE END AS s FROM c JOIN r ON c.a = r.a),
-k AS (SELECT *, max(s) OVER (PARTITION BY id) AS top FROM h), j AS (SELECT id, count(*) FILTER (s = top) AS n, arg_min(rank, ord) FILTER (s = top) AS best, arg_min(rank, ord) AS first, count(DISTINCT g) AS gs FROM k GROUP BY id)
-SELECT c.id, CASE WHEN n = 1 THEN best WHEN gs = 1 THEN first END AS rank FROM c LEFT JOIN j USING (id)""")
+@query("WITH " + _RANK + """, c AS (SELECT p_partkey AS id, regexp_replace(lower(substr(p_brand, 1, 8)), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t, p_size % 3 = 0 AS journal FROM part),
+h AS (SELECT c.id, r.ord, r.rank, r.g, CASE WHEN len(list_distinct(list_concat(c.t, r.t))) = 0 THEN 0 ELSE len(list_intersect(c.t, r.t)) / len(list_distinct(list_concat(c.t, r.t)))::DOUBLE END AS s FROM c JOIN r ON c.a = r.a AND NOT journal),
+k AS (SELECT *, max(s) OVER (PARTITION BY id) AS top FROM h), j AS (SELECT id, count(*) FILTER (s = top) AS n, arg_min(rank, ord) FILTER (s = top) AS raw, arg_min(g, ord) FILTER (s = top) AS g, count(DISTINCT g) AS gs FROM k GROUP BY id)
+SELECT c.id, CASE WHEN n = 1 OR gs = 1 THEN g END AS rank, CASE WHEN n = 1 OR gs = 1 THEN raw END AS rank_raw FROM c LEFT JOIN j USING (id)""")
 def rank_lookup_ties(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring("p_brand", 1, 8).alias("acronym"), F.col("p_name").alias("title"))
-    return lookup.ranked(calls, _rankings(spark, d), "id", "acronym", "title").select("id", "rank")
+    kind = F.when(F.col("p_size") % 3 == 0, "journal").when(F.col("p_size") % 3 == 1, "conference")
+    calls = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_brand", 1, 8), F.lit(" 2030")).alias("acronym"), F.col("p_name").alias("title"), kind.alias("type"))
+    return lookup.ranked(calls, _rankings(spark, d), "id", "acronym", "title", "type").select("id", "rank", "rank_raw")
 
 
 @query("""WITH k AS (SELECT n_nationkey AS venue, n_regionkey * 100 + n_nationkey AS ord, 'name' AS kind, lower(n_name) AS value FROM nation UNION ALL SELECT n_nationkey, n_regionkey * 100 + n_nationkey, 'id', n_nationkey::VARCHAR FROM nation),
@@ -115,14 +119,6 @@ def _similarities(parts: DataFrame) -> DataFrame:
     return both.select(F.col("n").alias("left_name"), F.col("n2").alias("right_name"), *(v.alias(k) for k, v in rounded.items())).distinct()
 
 
-@query(f"""WITH t AS (SELECT DISTINCT p_name AS n, p_brand AS b FROM part WHERE p_partkey <= 300), x AS (SELECT n, b, {_TOK.format('n')} AS w FROM t), p AS (SELECT x.n AS a, y.n AS b, list_intersect(x.w, y.w) AS i, x.w AS v, y.w AS w FROM x JOIN x y ON x.b = y.b AND x.n < y.n)
-SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
- round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
-def similarity_family(spark: SparkSession, d: str) -> DataFrame:
-    """The four set similarities on names that share a brand; its SQL takes the first 300 parts."""
-    return _similarities(table(spark, d, "part").filter("p_partkey <= 300"))
-
-
 @query(f"""WITH t AS (SELECT DISTINCT p_name AS n, p_brand AS b FROM part), x AS (SELECT n, b, {_TOK.format('n')} AS w FROM t), p AS (SELECT x.n AS a, y.n AS b, list_intersect(x.w, y.w) AS i, x.w AS v, y.w AS w FROM x JOIN x y ON x.b = y.b AND x.n < y.n)
 SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
  round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
@@ -131,12 +127,12 @@ def similarity_family_all(spark: SparkSession, d: str) -> DataFrame:
     return _similarities(table(spark, d, "part"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 8)) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 8)) AS w FROM documents),
+@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)) AS w FROM documents),
 bw AS (SELECT item_id, unnest(q) AS t FROM b), dw AS (SELECT doc_id, unnest(w) AS t FROM d), m AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN dw USING (t) GROUP BY ALL)
 SELECT item_id, doc_id, round(n / len(q)::DOUBLE, 6) AS ratio FROM m JOIN b USING (item_id) WHERE len(q) > 0 AND n / len(q)::DOUBLE >= 0.6""")
 def containment_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold most of a short text's long words: an equi-join on words, counted."""
-    long = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 8))
+    long = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 3))
     b = table(spark, d, "benchmark").select("item_id", long(F.col("text")).alias("q")).select("item_id", F.size("q").alias("m"), F.explode("q").alias("t"))
     w = table(spark, d, "documents").select("doc_id", F.explode(long(F.col("text"))).alias("t"))
     n = b.join(w, "t").groupBy("item_id", "doc_id", "m").agg(F.count("*").alias("n"))
@@ -191,92 +187,82 @@ def sample_and_concat(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("venue")).agg(F.min("p_name").alias("sample"), F.array_join(F.sort_array(F.collect_set("p_type")), ";").alias("kinds"), F.count_distinct("p_name").alias("n_names"))
 
 
-_DK = "k AS (SELECT doc_id, source, lang, n_chars, md5(text) AS key FROM documents)"
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    """documents as calls with fields of their own; those of equal text are one call."""
+    n = F.col("doc_id")
+    some = lambda k, c: F.when(n % k == 0, c)
+    url = F.concat(F.lit("u"), n.cast("string"))
+    return table(spark, d, "documents").select(
+        "doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("key"), some(3, url).alias("cfp_url"), some(4, url).alias("url"), some(2, F.col("lang")).alias("publisher"),
+        (n % 5 == 0).alias("confirmed"), F.array("source", "lang").alias("topics"),
+    )
 
 
 def _dedupe(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.col("n_chars").cast("double").alias("rich"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("note"), F.array("source").alias("tags"), F.md5(F.col("text").cast("binary")).alias("key"))
-    return merge.folded(rows.withColumn("rich", F.when(F.col("doc_id") % 5 == 0, 3.0).otherwise(1.0)), "key", "doc_id", "doc_id", "rich", ["note"], ["tags"])
+    rich = lambda x: merge.richness([x["cfp_url"], x["url"], x["publisher"]], x["topics"], x["confirmed"], F.lit(False), F.lit(False))
+    return merge.folded(_copies(spark, d), "key", "doc_id", "doc_id", rich, ["cfp_url", "url", "publisher", "confirmed"], ["topics"])
 
 
-_RK = "k AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN lang END AS note, md5(text) AS key, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS rich FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rich DESC, doc_id) AS r FROM k)"
+_RICH = "(CASE WHEN {0}.cfp IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.url IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.pub IS NULL THEN 0 ELSE 1 END + least(6, len({0}.tags)) / 2.0 + CASE WHEN {0}.conf THEN 5 ELSE 0 END)"
+_OVER = "{{id: {0}.id, cfp: coalesce({0}.cfp, {1}.cfp), url: coalesce({0}.url, {1}.url), pub: coalesce({0}.pub, {1}.pub), conf: {0}.conf, tags: list_concat({0}.tags, list_filter({1}.tags, lambda t: NOT list_contains({0}.tags, t))), n: {0}.n + {1}.n, froms: list_concat({0}.froms, {1}.froms, [{1}.id]), log: list_concat({0}.log, {1}.log, [{{i: {1}.id, m: {0}.id}}])}}"
+_FOLD = f"""k AS (SELECT md5(coalesce(text, '')) AS key, doc_id, {{id: doc_id, cfp: CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id END, url: CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id END, pub: CASE WHEN doc_id % 2 = 0 THEN lang END, conf: doc_id % 5 = 0,
+ tags: list_concat([source], CASE WHEN lang = source THEN [] ELSE [lang] END), n: 1, froms: []::BIGINT[], log: []::STRUCT(i BIGINT, m BIGINT)[]}} AS x FROM documents),
+f AS (SELECT key, list_reduce(list(x ORDER BY doc_id), lambda a, b: CASE WHEN {_RICH.format('b')} > {_RICH.format('a')} THEN {_OVER.format('b', 'a')} ELSE {_OVER.format('a', 'b')} END) AS x FROM k GROUP BY key)"""
 
 
-@query(f"WITH {_RK} SELECT arg_min(doc_id, r) AS doc_id, arg_min(note, r) FILTER (note IS NOT NULL) AS note, count(*) AS n_merged, count(DISTINCT source) AS n_tags, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r > 1), '') AS deduplicated_from FROM r GROUP BY key")
+@query(f"WITH {_FOLD} SELECT x.id AS doc_id, x.cfp AS cfp_url, x.url AS url, x.pub AS publisher, array_to_string(x.tags, ',') AS topics, x.n::BIGINT AS n_merged, array_to_string(list_sort(x.froms), ',') AS deduplicated_from FROM f")
 def dedupe_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered fold of equal calls, by the richness of what is merged so far."""
     unique, _ = _dedupe(spark, d)
-    return unique.select("doc_id", "note", "n_merged", F.size("tags").cast("long").alias("n_tags"), F.array_join("deduplicated_from", ",").alias("deduplicated_from"))
+    return unique.select("doc_id", "cfp_url", "url", "publisher", F.array_join("topics", ",").alias("topics"), "n_merged", F.array_join("deduplicated_from", ",").alias("deduplicated_from"))
 
 
-@query(f"WITH {_RK} SELECT doc_id, first_value(doc_id) OVER (PARTITION BY key ORDER BY r) AS duplicate_of FROM r QUALIFY r > 1")
+@query(f"WITH {_FOLD} SELECT g.i AS doc_id, g.m AS merged_into, d AS duplicate_of FROM (SELECT unnest(x.log) AS g, x.id AS d FROM f)")
 def dedupe_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return _dedupe(spark, d)[1].select("doc_id", "duplicate_of")
+    return _dedupe(spark, d)[1].select("doc_id", "merged_into", "duplicate_of")
 
 
-@query(f"WITH {_RK} SELECT count(*) AS n_in, count(DISTINCT key) AS n_unique, count(*) - count(DISTINCT key) AS n_duplicates FROM r")
+@query("SELECT count(*) AS n_in, count(DISTINCT md5(coalesce(text, ''))) AS n_unique, count(*) - count(DISTINCT md5(coalesce(text, ''))) AS n_duplicates FROM documents")
 def dedupe_conservation(spark: SparkSession, d: str) -> DataFrame:
     unique, gone = _dedupe(spark, d)
     out = unique.agg(F.sum("n_merged").alias("n_in"), F.count("*").alias("n_unique"))
     return out.crossJoin(gone.agg(F.count("*").alias("n_duplicates")))
 
 
-@query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'special-issue' ELSE 'workshop' END || '|' || CASE WHEN p_size % 3 <> 1 AND p_partkey % 4 <> 0 AND regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') <> '' THEN 'acronym:' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') ELSE 'name:' || lower(p_name) END
- || '|' || CASE WHEN p_size % 3 = 0 THEN 'rolling' ELSE 'undated' END AS key FROM part""")
+@query(f"""WITH {CALLS_SQL} SELECT id, type || '|' || CASE WHEN type NOT IN ('special-issue', 'book-proposal') AND id % 4 <> 0 AND venue % 50 <> 0 THEN 'acronym:v' || venue % 50 ELSE 'name:call of venue ' || venue END
+ || '|' || CASE WHEN deadline IS NOT NULL THEN strftime(deadline + INTERVAL 1 SECOND * (id % 60), '%Y-%m-%d %H:%M:%S.%g') WHEN type = 'journal' THEN 'rolling' ELSE 'undated' END AS key FROM calls""")
 def identity_keys(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("p_size") % 3 == 0, "journal").when(F.col("p_size") % 3 == 1, "special-issue").otherwise("workshop")
-    key = merge.identity_key(kind, F.col("p_name"), F.col("p_brand"), F.lit(None).cast("timestamp_ntz"), F.col("p_partkey") % 4 == 0)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), key.alias("key"))
-
-
-@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 7, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part WHERE p_partkey <= 1000),
-g AS (SELECT 'g' || p_partkey AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 70 AS title_key, lower(substr(p_brand, 7, 4)) AS acronym, p_size AS year, 'live ' || p_type AS track FROM part WHERE p_partkey BETWEEN 900 AND 1200),
-m AS (SELECT g.*, i.m1, t.m2, n.m3 FROM g LEFT JOIN (SELECT group_id, min(card_id) AS m1 FROM c WHERE group_id IS NOT NULL GROUP BY 1) i USING (group_id) LEFT JOIN (SELECT title_key, min(card_id) AS m2 FROM c WHERE title_key <> '' GROUP BY 1) t USING (title_key) LEFT JOIN (SELECT acronym, year, min(card_id) AS m3 FROM c WHERE NOT mirrored AND length(acronym) >= 3 GROUP BY 1, 2) n USING (acronym, year)),
-s AS (SELECT *, coalesce(m1, m2, m3) AS card_id, CASE WHEN m1 IS NOT NULL THEN 'id' WHEN m2 IS NOT NULL THEN 'title' WHEN m3 IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS stage FROM m),
-h AS (SELECT * FROM s WHERE card_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY CASE stage WHEN 'id' THEN 1 WHEN 'title' THEN 2 ELSE 3 END, group_id) = 1)
-SELECT c.card_id, coalesce(h.group_id, c.group_id) AS group_id, coalesce(h.stage, 'kept') AS stage, coalesce(h.track, c.track) AS track FROM c LEFT JOIN h USING (card_id) UNION ALL SELECT NULL, group_id, stage, track FROM s WHERE card_id IS NULL""")
-def entity_merge_three_stage(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    key = lambda m: F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", ""), (F.col("p_partkey") % m).cast("string")).alias("title_key")
-    group = F.concat(F.lit("g"), F.col("p_partkey").cast("string"))
-    short, year = F.lower(F.substring("p_brand", 7, 4)).alias("acronym"), F.col("p_size").alias("year")
-    cards = p.filter("p_partkey <= 1000").select(F.col("p_partkey").alias("card_id"), F.when(F.col("p_partkey") % 5 == 0, group).alias("group_id"), key(40), short, year, (F.col("p_partkey") % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"))
-    groups = p.filter("p_partkey between 900 and 1200").select(group.alias("group_id"), key(70), short, year, F.concat(F.lit("live "), F.col("p_type")).alias("track"))
-    return merge.entity_merge(cards, groups, ["track"])
+    rows, venue = calls(spark, d), F.col("venue").cast("string")
+    acronym = F.when(F.col("venue") % 50 == 0, "Workshop").otherwise(F.concat(F.lit("V-"), (F.col("venue") % 50).cast("string"), F.lit(" 2030")))
+    key = merge.identity_key(F.col("type"), F.concat(F.lit("Call of Venue "), venue, F.lit(" 2030")), acronym, F.col("deadline") + F.make_dt_interval(secs=F.col("id") % 60), F.col("id") % 4 == 0)
+    return rows.select("id", key.alias("key"))
 
 
-@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part),
+@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part WHERE NOT (p_partkey % 23 = 0 AND p_partkey % 2 = 0) AND p_partkey % 31 <> 0),
 g AS (SELECT 'g' || (p_partkey + 3) AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 70 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size + 25 AS year, 'live ' || p_type AS track FROM part),
-m AS (SELECT g.*, i.m1, t.m2, n.m3 FROM g LEFT JOIN (SELECT group_id, min(card_id) AS m1 FROM c WHERE group_id IS NOT NULL GROUP BY 1) i USING (group_id) LEFT JOIN (SELECT title_key, min(card_id) AS m2 FROM c WHERE title_key <> '' GROUP BY 1) t USING (title_key) LEFT JOIN (SELECT acronym, year, min(card_id) AS m3 FROM c WHERE NOT mirrored AND length(acronym) >= 3 GROUP BY 1, 2) n USING (acronym, year)),
-s AS (SELECT *, coalesce(m1, m2, m3) AS card_id, CASE WHEN m1 IS NOT NULL THEN 'id' WHEN m2 IS NOT NULL THEN 'title' WHEN m3 IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS stage FROM m),
-h AS (SELECT * FROM s WHERE card_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY CASE stage WHEN 'id' THEN 1 WHEN 'title' THEN 2 ELSE 3 END, group_id) = 1)
-SELECT c.card_id, coalesce(h.group_id, c.group_id) AS group_id, coalesce(h.stage, 'kept') AS stage, coalesce(h.track, c.track) AS track FROM c LEFT JOIN h USING (card_id) UNION ALL SELECT NULL, group_id, stage, track FROM s WHERE card_id IS NULL""")
+m AS (SELECT g.*, i.m1, t.m2 FROM g LEFT JOIN (SELECT group_id, min(card_id) AS m1 FROM c WHERE group_id IS NOT NULL GROUP BY 1) i USING (group_id) LEFT JOIN (SELECT title_key, min(card_id) AS m2 FROM c WHERE title_key <> '' GROUP BY 1) t USING (title_key)),
+f AS (SELECT acronym, year, card_id, row_number() OVER (PARTITION BY acronym, year ORDER BY card_id) AS k FROM c WHERE NOT mirrored AND length(acronym) >= 3 AND card_id NOT IN (SELECT coalesce(m1, m2) FROM m WHERE coalesce(m1, m2) IS NOT NULL)),
+r AS (SELECT *, row_number() OVER (PARTITION BY acronym, year ORDER BY group_id) AS k FROM m WHERE m1 IS NULL AND m2 IS NULL),
+s AS (SELECT group_id, track, coalesce(m1, m2) AS card_id, CASE WHEN m1 IS NOT NULL THEN 'id' ELSE 'title' END AS stage FROM m WHERE coalesce(m1, m2) IS NOT NULL
+  UNION ALL SELECT r.group_id, r.track, f.card_id, CASE WHEN f.card_id IS NULL THEN 'new' ELSE 'fuzzy' END FROM r LEFT JOIN f ON f.acronym = r.acronym AND f.year = r.year AND f.k = r.k),
+h AS (SELECT card_id, arg_max(group_id, group_id) AS group_id, arg_max(stage, group_id) AS stage, arg_max(track, group_id) AS track, count(*) AS n FROM s WHERE card_id IS NOT NULL GROUP BY card_id)
+SELECT c.card_id, coalesce(h.group_id, c.group_id) AS group_id, coalesce(h.stage, 'kept') AS stage, coalesce(h.n, 0)::BIGINT AS n_groups, coalesce(h.track, c.track) AS track FROM c LEFT JOIN h USING (card_id) UNION ALL SELECT NULL, group_id, stage, 1, track FROM s WHERE card_id IS NULL""")
 def entity_merge_all(spark: SparkSession, d: str) -> DataFrame:
-    """entity_merge_three_stage over all parts, once as cards and once, with shifted ids and years, as groups; the acronym is long enough for the third stage."""
+    """All parts, once as cards and once, with shifted ids and years, as live groups."""
     p = table(spark, d, "part")
     key = lambda m: F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", ""), (F.col("p_partkey") % m).cast("string")).alias("title_key")
     group = lambda shift: F.concat(F.lit("g"), (F.col("p_partkey") + shift).cast("string"))
-    short = F.lower(F.substring("p_brand", 5, 4)).alias("acronym")
-    cards = p.select(F.col("p_partkey").alias("card_id"), F.when(F.col("p_partkey") % 5 == 0, group(0)).alias("group_id"), key(40), short, F.col("p_size").alias("year"), (F.col("p_partkey") % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"))
+    short, n = F.lower(F.substring("p_brand", 5, 4)).alias("acronym"), F.col("p_partkey")
+    cards = p.select(n.alias("card_id"), F.when(n % 5 == 0, group(0)).alias("group_id"), key(40), short, F.col("p_size").alias("year"), (n % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"), (n % 23 == 0).alias("from_live"), (n % 2 == 1).alias("active"), (n % 31 == 0).alias("organizer"))
     groups = p.select(group(3).alias("group_id"), key(70), short, (F.col("p_size") + 25).alias("year"), F.concat(F.lit("live "), F.col("p_type")).alias("track"))
-    return merge.entity_merge(cards, groups, ["track"])
-
-
-@query("""WITH a AS (SELECT DISTINCT p_brand AS b, p_name AS n FROM part WHERE p_partkey % 10 = 1), r AS (SELECT p_brand AS b, p_name AS n, min(p_partkey) AS ord FROM part WHERE p_partkey % 10 = 2 GROUP BY 1, 2),
-h AS (SELECT a.b, a.n, r.n AS m, ord, len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE AS s FROM a JOIN r ON a.b = r.b WHERE len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE >= 0.5)
-SELECT b AS brand, n AS name, m AS matched, s AS score FROM h QUALIFY row_number() OVER (PARTITION BY b, n ORDER BY s DESC, ord) = 1""")
-def argmax_registry_match(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    a = p.filter("p_partkey % 10 = 1").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct().withColumn("_k", F.concat_ws("|", "brand", "name"))
-    r = p.filter("p_partkey % 10 = 2").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("matched")).agg(F.min("p_partkey").alias("ord"))
-    score = F.size(F.array_intersect(F.split("name", " "), F.split("matched", " "))) / F.lit(2.0)
-    return lookup.best_match(a, r, "_k", ["brand"], score, 0.5, "ord").select("brand", "name", "matched", "score")
+    return merge.entity_merge(cards, groups, ["track"], complete=False)
 
 
 @query("""WITH a AS (SELECT DISTINCT p_brand AS b, p_name AS n FROM part), r AS (SELECT y.p_brand AS b, x.p_name AS n, min(x.p_partkey) AS ord FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1 GROUP BY 1, 2),
 h AS (SELECT a.b, a.n, r.n AS m, ord, len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE AS s FROM a JOIN r ON a.b = r.b WHERE len(list_intersect(string_split(a.n, ' '), string_split(r.n, ' '))) / 2::DOUBLE >= 0.5)
 SELECT b AS brand, n AS name, m AS matched, s AS score FROM h QUALIFY row_number() OVER (PARTITION BY b, n ORDER BY s DESC, ord) = 1""")
 def argmax_registry_all(spark: SparkSession, d: str) -> DataFrame:
-    """argmax_registry_match over all names; the registry has each part's name under the brand of the part after it."""
+    """The most similar name of the registry; it has each part's name under the brand of the part after it."""
     p = table(spark, d, "part")
     a = p.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct().withColumn("_k", F.concat_ws("|", "brand", "name"))
     after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("brand"))

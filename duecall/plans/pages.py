@@ -145,24 +145,56 @@ def days_apart_verdict(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), verdict.alias("verdict"))
 
 
-_PAGE = ("Abstract deadline: March 3, 2030 AoE. Paper submission deadline 10 March 2030. Camera-ready due 2030-06-01. "
-         "Late-breaking results: 01/05/2030; Notification: May 1, 2030. Old submission: January 2, 2001. Bad submission: February 30, 2030")
-
-
-@query("SELECT * FROM (VALUES ('abstract', TIMESTAMP '2030-03-04 11:59:00', false), ('main', TIMESTAMP '2030-03-10 23:59:00', true), ('camera-ready', TIMESTAMP '2030-06-01 23:59:00', false), ('late-breaking', TIMESTAMP '2030-05-01 23:59:00', false), ('notification', TIMESTAMP '2030-05-01 23:59:00', false)) v(type, date, chosen)")
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """orders as page texts that hold the order's date in several forms."""
+    at = F.date_add(F.col("o_orderdate").cast("date"), 0)
+    day = lambda form, plus=0: F.date_format(F.date_add(at, plus), form)
+    text = F.concat(
+        F.lit("Important dates "), F.year(at).cast("string"), F.lit("\nAbstract deadline: "), day("MMMM d, yyyy"), F.lit(" AoE. Full paper submission deadline "), day("d MMM yyyy", 7),
+        F.lit(". Late-breaking posters due "), day("yyyy-MM-dd", 30), F.lit("; Notification and camera-ready: "), day("MMM d yyyy", 40), F.lit(" and "), day("d MMMM yyyy", 50), F.lit(". Reviewers meet "), day("MMMM d, yyyy", 60),
+    )
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), at.alias("at"), F.regexp_replace(text, "20[0-9][0-9]|19[0-9][0-9]", "2030").alias("text"))
+
+
+#: The years in the texts are all 2030, so days that 2030 lacks have no date.
+_MOVED = "try_strptime(strftime({}, '2030-%m-%d') || ' 23:59', '%Y-%m-%d %H:%M')"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS dt FROM orders),
+t AS (SELECT id, 'abstract' AS type, 2 AS p, true AS s, {_MOVED.format('dt')} + INTERVAL 12 HOUR AS date FROM o UNION ALL SELECT id, 'main', 1, true, {_MOVED.format('dt + 7')} FROM o UNION ALL SELECT id, 'late-breaking', 3, true, {_MOVED.format('dt + 30')} FROM o
+ UNION ALL SELECT id, k, 99, false, d FROM (SELECT id, unnest([{_MOVED.format('dt + 40')}, {_MOVED.format('dt + 50')}]) AS d FROM o), (VALUES ('notification'), ('camera-ready')) v(k)),
+n AS (SELECT * FROM t WHERE date >= TIMESTAMP '2030-03-01' - INTERVAL 1 DAY AND date <= TIMESTAMP '2030-03-01' + INTERVAL 550 DAY),
+c AS (SELECT id, type, date FROM n WHERE s AND date > TIMESTAMP '2030-03-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, date, type) = 1)
+SELECT n.id, n.type, n.date, coalesce(n.type = c.type AND n.date = c.date, false) AS chosen FROM n LEFT JOIN c USING (id)""")
 def deadline_tracks(spark: SparkSession, d: str) -> DataFrame:
-    now = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
-    rows = inline(spark, "text string", [(_PAGE,)]).select(D.tracks(F.col("text"), now).alias("t"))
-    rows = rows.select(F.explode("t").alias("x"), D.open_track(F.col("t"), now).alias("o"))
-    return rows.select("x.type", "x.date", ((F.col("x.type") == F.col("o.type")) & (F.col("x.date") == F.col("o.date"))).alias("chosen"))
-
-
-_DUE = [("Due 12 March 2030 11:59PM EST",), ("31 January 2030, 23:59 AoE",), ("1 May 2030 12:05am cet",), ("sometime",), ("30 February 2030 10:00 UTC",)]
-
-
-@query("SELECT * FROM (VALUES ('Due 12 March 2030 11:59PM EST', TIMESTAMP '2030-03-13 04:59:00'), ('31 January 2030, 23:59 AoE', TIMESTAMP '2030-02-01 11:59:00'), ('1 May 2030 12:05am cet', TIMESTAMP '2030-04-30 23:05:00'), ('sometime', NULL), ('30 February 2030 10:00 UTC', NULL)) v(text, due)")
+    """Labelled deadlines in page texts, and the track to show."""
+    now = F.lit("2030-03-01 00:00:00").cast("timestamp_ntz")
+    rows = _dated(spark, d).select("id", D.tracks(F.col("text"), now).alias("t"))
+    rows = rows.select("id", F.explode("t").alias("x"), D.open_track(F.col("t"), now).alias("o"))
+    return rows.select("id", "x.type", "x.date", F.coalesce((F.col("x.type") == F.col("o.type")) & (F.col("x.date") == F.col("o.date")), F.lit(False)).alias("chosen"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS dt FROM orders), p AS (SELECT id, {_MOVED.format('dt')} AS d FROM o)
+SELECT id, CASE WHEN id % 4 <> 0 THEN d END AS book_due, CASE WHEN id % 2 = 0 THEN d END AS reviewer_due, CASE WHEN id % 3 = 0 THEN d END AS opens_at,
+ CASE WHEN id % 3 = 0 THEN coalesce(d <= TIMESTAMP '2030-07-01', true) ELSE id % 3 = 1 END AS open_now FROM p""")
+def labelled_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """The dates that book, reviewer and opening announcements name."""
+    now = F.lit("2030-07-01 00:00:00").cast("timestamp_ntz")
+    on = F.regexp_replace(F.date_format(F.col("at"), "MMMM d, yyyy"), "[0-9]{4}", "2030")
+    book = F.when(F.col("id") % 4 == 0, "Closing remarks of the book.").otherwise(F.concat(F.lit("Chapter proposals are due by "), on, F.lit(".")))
+    reviewer = F.concat(F.lit("Reviewer "), F.when(F.col("id") % 2 == 0, "application").otherwise("dinner"), F.lit(" deadline: "), F.regexp_replace(F.date_format(F.col("at"), "d MMM"), "$", " 2030"))
+    site = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Submissions open on "), on, F.lit("."))).when(F.col("id") % 3 == 1, "Submissions are now open.").otherwise("The submission site is closed. Submissions are closed.")
+    rows = _dated(spark, d).select("id", D.labelled_date(book, D.BOOK_LABELS, now).alias("book_due"), D.labelled_date(reviewer, D.REVIEWER_LABELS, now).alias("reviewer_due"), D.opening(site, now).alias("o"))
+    return rows.select("id", "book_due", "reviewer_due", "o.opens_at", "o.open_now")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%d %b 2030 at ') || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':45 ' AS t, try_strptime(strftime(o_orderdate, '2030-%m-%d ') || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':45', '%Y-%m-%d %H:%M') AS local FROM orders)
+SELECT id, CASE id % 4 WHEN 0 THEN local + INTERVAL 4 HOUR WHEN 1 THEN local + INTERVAL 8 HOUR WHEN 2 THEN local + INTERVAL 12 HOUR ELSE NULL END AS due FROM o""")
 def due_text_zones(spark: SparkSession, d: str) -> DataFrame:
-    return inline(spark, "text string", _DUE).select("text", D.due_text(F.col("text")).alias("due"))
+    """The directory's due texts with named zones, in UTC."""
+    zone = F.get(F.array(*map(F.lit, ["Eastern Daylight Time", "Pacific Standard Time", "AoE", "Nowhere Time"])), (F.col("o_orderkey") % 4).cast("int"))
+    text = F.concat(F.lit("Due "), F.date_format("o_orderdate", "dd MMM"), F.lit(" 2030 at "), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":45 "), zone)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), D.due_text(text).alias("due"))
 
 
 _TITLES = [("Data Symposium 2030 - Research Track",), ("Data Symposium 2030: Short Papers (Posters)",), ("Learning Meeting 2031",), ("Proceedings",)]

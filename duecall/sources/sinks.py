@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duecall.sources.staging import written
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,16 +44,18 @@ def shards(df: DataFrame, path: str, by: str = "venue_id", only_changed: bool =
 
 
 def upserted(spark: SparkSession, path: str, fresh: DataFrame, key: str, by: str = "venue_id") -> None:
-    """Rewrites the partitions that fresh touches: their old rows without fresh's keys, and fresh."""
-    touched = fresh.select(by).distinct()
-    old = spark.read.parquet(path).join(touched, by, "left_semi").join(fresh.select(key), key, "left_anti")
-    merged = old.unionByName(fresh.select(*old.columns))
+    """Rewrites the partitions that fresh touches, and those that hold its keys now: their old rows
+    without fresh's keys, and fresh. A key that moves leaves its old partition; one that is left empty goes."""
+    stored = spark.read.parquet(path)
+    held = stored.join(fresh.select(key), key, "left_semi").select(by)
+    touched = written(fresh.select(by).union(held).distinct(), "touched")
+    old = stored.join(touched, by, "left_semi").join(fresh.select(key), key, "left_anti")
     # the plan reads what it will overwrite, so the result is set down first
-    stage = f"{path.rstrip('/')}.stage"
-    merged.write.mode("overwrite").parquet(stage)
-    shards(spark.read.parquet(stage), path, by)
-    temp, fs = _fs(spark, stage)
-    fs.delete(temp, True)
+    merged = written(old.unionByName(fresh.select(*old.columns)), "merged")
+    shards(merged, path, by)
+    for row in touched.join(merged.select(by).distinct(), by, "left_anti").toLocalIterator():
+        empty, fs = _fs(spark, f"{path}/{by}={row[0]}")
+        fs.delete(empty, True)
 
 
 def manifest(df: DataFrame, by: str = "venue_id") -> DataFrame:

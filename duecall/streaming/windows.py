@@ -36,10 +36,11 @@ def rate_limited(events: DataFrame, keys: list[str], seconds: int, limit: int) -
     slim = slim.repartition(*keys).sortWithinPartitions(*keys, "_t", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, start, count = None, None, 0
+        last, start, count = object(), None, 0
         for b in batches:
             starts, allowed = [], []
-            for key, t in zip(b[keys].itertuples(index=False, name=None), b["_t"], strict=True):
+            for raw, t in zip(b[keys].itertuples(index=False, name=None), b["_t"], strict=True):
+                key = tuple(None if pd.isna(x) else x for x in raw)
                 if key != last:
                     last, start, count = key, None, 0
                 (one,), start, count = folded([t], start, count, seconds * 1_000_000, limit)
@@ -53,19 +54,25 @@ def rate_limited(events: DataFrame, keys: list[str], seconds: int, limit: int) -
     return out.withColumn("window_start", at)
 
 
-def rate_limited_stream(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
-    """The same on a stream: a key's state is two numbers, its window's start and its count."""
+def rate_limited_stream(events: DataFrame, key: str, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: a key's state is two numbers, its window's start and its count, and
+    goes once the watermark has passed the window's end. Rows later than the watermark are dropped."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         times = rows["ts"].astype("int64").floordiv(1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1).tolist()
         out, start, count = folded(times, start, count, seconds * 1_000_000, limit)
         state.update((start, count))
+        state.setTimeoutTimestamp(max((start + seconds * 1_000_000) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "allowed": [a for _, a in out]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "start long, count long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
