@@ -94,6 +94,15 @@ def safe_url(url: Column) -> Column:
     return F.when(F.trim(url).rlike(r"^(?i:https?)://[^/?#@ ]+"), F.trim(url))
 
 
+def normal_url(url: Column) -> Column:
+    """A safe URL in normal form: scheme and host in lower case, no usual port, a path; else null."""
+    safe = safe_url(url)
+    scheme, name = F.lower(F.regexp_extract(safe, r"^([A-Za-z]+)://", 1)), F.lower(F.regexp_extract(safe, r"^[A-Za-z]+://([^/?#]*)", 1))
+    name = F.when(scheme == "http", F.regexp_replace(name, ":80$", "")).otherwise(F.regexp_replace(name, ":443$", ""))
+    rest = F.regexp_extract(safe, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
+    return F.concat(scheme, F.lit("://"), name, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
 def allowed(name: Column, domains: list[str]) -> Column:
     """Whether a host is one of domains or below one."""
     return F.coalesce(F.lit(False), *[]) if not domains else F.coalesce(F.exists(F.array(*map(F.lit, domains)), lambda d: (name == d) | name.endswith(F.concat(F.lit("."), d))), F.lit(False))
