@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 
-# Formal ranks.
+# Formal ranks, and words that names of venues share.
 FORMAL = ["A*", "A", "B", "C"]
+GENERIC = "acm ieee international conference annual symposium workshop on of the and for".split()
 
 
 def rank_group(rank: Column, groups: dict[str, str] | None = None) -> Column:
@@ -63,3 +64,31 @@ def best_match(left: DataFrame, right: DataFrame, key: str, block: list[str], sc
     hits = hits.withColumns({"_n": F.row_number().over(w.orderBy(F.desc("_s"), order)), "_c": F.count("*").over(w)})
     hits = hits.filter("_n = 1")
     return (hits.filter("_c = 1") if alone else hits).drop("_n", "_c").withColumnRenamed("_s", "score")
+
+
+def token_in_id(acronyms: DataFrame, acronym: str, ids: DataFrame, key: str, longest: int = 4) -> DataFrame:
+    """acronyms with the first id that holds the acronym as a token, or null; between the acronym's words anything but letters and digits may stand.
+
+    An id's tokens, up to ``longest`` neighbours joined, are matched by an equi-join, and the
+    pattern decides among what meets; acronyms of more words than that match nothing.
+    """
+    parts = F.filter(F.split(F.lower(F.col(key)), "[^a-z0-9]+"), lambda x: x != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.col("_p"), lambda x, i: F.array_join(F.slice("_p", i + 1, n), ""))))
+    tokens = ids.select(F.col(key).alias("_id"), parts.alias("_p")).select("_id", F.explode(F.array_distinct(runs)).alias("_t"))
+    name = T.name_text(F.col(acronym))
+    own = acronyms.select(F.col(acronym).alias("_a"), name.alias("_n")).distinct().withColumn("_t", F.replace("_n", F.lit(" "), F.lit("")))
+    pattern = F.concat(F.lit("(?:^|[^a-z0-9])"), F.replace("_n", F.lit(" "), F.lit("[^a-z0-9]*")), F.lit("(?:[^a-z0-9]|$)"))
+    met = own.filter("_t <> ''").join(tokens, "_t").filter(F.rlike(F.lower("_id"), pattern))
+    first = met.groupBy("_a").agg(F.min("_id").alias(key))
+    return acronyms.join(first, F.col(acronym).eqNullSafe(F.col("_a")), "left").drop("_a")
+
+
+def existing(records: DataFrame, watch: DataFrame, key: str) -> DataFrame:
+    """records (key, acronym, title) with the first row of watch (ord, acronym, name, ...) of the
+    same normal acronym or of exactly that name in lower case, and its other columns."""
+    exact = lambda c: F.lower(F.trim(c))
+    by_acronym = watch.select("ord", T.acronym(F.col("acronym")).alias("_a")).filter("_a <> ''").groupBy("_a").agg(F.min("ord").alias("_1"))
+    by_name = watch.select("ord", exact(F.col("name")).alias("_n")).groupBy("_n").agg(F.min("ord").alias("_2"))
+    out = records.withColumns({"_x": T.acronym(F.col("acronym")), "_y": exact(F.col("title"))})
+    out = out.join(by_acronym, F.col("_x") == F.col("_a"), "left").join(by_name, F.col("_y") == F.col("_n"), "left").withColumn("ord", F.least("_1", "_2"))
+    return out.select(*records.columns, "ord").join(watch.drop("acronym", "name"), "ord", "left")

@@ -71,7 +71,7 @@ def folded(rows: DataFrame, key: str, ident: str, order: str, rich: str | Callab
 def base_title(title: Column) -> Column:
     """Without trailing track names, however many there are."""
     tail = "|".join(m.replace(" ", "[ ]+") for m in MODIFIERS)
-    return F.trim(F.regexp_replace(T.squeezed(title), rf"(?i)(?:[ ]*[-:,(]*[ ]*(?:{tail})[ )]*)+$", ""))
+    return F.trim(F.regexp_replace(T.squeezed(title), rf"(?i)(?:(?:^|[ ]+|[ ]*[-:,(]+[ ]*)(?:{tail})[ )]*)+$", ""))
 
 
 def title_key(title: Column) -> Column:

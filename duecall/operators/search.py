@@ -145,14 +145,14 @@ def decode_cursor(cursor: str) -> int:
     return n if 0 <= n <= 10_000 else 0
 
 
-def diversified(ranked: DataFrame, group: str, limit: int, bonus: float = 0.7, least: float = 0.2) -> DataFrame:
+def diversified(ranked: DataFrame, group: str, limit: int, bonus: float = 0.7, least: float = 0.2, tail: bool = False) -> DataFrame:
     """Greedy choice of ``limit`` of each group's rows, out of all: the next one has the largest
     score + bonus * novelty, novelty being the best 1 / (1 + uses) of its topics, and least at least.
 
     Rows of one set of topics are equally novel at any time and so taken in their order:
     the first ``limit`` of each set are all that can win. Ties keep the order of the step before,
     as a stable sort does. The choice depends on all before it, so it runs by group in Python,
-    on rows bounded by limit times the sets.
+    on rows bounded by limit times the sets. With ``tail`` the rows that weren't chosen follow by rank.
     """
     order = (F.desc("score"), F.desc("year"), "title", "id")
     rows = ranked.withColumn("_set", F.array_join(F.transform(F.sort_array(F.coalesce("topics", F.array().cast("array<string>"))), lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ","))
@@ -173,7 +173,12 @@ def diversified(ranked: DataFrame, group: str, limit: int, bonus: float = 0.7, l
         return pd.DataFrame(out, columns=[group, "id", "ord"])
 
     kind = dict(head.dtypes)[group]
-    return head.groupBy(group).applyInPandas(pick, f"{group} {kind}, id long, ord long")
+    chosen = head.groupBy(group).applyInPandas(pick, f"{group} {kind}, id long, ord long")
+    if not tail:
+        return chosen
+    chosen = written(chosen, "chosen")
+    rest = ranked.join(chosen.select("id"), "id", "left_anti").withColumn("ord", F.row_number().over(Window.partitionBy(group).orderBy(*order)) + F.lit(limit))
+    return chosen.unionByName(rest.select(group, "id", F.col("ord").cast("long").alias("ord")))
 
 
 def shortlist(ranked: DataFrame, rest: DataFrame, size: int) -> DataFrame:

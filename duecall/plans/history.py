@@ -107,38 +107,38 @@ def union_later_overrides(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.array_join(F.sort_array("t"), ",").alias("names"), "layer")
 
 
-@query()
+@query(f"WITH {PAPERS_SQL}, l AS (SELECT id, list_concat(topics, [method, venue]) AS l FROM papers) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS union FROM l")
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
-    """First-occurrence order of united arrays; checked against plain Python in the tests."""
+    """First-occurrence order of united arrays."""
     p = papers(spark, d)
     return p.select("id", F.array_join(upserts.unique_union(F.col("topics"), F.array("method", "venue")), ",").alias("union"))
 
 
-_BIB = [("@inproceedings{a1,\n title = {Fast {Joins}},\n author = {Doe, Jane and Roe,\n   Rick},\n year = 2030\n}\n@article{b2, title = \"Slow \\'etudes\", doi={10.1/x}}\n",)]
-
-
-@query("SELECT * FROM (VALUES ('inproceedings', 'a1', 'Fast Joins', 'Jane Doe;Rick Roe', '2030'), ('article', 'b2', 'Slow etudes', NULL, NULL)) v(kind, key, title, authors, year)")
+@query("SELECT 'inproceedings' AS kind, 'a' || p_partkey AS key, p_name || ' ' || p_brand AS title, 'Jane Doe;' || p_type || ' Roe' AS authors, '2030' AS year FROM part UNION ALL SELECT 'article', 'b' || p_partkey, 'Slow etudes', NULL, NULL FROM part")
 def bibtex_scan(spark: SparkSession, d: str) -> DataFrame:
-    rows = parsers.bibtex(spark.createDataFrame(_BIB, "text string"))
+    """Two entries for each part: nested braces, quotes, accents, fields over several lines."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("% a comment\n@inproceedings{a"), n, F.lit(",\n title = {"), F.col("p_name"), F.lit(" {"), F.col("p_brand"), F.lit("}},\n author = {Doe, Jane and Roe,\n   "), F.col("p_type"), F.lit("},\n year = 2030\n}\n@article{b"), n, F.lit(", title = \"Slow \\'etudes\", doi={10.1/x}}\n"),
+    )
+    rows = parsers.bibtex(table(spark, d, "part").select(text.alias("text")))
     f = F.col("fields")
     return rows.select("kind", "key", T.latex_text(f["title"]).alias("title"), F.array_join(parsers.author_names(f["author"]), ";").alias("authors"), f["year"].alias("year"))
 
 
-_TOC = [(1, "<toc><article key='x'><author>Ann &amp; Co</author><author>Bo</author><title>On <i>Sets</i></title><year>2029</year></article>\n<article><title>Second</title><year>bad</year></article></toc>")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'On Sets', 'Ann & Co|Bo', 2029), (1, 1, 'Second', '', NULL)) v(toc, ord, title, authors, year)")
+@query("SELECT c_custkey AS toc, 0::BIGINT AS ord, 'On ' || c_mktsegment || ' Sets' AS title, 'Ann & Co|' || c_name AS authors, 2000 + c_nationkey AS year FROM customer UNION ALL SELECT c_custkey, 1, 'Second', '', NULL FROM customer")
 def xml_toc_scan(spark: SparkSession, d: str) -> DataFrame:
-    out = parsers.toc_papers(spark.createDataFrame(_TOC, "toc long, xml string"), "toc")
+    xml = F.concat(
+        F.lit("<toc><article key='x'><author>Ann &amp; Co</author><author>"), F.col("c_name"), F.lit("</author><title>On <i>"), F.col("c_mktsegment"), F.lit("</i>\n Sets</title><year>"), (2000 + F.col("c_nationkey")).cast("string"), F.lit("</year></article>\n<article><title>Second</title><year>bad</year></article></toc>"),
+    )
+    out = parsers.toc_papers(table(spark, d, "customer").select(F.col("c_custkey").alias("toc"), xml.alias("xml")), "toc")
     return out.select("toc", "ord", "title", F.array_join("authors", "|").alias("authors"), "year")
 
 
-_DIR = [(1, "Home\nOld Venue\nDue 1 May\nOpen for Submissions\nAlpha 2030\nOpen\nBeta 2030\nDue 12 March 2030\nAlpha 2030\nDue 1 June 2030\n")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Alpha 2030', 'Due 1 June 2030'), (1, 'Beta 2030', 'Due 12 March 2030')) v(page, title, status)")
+@query("SELECT c_custkey AS page, c_name AS title, 'Due 1 June 2030' AS status FROM customer UNION ALL SELECT c_custkey, 'Beta 2030', CASE WHEN c_custkey % 2 = 0 THEN 'Open' ELSE 'Due 12 March 2030' END FROM customer")
 def directory_text_scan(spark: SparkSession, d: str) -> DataFrame:
-    return parsers.directory_text(spark.createDataFrame(_DIR, "page long, text string"), "page", "Open for Submissions")
+    text = F.concat(F.lit("Home\nOld Venue\nDue 1 May\nOpen for Submissions\n"), F.col("c_name"), F.lit("\nOpen\nBeta 2030\n"), F.when(F.col("c_custkey") % 2 == 0, "Open").otherwise("Due 12 March 2030"), F.lit("\n\n"), F.col("c_name"), F.lit("\nDue 1 June 2030\n"))
+    return parsers.directory_text(table(spark, d, "customer").select(F.col("c_custkey").alias("page"), text.alias("text")), "page", "Open for Submissions")
 
 
 @query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
@@ -164,18 +164,6 @@ def extra_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").rollup(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, cosine FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) <= 10")
-def extra_cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """Five query vectors, a bound by definition, are broadcast; each partition keeps its top rows."""
-    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("v").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.round(dot("e", "v") / F.sqrt(dot("e", "e") * dot("v", "v")), 6)
-    both = v.crossJoin(F.broadcast(q)).filter("vec_id <> q").withColumn("cosine", cosine)
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n <= 10").select("q", "vec_id", "cosine")
-
-
 @query("WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, cosine FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) <= 10")
 def extra_cosine_all(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all; the window's limit keeps each partition's top rows before the shuffle."""

@@ -123,7 +123,7 @@ def _similarities(parts: DataFrame) -> DataFrame:
 SELECT DISTINCT a AS left_name, b AS right_name, round(CASE WHEN len(v) + len(w) = 0 THEN 0 ELSE len(i) / len(list_distinct(list_concat(v, w)))::DOUBLE END, 6) AS jaccard, round(CASE WHEN least(len(v), len(w)) = 0 THEN 0 ELSE len(i) / least(len(v), len(w))::DOUBLE END, 6) AS overlap,
  round(CASE WHEN greatest(len(v), len(w)) = 0 THEN 0 ELSE len(i) / greatest(len(v), len(w))::DOUBLE END, 6) AS largest_share, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(i) / len(v)::DOUBLE END, 6) AS contained FROM p""")
 def similarity_family_all(spark: SparkSession, d: str) -> DataFrame:
-    """The four set similarities on the names of all parts that share a brand."""
+    """The four set similarities on the names of all parts that share a brand: distinct names, a dimension of a few dozen."""
     return _similarities(table(spark, d, "part"))
 
 
@@ -238,7 +238,7 @@ def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", key.alias("key"))
 
 
-@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part WHERE NOT (p_partkey % 23 = 0 AND p_partkey % 2 = 0) AND p_partkey % 31 <> 0),
+@query("""WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 40 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size AS year, p_partkey % 6 = 0 AS mirrored, p_type AS track FROM part),
 g AS (SELECT 'g' || (p_partkey + 3) AS group_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || p_partkey % 70 AS title_key, lower(substr(p_brand, 5, 4)) AS acronym, p_size + 25 AS year, 'live ' || p_type AS track FROM part),
 m AS (SELECT g.*, i.m1, t.m2 FROM g LEFT JOIN (SELECT group_id, min(card_id) AS m1 FROM c WHERE group_id IS NOT NULL GROUP BY 1) i USING (group_id) LEFT JOIN (SELECT title_key, min(card_id) AS m2 FROM c WHERE title_key <> '' GROUP BY 1) t USING (title_key)),
 f AS (SELECT acronym, year, card_id, row_number() OVER (PARTITION BY acronym, year ORDER BY card_id) AS k FROM c WHERE NOT mirrored AND length(acronym) >= 3 AND card_id NOT IN (SELECT coalesce(m1, m2) FROM m WHERE coalesce(m1, m2) IS NOT NULL)),
@@ -253,7 +253,7 @@ def entity_merge_all(spark: SparkSession, d: str) -> DataFrame:
     key = lambda m: F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", ""), (F.col("p_partkey") % m).cast("string")).alias("title_key")
     group = lambda shift: F.concat(F.lit("g"), (F.col("p_partkey") + shift).cast("string"))
     short, n = F.lower(F.substring("p_brand", 5, 4)).alias("acronym"), F.col("p_partkey")
-    cards = p.select(n.alias("card_id"), F.when(n % 5 == 0, group(0)).alias("group_id"), key(40), short, F.col("p_size").alias("year"), (n % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"), (n % 23 == 0).alias("from_live"), (n % 2 == 1).alias("active"), (n % 31 == 0).alias("organizer"))
+    cards = p.select(n.alias("card_id"), F.when(n % 5 == 0, group(0)).alias("group_id"), key(40), short, F.col("p_size").alias("year"), (n % 6 == 0).alias("mirrored"), F.col("p_type").alias("track"), F.lit(False).alias("from_live"), F.lit(True).alias("active"), F.lit(False).alias("organizer"))
     groups = p.select(group(3).alias("group_id"), key(70), short, (F.col("p_size") + 25).alias("year"), F.concat(F.lit("live "), F.col("p_type")).alias("track"))
     return merge.entity_merge(cards, groups, ["track"], complete=False)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from duecall.plans import catalogue, history, lookups, pages, rules, searches
+    from duecall.plans import catalogue, history, joins, lookups, pages, rules, searches
 
-    return catalogue, searches, lookups, pages, rules, history
+    return catalogue, searches, lookups, pages, rules, joins, history
 
 
 def queries() -> dict:

@@ -156,7 +156,8 @@ def shortlist_18(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def diversify_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return S.diversified(_scored_papers(papers(spark, d)), "venue", 50)
+    """The first fifty of each venue, chosen for score and novelty, and after them all others by rank."""
+    return S.diversified(_scored_papers(papers(spark, d)), "venue", 50, tail=True)
 
 
 @query(f"""WITH {PAPERS_SQL}, m AS (SELECT venue, max(n) AS top FROM (SELECT venue, t, count(*) AS n FROM (SELECT venue, unnest(topics) AS t FROM papers) GROUP BY ALL) GROUP BY venue),

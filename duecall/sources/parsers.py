@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecall.functions import dates
 from duecall.functions import text as T
 
 _ENTRY = re.compile(r"(?m)^@(\w+)\s*\{\s*([^,\s]+)\s*,")
@@ -76,9 +77,29 @@ def toc_papers(pages: DataFrame, key: str) -> DataFrame:
 
 def directory_text(pages: DataFrame, key: str, marker: str) -> DataFrame:
     """(key, title, status) of a directory as text: below the marker, a title line and the status line after it; dated ones before open ones, one for each title."""
-    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("i", "line"))
+    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("i", "line"))
     by = Window.partitionBy(key).orderBy("i")
     lines = lines.withColumns({"status": F.lead("line").over(by), "_in": F.max((F.col("line") == marker).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))})
     rows = lines.filter((F.col("_in") == 1) & F.col("status").rlike("^(?:Due |Open)") & ~F.col("line").rlike("^(?:Due |Open)"))
     best = F.min(F.struct((~F.col("status").startswith("Due ")).alias("undated"), "i", "status"))
     return rows.groupBy(key, F.col("line").alias("title")).agg(best["status"].alias("status"))
+
+
+def directory_html(pages: DataFrame, key: str, marker: str) -> DataFrame:
+    """(key, group_id, title, status, due) of a directory page's group links below the marker, if it has one.
+
+    A link's status is the text up to the next group link: open, due with a date, or active. Of a group's
+    entries an open one counts, else a dated one, else the first; the last of several open ones.
+    """
+    anchor = r"(?i)<a\b[^>]*href=[\"'][^\"']*\bgroup\?[^\"']*\bid=[^\"']*[\"'][^>]*>"
+    section = F.when(F.col("html").rlike(f"(?i){marker}"), F.regexp_replace("html", f"(?is)^.*?{marker}", "")).otherwise(F.col("html"))
+    heads, tails = F.regexp_extract_all("_s", F.lit(anchor), F.lit(0)), F.split("_s", anchor, -1)
+    rows = pages.select(key, section.alias("_s")).select(key, F.posexplode(F.zip_with(heads, F.slice(tails, F.lit(2), F.greatest(F.lit(0), F.size(tails) - 1)), lambda h, t: F.struct(h.alias("h"), t.alias("t")))).alias("i", "x"))
+    group = F.try_url_decode(T.xml_text(F.regexp_extract("x.h", r"\bid=([^&\"']+)", 1)))
+    title = T.html_text(F.regexp_extract("x.t", r"(?is)^(.*?)</a>", 1))
+    near = T.html_text(F.regexp_replace("x.t", r"(?is)^.*?</a>", ""))
+    rows = rows.select(key, "i", group.alias("group_id"), title.alias("title"), near.alias("near")).filter("group_id <> '' and title <> ''")
+    rows = rows.withColumn("due", dates.due_text(F.when(F.col("near").rlike(r"(?i)\bdue\b"), F.col("near"))))
+    rows = rows.withColumn("status", F.when(F.lower("near").contains("open for submissions"), "open").when(F.col("due").isNotNull(), "due").otherwise("active"))
+    place = F.struct((F.col("status") != "open").alias("a"), F.col("due").isNull().alias("b"), F.when(F.col("status") == "open", -F.col("i")).otherwise(F.col("i")).alias("c"), "title", "status", "due")
+    return rows.groupBy(key, "group_id").agg(F.min(place).alias("_b")).select(key, "group_id", "_b.title", "_b.status", "_b.due")

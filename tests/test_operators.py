@@ -7,10 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from duecall.functions import dates as D
 from duecall.functions import text as T
 from duecall.functions.parse import described, parse, shifted
-from duecall.operators import merge, search, upserts
-from duecall.sources import parsers, sinks, tables
+from duecall.operators import lookup, merge, search, upserts
+from duecall.sources import paging, parsers, sinks, tables
 from duecall.streaming import windows
 
 NOW = datetime(2030, 1, 31, 12)
@@ -156,3 +157,106 @@ def test_watermarked_windows_on_a_stream(spark, tmp_path):
         assert [r.n for r in spark.table("hours").collect()] == [1]
     finally:
         q.stop()
+
+
+def test_search_from_a_string(spark):
+    """Any phrase of any concept keeps a row; accents fold; the constraint, expansion and boosts as told."""
+    rows = [
+        (1, "conference", "graph privacy", "a paper on Café privacy"),
+        (2, "conference", "systems", "malware in clouds"),
+        (3, "conference", "poetry", "nothing of the kind"),
+        (4, "workshop", "privacy", "privacy privacy"),
+    ]
+    df = spark.createDataFrame(rows, "id long, type string, high string, body string")
+    df = df.select("id", "type", F.lit(None).cast("timestamp_ntz").alias("deadline"), F.lit(False).alias("rolling"), F.lit(True).alias("official"), T.search_text(F.col("high")).alias("_high"), T.search_text(F.col("body")).alias("_body"))
+    found, q = search.searched(df, "conferences on privacy", NOW, once=False)
+    assert q.types == ["conference"] and q.concepts.keys() == {"security"}
+    assert [r.id for r in found.collect()] == [1, 2]
+    assert [r.id for r in search.searched(df, "cafe", NOW)[0].collect()] == [1]
+    assert parse("after Jan 5", NOW).least == datetime(2031, 1, 5) and not parse("a verified result", NOW).trusted
+    assert parse("in less than 2 weeks", NOW).before == datetime(2030, 2, 14, 12)
+    assert parse("trusted venues on x", NOW).trusted
+
+
+def test_dates_in_text(spark):
+    text = """Paper submission deadline: Apr 14, 2030.
+Hot-off-the-press and late breaking paper submission deadline: June 3rd, 2030.
+Main paper camera-ready deadline: 30 July. AOE) Full papers due: Friday, 31 May 2030 (11:59 p.m. Anywhere on Earth). Notification: June 1, 2030 and registration by June 2"""
+    now = F.lit("2030-05-20 12:00:00").cast("timestamp_ntz")
+    row = spark.createDataFrame([(text,)], "t string").select(D.tracks(F.col("t"), now).alias("t")).select("t", D.open_track(F.col("t"), now).alias("o")).first()
+    got = {(r.type, str(r.date)) for r in row.t}
+    assert got == {("late-breaking", "2030-06-03 23:59:00"), ("camera-ready", "2030-07-30 23:59:00"), ("main", "2030-06-01 11:59:00"), ("notification", "2030-06-01 23:59:00"), ("notification", "2030-06-02 23:59:00"), ("registration", "2030-06-01 23:59:00"), ("registration", "2030-06-02 23:59:00")}
+    assert row.o.type == "main"
+    due = spark.createDataFrame([("Due 3 Sept 2030 at 07:59 Pacific Daylight Time</b>",), ("Open for Submissions",)], "t string").select(D.due_text(F.col("t")).alias("d")).collect()
+    assert [r.d for r in due] == [datetime(2030, 9, 3, 14, 59), None]
+
+
+def test_ranks(spark):
+    ranks = spark.createDataFrame([("Australasian B",), ("National: USA",), ("A*",), ("Q9",), (None,)], "r string").select(lookup.rank_group(F.col("r"), {"Q9": "C"}).alias("g")).collect()
+    assert [r.g for r in ranks] == ["B", "unranked", "A*", "C", "unranked"]
+    catalogue = spark.createDataFrame([(1, "DUP", "First Venue", "A"), (2, "DUP", "Second Venue", "B"), (3, "TWO 2029", "Alpha Data", "B"), (4, "TWO", "Beta Data", "Australasian B")], "ord long, acronym string, title string, rank string").withColumn("source", F.lit("s"))
+    calls = spark.createDataFrame([(1, "conference", "Dup 2030", "Unknown Things"), (2, "conference", "dup", "the second venue"), (3, None, "TWO", "Gamma Data"), (4, "journal", "TWO", "Beta Data"), (5, None, "none", "x")], "id long, type string, acronym string, name string")
+    got = {r.id: (r.rank, r.rank_raw) for r in lookup.ranked(calls, catalogue, "id", "acronym", "name", "type").collect()}
+    assert got == {1: (None, None), 2: ("B", "B"), 3: ("B", "B"), 4: (None, None), 5: (None, None)}
+
+
+def test_fold_as_a_loop_where_richness_rises(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k // 9, k, rng.choice([None, "c"]), rng.choice([None, "u"]), [rng.choice("pqr")], rng.random() < 0.1) for k in range(180)]
+    df = spark.createDataFrame(rows, "key long, id long, cfp string, url string, topics array<string>, confirmed boolean")
+    rich = lambda x: merge.richness([x["cfp"], x["url"]], x["topics"], x["confirmed"], F.lit(False), F.lit(False))
+    unique, gone = merge.folded(df, "key", "id", "id", rich, ["cfp", "url", "confirmed"], ["topics"])
+    got = {r.key: (r.id, r.cfp, r.url, r.topics, r.deduplicated_from, r.n_merged) for r in unique.collect()}
+    points = lambda r: (r[1] is not None) + (r[2] is not None) + len(r[3]) / 2 + 5 * r[4]
+    steps = set()
+    for key in got:
+        now, absorbed = None, set()
+        for _, *r in (x for x in rows if x[0] == key):
+            if now is None:
+                now = r
+                continue
+            a, b = (r, now) if points(r) > points(now) else (now, r)
+            steps.add((b[0], a[0]))
+            absorbed |= {b[0]}
+            now = [a[0], a[1] or b[1], a[2] or b[2], list(dict.fromkeys(a[3] + b[3])), a[4]]
+        assert got[key] == (now[0], now[1], now[2], now[3], sorted(absorbed), 9)
+    assert {(r.id, r.merged_into) for r in gone.collect()} == steps
+
+
+def test_entity_merge_loses_no_group(spark):
+    cards = [(k, None, f"t{k % 4}", "abc", 2030, False, False, True, False, "old") for k in range(6)]
+    cards += [(10, "g1", "x", "abc", 2030, True, False, True, False, "old"), (11, None, "y", "abc", 2030, False, True, False, False, "old"), (12, None, "z", "abc", 2030, False, False, True, True, "old")]
+    groups = [("g1", "q", "abc", 2030, "a"), ("g2", "t0", "abc", 2030, "b"), ("g3", "t0", "abc", 2030, "c")] + [(f"h{k}", "", "abc", 2030, "d") for k in range(7)]
+    c = spark.createDataFrame(cards, "card_id long, group_id string, title_key string, acronym string, year int, mirrored boolean, from_live boolean, active boolean, organizer boolean, track string")
+    g = spark.createDataFrame(groups, "group_id string, title_key string, acronym string, year int, track string")
+    out = merge.entity_merge(c, g, ["track"], complete=False).collect()
+    assert sum(r.n_groups for r in out) == len(groups)
+    by_card = {r.card_id: (r.group_id, r.stage, r.n_groups, r.track) for r in out if r.card_id is not None}
+    assert by_card[0] == ("g3", "title", 2, "c") and by_card[10] == ("g1", "id", 1, "a") and 11 not in by_card and 12 not in by_card
+    assert sum(r.stage == "fuzzy" for r in out) == 5 and sum(r.stage == "new" for r in out) == 2
+
+
+def test_pages_of_a_source():
+    pages = {"*": (list(range(3)), "a"), "a": (list(range(3)), "b"), "b": ([1], "c")}
+    assert [len(x) for x in paging.cursor_pages(lambda c, n: pages[c], 3)] == [3, 3, 1]
+    assert len(list(paging.cursor_pages(lambda c, n: ([0] * n, "*"), 3))) == 1
+    assert len(list(paging.cursor_pages(lambda c, n: ([0] * n, c + "x"), 3, wanted=4))) == 2
+    with pytest.raises(OverflowError):
+        list(paging.cursor_pages(lambda c, n: ([0] * n, c + "x"), 3, 5))
+    with pytest.raises(OverflowError):
+        paging.complete([1, 2], 2)
+
+
+def test_upsert_moves_a_key(spark, tmp_path):
+    path = f"{tmp_path}/moves"
+    sinks.shards(spark.createDataFrame([("v1", 1, 2000), ("v2", 2, 2000)], "venue_id string, id long, year int"), path, only_changed=False)
+    sinks.upserted(spark, path, spark.createDataFrame([("v2", 1, 2030)], "venue_id string, id long, year int"), "id")
+    assert sorted((r.venue_id, r.id, r.year) for r in spark.read.parquet(path).collect()) == [("v2", 1, 2030), ("v2", 2, 2000)]
+
+
+def test_null_clients_are_limited(spark):
+    rows = [(k, None, datetime(2030, 1, 1, 0, 0, k)) for k in range(4)]
+    got = windows.rate_limited(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"), ["user_id"], 60, 2).collect()
+    assert {r.event_id: r.allowed for r in got} == {0: True, 1: True, 2: False, 3: False}
