@@ -110,10 +110,11 @@ def allowed(name: Column, domains: list[str]) -> Column:
 
 def links(html: Column) -> Column:
     """array<struct(href, text)> of a page's anchors, in order."""
-    pattern = r'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    pattern = r"""(?is)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>"""
+    part = lambda k: F.regexp_extract_all(html, F.lit(pattern), F.lit(k))
     return F.zip_with(
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(2)),
+        F.zip_with(part(1), part(2), lambda a, b: F.when(a != "", a).otherwise(b)),
+        part(3),
         lambda a, t: F.struct(a.alias("href"), squeezed(F.regexp_replace(t, "<[^>]*>", " ")).alias("text")),
     )
 
@@ -151,6 +152,27 @@ def issn(text: Column) -> Column:
     return F.when(ok, F.concat(F.substring(bare, 1, 4), F.lit("-"), F.substring(bare, 5, 4)))
 
 
+def orcid(text: Column) -> Column:
+    """An ORCID as 0000-0000-0000-000X if its check digit is right, else null."""
+    bare = F.regexp_extract(F.upper(text), r"([0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X])", 1)
+    digits = F.replace(bare, F.lit("-"), F.lit(""))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda n, k: (n + F.substr(digits, k, F.lit(1)).try_cast("int")) * 2 % 11)
+    check = (12 - total) % 11
+    return F.when((bare != "") & (F.right(bare, F.lit(1)) == F.when(check == 10, "X").otherwise(check.cast("string"))), bare)
+
+
+def redirected(href: Column, parameter: str) -> Column:
+    """The address that a search result's link leads to: its redirect parameter decoded, else itself."""
+    inner = F.regexp_extract(href, rf"[?&]{parameter}=([^&#]+)", 1)
+    return F.when(inner != "", F.try_url_decode(inner)).otherwise(href)
+
+
+def loose_json(text: Column) -> Column:
+    """What stands between a text's first and last brace, if that is JSON, else null."""
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(F.nullif(inner, F.lit(""))).isNotNull(), inner)
+
+
 def slug(text: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), 1, most), "^-+|-+$", "")
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Ranks and quartiles that support an identity.
+RANKED = ["A*", "A", "B", "C", "Q1", "Q2", "Q3", "Q4"]
+
+
 def reasons(rules: dict[str, Column]) -> Column:
     """The names of all rules that fail; a null rule fails. A row is admitted where there is none."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
@@ -27,6 +31,41 @@ def weighed(good: dict[str, tuple[Column, int]], bad: dict[str, tuple[Column, in
     return F.struct(level.alias("level"), (g - b).cast("long").alias("score"), F.when(d, "corroborated").otherwise("partial").alias("quality"), notes.alias("notes"))
 
 
+def legitimacy(x: Column) -> Column:
+    """struct(level, score, quality, notes) of a call by all its evidence, journals by their identity and
+    listing, other venues by proceedings, publisher and parent.
+
+    x has host, approved, suspicious, type, tier, source, unreachable; identity, listed, indexed, conflict;
+    established, checked, prior_publisher; publisher_now; parent, parent_claimed.
+    """
+    on = lambda c: F.coalesce(x[c], F.lit(False))
+    journal = F.coalesce(x["type"], F.lit("")).isin("journal", "special-issue")
+    venue, workshop = ~journal, x["type"].eqNullSafe(F.lit("workshop"))
+    good = {
+        "approved-host": (on("approved"), 1),
+        "journal-identity": (journal & on("identity"), 2),
+        "listed": (journal & on("listed"), 2),
+        "indexed": (journal & ~on("listed") & on("indexed"), 1),
+        "proceedings-on-publisher": (venue & on("established") & on("prior_publisher"), 3),
+        "proceedings": (venue & on("established") & ~on("prior_publisher"), 1),
+        "publisher-of-this-edition": (venue & on("publisher_now"), 2),
+        "parent-lists-it": (workshop & on("parent"), 3),
+        "ranked": (F.coalesce(x["tier"], F.lit("")).isin(*RANKED) & (on("identity") | on("established")), 1),
+        "review-platform": (x["source"].eqNullSafe(F.lit("openreview")), 1),
+    }
+    bad = {
+        "suspicious-host": (on("suspicious"), 2),
+        "no-host": (x["host"].isNull() | (x["host"] == ""), 1),
+        "identity-conflict": (journal & on("conflict"), 3),
+        "no-proceedings": (venue & on("checked") & ~on("established"), 2),
+        "parent-unconfirmed": (workshop & on("parent_claimed") & ~on("parent"), 1),
+        "unreachable": (on("unreachable"), 1),
+        "unknown-source": (x["source"].eqNullSafe(F.lit("other")) & ~on("approved") & ~on("identity") & ~on("established"), 1),
+    }
+    decisive = F.when(journal, on("identity") & (on("listed") | on("indexed"))).otherwise((on("established") & on("prior_publisher")) | on("publisher_now") | on("parent"))
+    return weighed(good, bad, decisive)
+
+
 def fused(evidence: DataFrame, key: str, event_year: Column) -> DataFrame:
     """(key, n_years, n_sources, n_recent, established) from rows (key, source, year, official, link).
 

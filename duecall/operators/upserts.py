@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecall.sources.staging import written
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row for each key: the first in order, whatever the partitions."""
@@ -46,12 +48,22 @@ def bounded_log(log: DataFrame, most: int, *order: Column) -> DataFrame:
 
 
 def cyclic(keys: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
-    """The size keys from a cursor on, around the end: (key, slot). One row a key, so a window over all stays small."""
-    numbered = keys.withColumns({"_i": F.row_number().over(Window.orderBy(key)) - 1, "_m": F.count("*").over(Window.partitionBy())})
+    """The size keys from a cursor on, around the end: (key, slot). Keys are numbered within ranges, and
+    the ranges' offsets, one row each, are added: no task holds all keys."""
+    placed = written(keys.select(key).repartitionByRange(key).select(key, F.spark_partition_id().alias("_p")), "ranges")
+    offsets = placed.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = offsets.withColumns({"_o": before, "_m": F.sum("_c").over(Window.partitionBy())}).drop("_c")
+    numbered = placed.join(offsets, "_p").withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("_o"))
     slot = F.pmod(F.col("_i") - F.lit(cursor) % F.col("_m"), F.col("_m"))
     return numbered.withColumn("slot", slot.cast("long")).filter(F.col("slot") < size).select(key, "slot")
 
 
+def asserted(rows: DataFrame, holds: Column, said: Column) -> DataFrame:
+    """rows as they are; the job fails with said at the first row for which holds isn't true."""
+    return rows.filter(F.when(F.coalesce(holds, F.lit(False)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def selected(rows: DataFrame, wanted: DataFrame, key: str, types: list[str]) -> DataFrame:
     return rows.filter(F.col("type").isin(types)).join(wanted.select(key), key, "left_semi")
 

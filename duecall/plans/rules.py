@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.operators import admission as A
+from duecall.operators import evidence as E
 from duecall.operators import lifecycle as life
+from duecall.operators import upserts
 from duecall.sources.tables import CALLS_SQL, calls, papers, table
 
 QUERIES, ORACLES = {}, {}
@@ -256,3 +258,93 @@ def title_inference(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.when(n % 5 == 4, "Meeting").otherwise(F.concat(F.lit("The AB"), n.cast("string"))), F.lit(" "), kind, F.lit(" "), by(n, "for Data", "for Neural Privacy-free Learning".replace("Privacy-free ", ""), "for Data Security", ""))
     short = F.coalesce(F.nullif(F.regexp_extract(title, r"\b([A-Z][A-Z0-9-]{2,12})\b", 1), F.lit("")), F.split(title, " ")[0])
     return table(spark, d, "part").select(n.alias("id"), T.ruled(F.lower(title), TYPE_RULES, "conference").alias("type"), T.ruled(F.lower(title), AREA_RULES, "Other").alias("area"), short.alias("acronym"))
+
+
+_EV = f"""WITH {CALLS_SQL}, e AS (SELECT *, type IN ('journal', 'special-issue') AS j, type = 'workshop' AS w, id % 2 = 0 AS app, id % 7 = 0 AS ident, id % 3 = 0 AS lst, id % 5 = 0 AS idx, id % 19 = 0 AS conf, id % 3 <> 1 AS est, id % 4 <> 0 AS chk, id % 5 < 3 AS pri, venue % 6 = 0 AS pub, venue % 4 = 0 AS par, venue % 3 = 0 AS pcl, venue % 9 < 2 AS rnk, source = 'seed' AS orv, id % 23 = 0 AS unr, id % 11 = 0 AS sus, id % 29 = 0 AS nohost, id % 13 = 0 AS oth FROM calls),
+p AS (SELECT id, app::INT + 2 * (j AND ident)::INT + 2 * (j AND lst)::INT + (j AND NOT lst AND idx)::INT + 3 * (NOT j AND est AND pri)::INT + (NOT j AND est AND NOT pri)::INT + 2 * (NOT j AND pub)::INT + 3 * (w AND par)::INT + (rnk AND (ident OR est))::INT + (orv AND NOT oth)::INT AS g,
+ 2 * sus::INT + nohost::INT + 3 * (j AND conf)::INT + 2 * (NOT j AND chk AND NOT est)::INT + (w AND pcl AND NOT par)::INT + unr::INT + (oth AND NOT app AND NOT ident AND NOT est)::INT AS b, CASE WHEN j THEN ident AND (lst OR idx) ELSE (est AND pri) OR pub OR par END AS dec FROM e)"""
+
+
+@query(f"{_EV} SELECT id, CASE WHEN b >= 3 OR (b >= 2 AND NOT dec) THEN 'caution' WHEN dec AND g >= 3 AND b = 0 THEN 'trusted' ELSE 'review' END AS level, (g - b)::BIGINT AS score, CASE WHEN dec THEN 'corroborated' ELSE 'partial' END AS quality FROM p")
+def legitimacy_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence rules, journals and other venues each by their own."""
+    n, v = F.col("id"), F.col("venue")
+    x = F.struct(
+        F.when(n % 29 != 0, "conf.org").alias("host"), (n % 2 == 0).alias("approved"), (n % 11 == 0).alias("suspicious"), F.col("type").alias("type"), F.when(v % 9 == 0, "A*").when(v % 9 == 1, "Q2").otherwise("D").alias("tier"),
+        F.when(n % 13 == 0, "other").when(F.col("source") == "seed", "openreview").otherwise("agent").alias("source"), (n % 23 == 0).alias("unreachable"), (n % 7 == 0).alias("identity"), F.when(n % 3 == 0, F.lit(True)).alias("listed"), (n % 5 == 0).alias("indexed"),
+        (n % 19 == 0).alias("conflict"), (n % 3 != 1).alias("established"), (n % 4 != 0).alias("checked"), (n % 5 < 3).alias("prior_publisher"), (v % 6 == 0).alias("publisher_now"), (v % 4 == 0).alias("parent"), (v % 3 == 0).alias("parent_claimed"),
+    )
+    return calls(spark, d).select("id", E.legitimacy(x).alias("s")).select("id", "s.level", "s.score", "s.quality")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 MINUTE * (o_orderkey * 37 % 1440) AS t FROM orders), a AS (SELECT id, t, date_diff('second', TIMESTAMP '1998-01-31 06:00:00', t) AS left_s, (date_part('year', t) - 1998) * 12 + date_part('month', t) - 1 AS m0 FROM o WHERE t > TIMESTAMP '1998-01-31 06:00:00'),
+b AS (SELECT *, m0 - CASE WHEN TIMESTAMP '1998-01-31 06:00:00' + INTERVAL 1 MONTH * m0::INT > t THEN 1 ELSE 0 END AS m FROM a), c AS (SELECT *, date_diff('second', TIMESTAMP '1998-01-31 06:00:00' + INTERVAL 1 MONTH * m::INT, t) AS r FROM b)
+SELECT id, m::BIGINT AS months, (r // 86400)::BIGINT AS days, (r % 86400 // 3600)::BIGINT AS hours, CASE WHEN left_s < 3600 THEN greatest(1, ceil(left_s / 60.0))::BIGINT END AS minutes, left_s < 604800 AS soon FROM c""")
+def countdown_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Months by the calendar, then days and hours; minutes in the final hour. A month that is too short ends on its last day."""
+    at = F.lit("1998-01-31 06:00:00").cast("timestamp_ntz")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") * 37 % 1440).cast("int"))).alias("t"))
+    rows = rows.filter(F.col("t") > at)
+    later = lambda m: F.expr("timestamp_ntz'1998-01-31 06:00:00'") + F.make_ym_interval(months=m)
+    m0 = ((F.year("t") - 1998) * 12 + F.month("t") - 1).cast("int")
+    rows = rows.withColumn("m", m0 - F.when(later(m0) > F.col("t"), 1).otherwise(0))
+    seconds = lambda a: F.timestamp_diff("SECOND", a, F.col("t"))
+    rows = rows.withColumns({"r": seconds(later(F.col("m"))), "s": seconds(at)})
+    minutes = F.when(F.col("s") < 3600, F.greatest(F.lit(1), F.ceil(F.col("s") / 60))).cast("long")
+    return rows.select("id", F.col("m").cast("long").alias("months"), F.floor(F.col("r") / 86_400).alias("days"), F.floor(F.col("r") % 86_400 / 3600).alias("hours"), minutes.alias("minutes"), (F.col("s") < 604_800).alias("soon"))
+
+
+#: A call's area as one of ten domains; the first rule that matches.
+DOMAINS = [
+    ("Computer Vision", r"vision|image|document ai|pattern recognition"), ("NLP & Speech", r"nlp|language|speech|audio|signal|linguistic"), ("Robotics", r"robot"), ("Data, Web & IR", r"data|mining|information retrieval|web|knowledge|graph"),
+    ("Systems & Architecture", r"system|architecture|hpc|storage|network|cloud"), ("Security & Privacy", r"secur|privacy|crypto"), ("HCI", r"human-computer|hci|interface|interaction"), ("Theory & Statistics", r"theory|mathematic|statistic"),
+    ("Applied & Responsible AI", r"medical|health|clinical|education|finance|social|environment|energy|fairness|federated"), ("Machine Learning & AI", r"learning|intelligen|neural|agent|evolutionary"),
+]
+
+
+@query("SELECT c_custkey AS id, ['Computer Vision', 'NLP & Speech', 'Robotics', 'Data, Web & IR', 'Systems & Architecture', 'Security & Privacy', 'HCI', 'Theory & Statistics', 'Applied & Responsible AI', 'Machine Learning & AI', 'Other', 'Data, Web & IR'][c_custkey % 12 + 1] AS domain FROM customer")
+def macro_domains(spark: SparkSession, d: str) -> DataFrame:
+    area = by(F.col("c_custkey"), "Medical Image Analysis", "Natural Language", "Robot Learning", "Graph Mining", "Cloud and Energy", "Privacy", "Human-Computer Interaction", "Learning Theory", "Clinical Learning", "Neural Agents", "Poetry", "Database Systems")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.ruled(F.lower(area), DOMAINS, "Other").alias("domain"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, max(o_orderdate) AS newest FROM orders GROUP BY 1")
+def freshness_asserted(spark: SparkSession, d: str) -> DataFrame:
+    """The audit as an assertion: the job fails where a store is empty, too old, or from the future."""
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("newest"))
+    age = F.timestamp_diff("MINUTE", F.col("newest"), F.lit("2001-08-02").cast("timestamp_ntz"))
+    return upserts.asserted(rows, age.between(-5, 60 * 24 * 60) & (F.col("n") > 0), F.concat(F.lit("stale: "), F.col("status")))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0 AND p_size % 4 <> 0 AND p_partkey % 5 <> 0")
+def issn_members(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a journal: one of its ISSNs, the year asked for, and a valid DOI."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    issns = F.array(F.lit("2049-3630"), F.when(n % 3 == 0, "00280836").otherwise("0028-0837"))
+    mine = F.array(F.lit("0028-0836"), F.lit("1050-124X"))
+    known = F.filter(F.transform(issns, T.issn), lambda x: x.isNotNull())
+    doi = F.when(k % 5 == 0, "10.1/x").otherwise(F.concat(F.lit("https://doi.org/10.1000/"), k.cast("string")))
+    year = F.when(n % 4 == 0, 2029).otherwise(2030)
+    return table(spark, d, "part").filter(F.arrays_overlap(known, mine) & (year == 2030) & T.doi(doi).isNotNull()).select(k.alias("id"))
+
+
+@query("""SELECT user_id, arg_min(event_id, (ts, event_id)) AS invitation, min(ts) AS due FROM events WHERE event_type IN ('purchase', 'signup') AND event_id % 3 <> 0 AND event_id % 4 <> 0 AND ts > TIMESTAMP '2024-01-10' AND event_id % 7 <> 0 GROUP BY user_id""")
+def open_invitations(spark: SparkSession, d: str) -> DataFrame:
+    """Of each group the earliest invitation to submit that is open: by its id's form, not a review's or a revision's, due later, opened before."""
+    n, at = F.col("event_id"), F.lit("2024-01-10").cast("timestamp_ntz")
+    kind = F.when(~F.col("event_type").isin("purchase", "signup"), "Comment").when(n % 3 == 0, "Camera_Ready_Revision").when(n % 4 == 0, "Official_Review").when(n % 2 == 0, "Submission").otherwise("Blind_Submission")
+    invitation = F.concat(F.lit("host.org/"), F.col("user_id").cast("string"), F.lit("/-/"), kind)
+    opened = F.when(n % 7 == 0, at + F.expr("INTERVAL 1 DAY")).when(n % 2 == 0, at - F.expr("INTERVAL 9 DAY"))
+    fit = invitation.rlike(r"/-/.*(?:Submission|Paper|Abstract)") & ~invitation.rlike(r"Review|Revision|Camera|Comment|Withdraw") & (F.col("ts") > at) & (opened.isNull() | (opened <= at))
+    return table(spark, d, "events").filter(fit).groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("invitation"), F.min("ts").alias("due"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://a.org/x?y=' || page_id WHEN 1 THEN 'https://b.org/' || page_id WHEN 2 THEN NULL ELSE 'https://c.org/it''s' END AS target, CASE WHEN page_id % 2 = 0 THEN '0000-0002-1825-0097' END AS orcid, CASE WHEN page_id % 3 = 0 THEN '{"a": {"b": ' || page_id || '}}' END AS json FROM pages""")
+def found_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of redirecting links in either kind of quotes, but not on the search engine's own host; an ORCID; loose JSON."""
+    n = F.col("page_id").cast("string")
+    href = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<a class='q' href='/url?sa=t&q=https%3A%2F%2Fa.org%2Fx%3Fy%3D"), n, F.lit("&z=1'>A</a>"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit('<a href="https://b.org/'), n, F.lit('">B</a>'))).when(F.col("page_id") % 4 == 2, '<a href="https://www.engine.org/help">C</a>').otherwise("<a href=\"https://c.org/it's\">D</a>")
+    target = F.get(F.filter(F.transform(T.links(href), lambda x: T.redirected(x["href"], "q")), lambda u: T.host(u) != "engine.org"), F.lit(0))
+    orcid = by(F.col("page_id"), "see https://orcid.org/0000-0002-1825-0097.", "0000-0002-1825-0098")
+    loose = F.concat(F.lit("Sure, here: "), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"a": {"b": '), n, F.lit("}} I hope"))).when(F.col("page_id") % 3 == 1, "{no json}").otherwise("none"))
+    return table(spark, d, "pages").select("page_id", target.alias("target"), T.orcid(orcid).alias("orcid"), T.loose_json(loose).alias("json"))

@@ -67,3 +67,13 @@ def response(df: DataFrame, most: int = 1000) -> str:
     """A page of rows as a JSON envelope; a page is bounded, so it may go through the driver."""
     rows = [json.loads(x) for x in df.limit(most).toJSON().collect()]
     return json.dumps({"count": len(rows), "items": rows})
+
+
+#: How long, in seconds, a shared cache may keep each kind of response.
+CACHED = {"catalogue": 300, "history": 3600}
+
+
+def headers(kind: str) -> dict[str, str]:
+    """What goes with a response: its type, and how long it may be kept; kinds that aren't listed aren't kept."""
+    keep = f"public, s-maxage={CACHED[kind]}, stale-while-revalidate={2 * CACHED[kind]}" if kind in CACHED else "no-store"
+    return {"Content-Type": "application/json; charset=utf-8", "Cache-Control": keep}

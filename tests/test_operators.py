@@ -260,3 +260,13 @@ def test_null_clients_are_limited(spark):
     rows = [(k, None, datetime(2030, 1, 1, 0, 0, k)) for k in range(4)]
     got = windows.rate_limited(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"), ["user_id"], 60, 2).collect()
     assert {r.event_id: r.allowed for r in got} == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_assertions_headers_and_identifiers(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "n long")
+    assert upserts.asserted(rows, F.col("n") > 0, F.lit("bad")).count() == 2
+    with pytest.raises(Exception, match="row 2"):
+        upserts.asserted(rows, F.col("n") < 2, F.concat(F.lit("row "), F.col("n").cast("string"))).collect()
+    assert "s-maxage=300" in sinks.headers("catalogue")["Cache-Control"] and sinks.headers("search")["Cache-Control"] == "no-store"
+    got = spark.createDataFrame([("0000-0001-5109-3700",), ("0000-0001-5109-3701",), ("0000-0002-9079-593x",), ("x",), (None,)], "t string").select(T.orcid(F.col("t")).alias("o")).collect()
+    assert [r.o for r in got] == ["0000-0001-5109-3700", None, "0000-0002-9079-593X", None, None]
