@@ -7,6 +7,7 @@ bounds spelled out on text that is already ASCII.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def folded(text: Column | str) -> Column:
     return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(f"[{''.join(_LIGATURES)}]"), plain).otherwise(out)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable, which no optimizer rule inlines."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \t\r\n]+", " "))
 

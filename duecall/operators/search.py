@@ -20,30 +20,34 @@ from duecall.sources.staging import written
 K1, B = 1.2, 0.75
 
 
-def scored(rows: DataFrame, high: Column, body: Column, weights: dict[str, float], high_weight: float, floor: float = 0.0, bonus: Column | None = None, once: bool = False) -> DataFrame:
-    """rows with a BM25 score; high and body are arrays of tokens, weights the query's terms.
+def counted(high: Column, body: Column, weights: dict[str, float], high_weight: float, floor: float = 0.0) -> Column:
+    """struct(len, tf): a row's weighted length, and how often it has each of the query's terms; high and body are arrays of tokens."""
+    terms = F.array(*map(F.lit, weights)).cast("array<string>")
+    of = lambda hits, t: F.size(F.filter(hits, lambda x: x == t))
+    hits = lambda tokens: F.filter(tokens, lambda x: x.isin(list(weights))) if weights else F.array().cast("array<string>")
+    tf = T.let(F.struct(hits(high).alias("h"), hits(body).alias("b")), lambda x: F.transform(terms, lambda t: high_weight * of(x["h"], t) + of(x["b"], t)))
+    return F.struct(F.greatest(high_weight * F.size(high) + F.size(body), F.lit(floor)).cast("double").alias("len"), tf.alias("tf"))
+
+
+def weighed(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """rows, which have ``_c`` (see counted) and ``_bonus``, with a BM25 score in their place.
 
     score = sum over terms of w * ln(1 + (N - df + .5) / (df + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)),
-    tf and len counting the high field high_weight times, and bonus, an expression over rows. Statistics are
-    over rows as given. They and the scores both need the counts: with ``once`` these are
-    written, so that long texts are taken apart once.
+    tf and len counting the high field high_weight times, and the bonus. Statistics are over rows as given.
     """
-    terms = F.array(*map(F.lit, weights)).cast("array<string>")
-    counted = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-    count = lambda h, b: F.struct(F.greatest(high_weight * F.size(h) + F.size(b), F.lit(floor)).cast("double").alias("len"), F.transform(terms, lambda t: high_weight * counted(h, t) + counted(b, t)).alias("tf"))
-    both = F.get(F.transform(F.array(F.struct(high.alias("h"), body.alias("b"))), lambda x: count(x["h"], x["b"])), F.lit(0))
-    slim = rows.select(*rows.columns, both.alias("_c"), (F.lit(0.0) if bonus is None else bonus).alias("_bonus"))
-    drop = [c for c in rows.columns if c.startswith("_")]
-    slim = slim.drop(*drop)
-    slim = written(slim, "counts") if once else slim
-    stats = slim.agg(F.count("*").alias("_n"), F.greatest(F.avg("_c.len"), F.lit(1.0)).alias("_avg"), *(F.count_if(F.get("_c.tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(weights))))
-    out = slim.crossJoin(F.broadcast(stats))
+    stats = rows.agg(F.count("*").alias("_n"), F.greatest(F.avg("_c.len"), F.lit(1.0)).alias("_avg"), *(F.count_if(F.get("_c.tf", F.lit(k)) > 0).alias(f"_df{k}") for k in range(len(weights))))
+    out = rows.crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for k, w in enumerate(weights.values()):
         tf, df = F.get("_c.tf", F.lit(k)), F.col(f"_df{k}")
         idf = F.ln(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
         total = total + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_c.len") / F.col("_avg")))).otherwise(0.0)
-    return out.withColumn("score", total + F.col("_bonus")).select(*(c for c in rows.columns if c not in drop), "score")
+    return out.withColumn("score", total + F.col("_bonus")).select(*(c for c in rows.columns if c not in ("_c", "_bonus")), "score")
+
+
+def scored(rows: DataFrame, high: Column, body: Column, weights: dict[str, float], high_weight: float, floor: float = 0.0) -> DataFrame:
+    """rows with a BM25 score over short fields; high and body are arrays of tokens, weights the query's terms."""
+    return weighed(rows.withColumns({"_c": counted(high, body, weights, high_weight, floor), "_bonus": F.lit(0.0)}), weights)
 
 
 def phrase_bonus(phrase: str, high: Column, body: Column) -> Column:
@@ -67,14 +71,6 @@ def concept_bonus(text: Column, concepts: dict[str, list[str]]) -> Column:
     return out
 
 
-def concept_filter(rows: DataFrame, text: Column, concepts: dict[str, list[str]]) -> DataFrame:
-    """Rows that hold a phrase of any concept; all rows where there is no concept."""
-    if not concepts:
-        return rows
-    phrases = dict.fromkeys(p for some in concepts.values() for p in some)
-    return rows.filter(concept_hits(text, list(phrases)) > 0)
-
-
 def expansion(terms: list[str], concepts: dict[str, list[str]]) -> dict[str, float]:
     """The query's terms at weight 1, the words of its concepts at 0.32."""
     out = dict.fromkeys(terms, 1.0)
@@ -84,22 +80,32 @@ def expansion(terms: list[str], concepts: dict[str, list[str]]) -> dict[str, flo
     return out
 
 
-def searched(rows: DataFrame, raw: str, now: datetime, once: bool = True) -> tuple[DataFrame, Search]:
+def searched(rows: DataFrame, raw: str, now: datetime) -> tuple[DataFrame, Search]:
     """The whole search, from a string to scored rows in order: constraints, concept filter, weighted BM25
     over what is left, boosts, and a score above 0 where the query has meaning; else by deadline.
 
-    rows: (id, type, deadline, rolling, official, ``_high``, ``_body``) with the two fields' search texts.
+    rows: (id, type, deadline, rolling, official, ``_high``, ``_body``) with the two fields' search texts. What the
+    statistics, the filter and the scores need of them is made in one pass and written, so that long texts are taken apart once.
     """
     q = parse(raw, now)
     rows = lifecycle.constrained(rows, q.types, q.trusted, q.rolling, *(str(x) if x else None for x in (q.least, q.most, q.before)))
-    both = F.concat_ws(" ", "_high", "_body")
-    rows = concept_filter(rows, both, q.concepts)
     if not (q.terms or q.concepts):
         out = rows.drop("_high", "_body").withColumn("score", F.lit(0.0))
         return out.orderBy(F.when(~F.coalesce("rolling", F.lit(False)), F.col("deadline")).asc_nulls_last(), "id"), q
-    bonus = phrase_bonus(q.text, F.col("_high"), F.col("_body")) + concept_bonus(both, q.concepts)
-    out = scored(rows, T.tokens(F.col("_high")), T.tokens(F.col("_body")), expansion(q.terms, q.concepts), 2.4, bonus=bonus, once=once)
-    out = out.withColumn("score", F.round("score", 6)).filter("score > 0")
+    weights = expansion(q.terms, q.concepts)
+    phrases = list(dict.fromkeys(p for some in q.concepts.values() for p in some))
+
+    def of(x: Column) -> Column:
+        both = F.concat_ws(" ", x["h"], x["b"])
+        met = concept_hits(both, phrases) > 0 if phrases else F.lit(True)
+        bonus = phrase_bonus(q.text, x["h"], x["b"]) + concept_bonus(both, q.concepts)
+        counts = T.let(F.struct(T.tokens(x["h"]).alias("h"), T.tokens(x["b"]).alias("b")), lambda t: counted(t["h"], t["b"], weights, 2.4))
+        return F.when(met, F.struct(counts.alias("c"), bonus.alias("bonus")))
+
+    slim = rows.withColumn("_x", T.let(F.struct(F.col("_high").alias("h"), F.col("_body").alias("b")), of)).drop("_high", "_body")
+    slim = written(slim, "counts").filter("_x is not null")
+    slim = slim.select(*(c for c in slim.columns if c != "_x"), F.col("_x.c").alias("_c"), F.col("_x.bonus").alias("_bonus"))
+    out = weighed(slim, weights).withColumn("score", F.round("score", 6)).filter("score > 0")
     return out.orderBy(F.desc("score"), "id"), q
 
 

@@ -9,7 +9,7 @@ from duecall.functions import dates as D
 from duecall.functions import text as T
 from duecall.operators import evidence as E
 from duecall.operators import merge
-from duecall.sources.tables import PAPERS_SQL, papers, table
+from duecall.sources.tables import PAPERS_SQL, papers, spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -154,7 +154,7 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Important dates "), F.year(at).cast("string"), F.lit("\nAbstract deadline: "), day("MMMM d, yyyy"), F.lit(" AoE. Full paper submission deadline "), day("d MMM yyyy", 7),
         F.lit(". Late-breaking posters due "), day("yyyy-MM-dd", 30), F.lit("; Notification and camera-ready: "), day("MMM d yyyy", 40), F.lit(" and "), day("d MMMM yyyy", 50), F.lit(". Reviewers meet "), day("MMMM d, yyyy", 60),
     )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), at.alias("at"), F.regexp_replace(text, "20[0-9][0-9]|19[0-9][0-9]", "2030").alias("text"))
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select(F.col("o_orderkey").alias("id"), at.alias("at"), F.regexp_replace(text, "20[0-9][0-9]|19[0-9][0-9]", "2030").alias("text"))
 
 
 #: The years in the texts are all 2030, so days that 2030 lacks have no date.
@@ -170,7 +170,7 @@ SELECT n.id, n.type, n.date, coalesce(n.type = c.type AND n.date = c.date, false
 def deadline_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Labelled deadlines in page texts, and the track to show."""
     now = F.lit("2030-03-01 00:00:00").cast("timestamp_ntz")
-    rows = _dated(spark, d).select("id", D.tracks(F.col("text"), now).alias("t"))
+    rows = _dated(spark, d).select("id", T.let(F.col("text"), lambda x: D.tracks(x, now)).alias("t"))
     rows = rows.select("id", F.explode("t").alias("x"), D.open_track(F.col("t"), now).alias("o"))
     return rows.select("id", "x.type", "x.date", F.coalesce((F.col("x.type") == F.col("o.type")) & (F.col("x.date") == F.col("o.date")), F.lit(False)).alias("chosen"))
 

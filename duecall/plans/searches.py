@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duecall.functions import text as T
 from duecall.functions.parse import parse
 from duecall.operators import search as S
-from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, table
+from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,7 +47,7 @@ def _tok(expr: str) -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source"))
     none = {"type": F.lit("conference"), "deadline": F.lit(None).cast("timestamp_ntz"), "rolling": F.lit(False), "official": F.lit(True)}
     return docs.withColumns({**none, "_high": T.search_text(F.concat_ws(" ", "source", "lang")), "_body": T.search_text(F.col("text"))}).drop("text")
 
@@ -93,8 +93,9 @@ _PHRASES = {"legal": ["license", "public license", "apache"], "speech": ["langua
 SELECT doc_id, (CASE WHEN h > 0 THEN 2 + 0.75::DOUBLE * least(h - 1, 3) ELSE 0 END + CASE WHEN g > 0 THEN 2 + 0.75::DOUBLE * least(g - 1, 3) ELSE 0 END)::DOUBLE AS boost FROM h WHERE h > 0 OR g > 0""")
 def concept_boost(spark: SparkSession, d: str) -> DataFrame:
     """Rows that meet any concept, with their boost."""
-    rows = S.concept_filter(_docs(spark, d), F.col("_body"), _PHRASES)
-    return rows.select(F.col("id").alias("doc_id"), S.concept_bonus(F.col("_body"), _PHRASES).alias("boost"))
+    every = [p for some in _PHRASES.values() for p in some]
+    boost = T.let(F.col("_body"), lambda t: F.when(S.concept_hits(t, every) > 0, S.concept_bonus(t, _PHRASES)))
+    return _docs(spark, d).select(F.col("id").alias("doc_id"), boost.alias("boost")).filter("boost is not null")
 
 
 _PLAIN = "trusted only workshops or conferences at least two weeks ahead, under three months"

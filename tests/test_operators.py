@@ -169,7 +169,7 @@ def test_search_from_a_string(spark):
     ]
     df = spark.createDataFrame(rows, "id long, type string, high string, body string")
     df = df.select("id", "type", F.lit(None).cast("timestamp_ntz").alias("deadline"), F.lit(False).alias("rolling"), F.lit(True).alias("official"), T.search_text(F.col("high")).alias("_high"), T.search_text(F.col("body")).alias("_body"))
-    found, q = search.searched(df, "conferences on privacy", NOW, once=False)
+    found, q = search.searched(df, "conferences on privacy", NOW)
     assert q.types == ["conference"] and q.concepts.keys() == {"security"}
     assert [r.id for r in found.collect()] == [1, 2]
     assert [r.id for r in search.searched(df, "cafe", NOW)[0].collect()] == [1]
