@@ -2,52 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duecall.sources.staging import shared_path, written  # noqa: F401
+
 #: The white space that parts words: blank and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that cross to Python at once; texts may be long, so a batch stays small.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, as in tests on one machine, a temporary folder is set; on a
-    cluster that folder would be another one on each machine, so it is an error there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="duecall-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/duecall/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """The frame as a Parquet table in the shared folder: its lineage is cut there,
-    a lost executor loses none of it, and later joins plan with its true size."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, so that long texts don't pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
