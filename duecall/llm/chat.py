@@ -39,22 +39,21 @@ LEAST_WORDS = 3
 WHOLE, PARAGRAPH, LINE = 0, 1, 2
 
 
-def level(line: Column) -> Column:
-    marks = F.regexp_extract(line, MARKS, 0)
-    return F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
-
-
 def parsed(text: Column) -> Column:
     """array<struct(level, line)> of a text; the line that announces a quote has the quote's level."""
 
     def of(lines: Column) -> Column:
-        def row(x: Column, i: Column) -> Column:
-            own = level(x)
-            after = F.coalesce(level(F.get(lines, i + 1)), F.lit(0))
-            announces = (own == 0) & (after > 0) & x.rlike(ANNOUNCES)
-            return F.struct(F.when(announces, F.lit(-1)).otherwise(own).alias("level"), F.regexp_replace(x, MARKS, "").alias("line"))
+        def by_marks(marks: Column) -> Column:
+            def by_levels(levels: Column) -> Column:
+                def row(x: Column, i: Column) -> Column:
+                    announces = (F.get(levels, i) == 0) & (F.coalesce(F.get(levels, i + 1), F.lit(0)) > 0) & x.rlike(ANNOUNCES)
+                    return F.struct(F.when(announces, F.lit(-1)).otherwise(F.get(levels, i)).alias("level"), F.substr(x, F.length(F.get(marks, i)) + 1).alias("line"))
+
+                return F.transform(lines, row)
+
+            return let(F.transform(marks, lambda m: F.length(m) - F.length(F.replace(m, F.lit(">"), F.lit("")))), by_levels)
 
-        return F.transform(lines, row)
+        return let(F.transform(lines, lambda x: F.regexp_extract(x, MARKS, 0)), by_marks)
 
     return let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
 
