@@ -184,7 +184,7 @@ def markup(role: Column, text: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each message, in reply order, with its chat markup. The table's conversations
     hold no quotes, so all are made into replies that quote first."""
-    out = formatted(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    out = formatted(written(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "quoting"))
     return out.withColumn("markup", markup(F.col("role"), F.col("text")))
 
 
