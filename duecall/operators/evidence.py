@@ -90,8 +90,10 @@ def deadline_verdict(listed: Column, found: Column, reachable: Column, tolerance
     return F.when(listed.isNull(), "skipped").when(~reachable, "unreachable").when(found.isNull(), "unverified").when(apart <= tolerance_days, "confirmed").otherwise("mismatch")
 
 
-def venue_score(acronym: Column, name_words: Column, found_words: Column) -> Column:
-    """0.55 if the acronym is a word of the page, and 0.45 times the share of the name's words there."""
-    n = F.size(name_words)
-    share = F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(name_words, found_words)) / n)
-    return F.least(F.lit(1.0), F.when(F.array_contains(found_words, acronym), 0.55).otherwise(0.0) + 0.45 * share)
+def venue_score(acronym: str, name: str, text: Column) -> Column:
+    """0.55 if the acronym is a word of the page's normal text, and 0.45 times the share of the
+    name's words of four letters or more that the text holds anywhere, also within words."""
+    words = [w for w in dict.fromkeys(name.split()) if len(w) > 3]
+    hits = sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    share = hits / len(words) if words else F.lit(0.0)
+    return F.least(F.lit(1.0), F.when(F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {acronym} "), 0.55).otherwise(0.0) + 0.45 * share)

@@ -21,23 +21,24 @@ def rank_group(rank: Column, groups: dict[str, str] | None = None) -> Column:
     return out
 
 
-def ranked(calls: DataFrame, rankings: DataFrame, key: str, acronym: str, title: str, kind: str | None = None, groups: dict[str, str] | None = None) -> DataFrame:
-    """calls with rank, rank_raw and rank_source of the ranking row of the same normal acronym, or nulls.
+def ranked(calls: DataFrame, rankings: DataFrame, key: str, acronym: str, title: str, kind: str | None = None, groups: dict[str, str] | None = None, site: str = "") -> DataFrame:
+    """calls with rank, rank_raw, rank_source and rank_url of the ranking row of the same normal acronym, or nulls.
 
     Only conferences and calls without a type (column kind) are ranked. One candidate is taken; of
     several the one with strictly the best title similarity; where the best tie, the first of
-    them if all candidates have one rank group. rankings: (ord, acronym, title, rank, source).
+    them if all candidates have one rank group. rankings: (ord, acronym, title, rank, source), and
+    path, where the catalogue has a page below site for each row.
     """
     words = lambda c: F.array_distinct(T.tokens(T.name_text(c, years=False, ampersand=False), 3, digits=False, stop=[]))
     own = calls.withColumns({"_a": T.acronym(F.col(acronym)), "_t": words(F.col(title))}).filter("_a <> ''")
     own = own.filter(F.coalesce(F.col(kind), F.lit("conference")) == "conference") if kind else own
-    dim = rankings.select(F.col("ord").alias("_ord"), T.acronym(F.col("acronym")).alias("_b"), words(F.col("title")).alias("_u"), F.col("rank").alias("_rank"), F.col("source").alias("_source"), rank_group(F.col("rank"), groups).alias("_group"))
-    hits = own.join(dim, F.col("_a") == F.col("_b")).select(key, "_ord", "_rank", "_source", "_group", T.jaccard(F.col("_t"), F.col("_u")).alias("_s"))
-    by_score = hits.groupBy(key, "_s").agg(F.min(F.struct("_ord", "_rank", "_source", "_group")).alias("_first"), F.count("*").alias("_n"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi"))
+    dim = rankings.select(F.col("ord").alias("_ord"), T.acronym(F.col("acronym")).alias("_b"), words(F.col("title")).alias("_u"), F.col("rank").alias("_rank"), F.col("source").alias("_source"), rank_group(F.col("rank"), groups).alias("_group"), (F.col("path") if "path" in rankings.columns else F.lit(None).cast("string")).alias("_path"))
+    hits = own.join(dim, F.col("_a") == F.col("_b")).select(key, "_ord", "_rank", "_source", "_group", "_path", T.jaccard(F.col("_t"), F.col("_u")).alias("_s"))
+    by_score = hits.groupBy(key, "_s").agg(F.min(F.struct("_ord", "_rank", "_source", "_group", "_path")).alias("_first"), F.count("*").alias("_n"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi"))
     best = by_score.groupBy(key).agg(F.max(F.struct("_s", "_n", "_first")).alias("_top"), (F.min("_lo") == F.max("_hi")).alias("_one"))
     sure = (F.col("_top._n") == 1) | F.col("_one")
     pick = lambda f: F.when(sure, F.col(f"_top._first.{f}"))
-    return calls.join(best.select(key, pick("_group").alias("rank"), pick("_rank").alias("rank_raw"), pick("_source").alias("rank_source")), key, "left")
+    return calls.join(best.select(key, pick("_group").alias("rank"), pick("_rank").alias("rank_raw"), pick("_source").alias("rank_source"), F.concat(F.lit(site), pick("_path")).alias("rank_url")), key, "left")
 
 
 def identified(calls: DataFrame, keys: DataFrame, key: str) -> DataFrame:

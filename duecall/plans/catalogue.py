@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duecall.functions import text as T
 from duecall.operators import lifecycle as life
-from duecall.operators import upserts
+from duecall.operators import lookup, upserts
+from duecall.plans.rules import DOMAINS
 from duecall.sources.tables import CALLS_SQL, NOW, calls
 
 QUERIES, ORACLES = {}, {}
@@ -130,7 +132,8 @@ def upsert_with_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CALLS_SQL}, {_OLD}, {_NEW}, u AS (SELECT 'calls:' || id AS key, id, deadline, status, 0 AS run FROM old UNION ALL SELECT 'calls:' || id, id, deadline, status, 1 FROM new) SELECT key, id, deadline, status FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1")
 def archive_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return upserts.archive(_old(spark, d), _new(spark, d), "calls", "id")
+    """The later run's row of each key, last closed first."""
+    return upserts.archive(_old(spark, d), _new(spark, d), "calls", "id").orderBy(F.col("deadline").desc_nulls_last(), "key")
 
 
 @query(f"WITH {CALLS_SQL} SELECT id, deadline FROM (SELECT id, deadline, row_number() OVER (ORDER BY deadline DESC NULLS LAST, id DESC) AS n FROM calls) WHERE n <= 500")
@@ -156,10 +159,12 @@ def freshness_audit(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("status", "n", age.between(-5, 1440).alias("fresh"), (F.col("n") > 0).alias("covered"))
 
 
-@query(f"WITH {JUDGED} SELECT type, official, count(*) AS n FROM judged WHERE {ACTIVE} AND type IN ('conference', 'workshop', 'journal') AND (official OR status <> 'tentative') GROUP BY ALL")
+@query(f"WITH {JUDGED} SELECT type, official, CASE venue % 3 WHEN 0 THEN 'Robotics' WHEN 1 THEN 'HCI' ELSE 'Other' END AS domain, CASE WHEN type <> 'conference' THEN 'none' WHEN venue % 4 = 0 THEN 'B' ELSE 'unranked' END AS rank_group, count(*) AS n FROM judged WHERE {ACTIVE} AND type IN ('conference', 'workshop', 'journal') AND (official OR status <> 'tentative') GROUP BY ALL")
 def catalogue_facets(spark: SparkSession, d: str) -> DataFrame:
     on = life.partition(calls(spark, d), NOW)[0].filter(F.col("type").isin("conference", "workshop", "journal") & (F.col("official") | (F.col("status") != "tentative")))
-    return on.groupBy("type", "official").agg(F.count("*").alias("n"))
+    area = F.get(F.array(*map(F.lit, ["robot learning", "human-computer interaction", "poetry"])), (F.col("venue") % 3).cast("int"))
+    group = F.when(F.col("type") != "conference", "none").otherwise(lookup.rank_group(F.when(F.col("venue") % 4 == 0, "Australasian B")))
+    return on.groupBy("type", "official", T.ruled(area, DOMAINS, "Other").alias("domain"), group.alias("rank_group")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {CALLS_SQL} SELECT id, date_diff('day', {N}, deadline) AS days_left,

@@ -75,6 +75,26 @@ def exactly_one_match(spark: SparkSession, d: str) -> DataFrame:
     return p.join(lone.select("title"), "title", "left_semi").select("id")
 
 
+@query("""SELECT event_id AS id, k AS origin FROM (SELECT event_id, 0 AS p, 'pending' AS k, event_id % 500 AS u FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 1, 'fresh', event_id % 500 FROM events WHERE event_type = 'signup') QUALIFY row_number() OVER (PARTITION BY u ORDER BY p, event_id) = 1""")
+def replay_pending_first(spark: SparkSession, d: str) -> DataFrame:
+    """What the last run left undone goes before what is new; each URL once."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(n.alias("id"), "event_type", T.normal_url(F.concat(F.lit("HTTPS://Host.org/"), (n % 500).cast("string"))).alias("url"))
+    pending, fresh = rows.filter("event_type = 'error'"), rows.filter("event_type = 'signup'")
+    both = pending.withColumns({"p": F.lit(0), "origin": F.lit("pending")}).unionByName(fresh.withColumns({"p": F.lit(1), "origin": F.lit("fresh")}))
+    return upserts.first_by(both, ["url"], "p", "id").select("id", "origin")
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_brand AS title FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 = 0 AND p_size >= 40) SELECT min(k) AS id, title FROM r GROUP BY title HAVING count(*) = 1""")
+def registry_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Registry rows are accepted where title, publisher family, ISSN and number of DOIs fit, and exactly one row does."""
+    p, n = table(spark, d, "part"), F.col("p_size")
+    venues = p.select(T.name_text(F.col("p_brand")).alias("t"), F.col("p_brand").alias("title")).distinct()
+    rows = p.select(F.col("p_partkey").alias("id"), T.name_text(F.concat(F.upper("p_brand"), F.lit(" "))).alias("t"), F.when(F.col("p_partkey") % 3 == 0, "Springer Nature").otherwise("Other Press").alias("publisher"), T.issn(F.when(n % 2 == 0, "0028-0836").otherwise("0028-0837")).alias("issn"), n.alias("dois"))
+    fit = rows.filter(F.lower("publisher").contains("springer") & F.col("issn").isNotNull() & (F.col("dois") >= 40)).join(venues, "t")
+    return fit.groupBy("title").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", "title")
+
+
 @query(f"WITH {PAPERS_SQL} SELECT id FROM papers WHERE list_has_any(topics, ['blue', 'steel']) AND year = 2005 AND NOT regexp_matches(lower(title), '^(?:white|editorial|front matter)')")
 def member_and_front_matter(spark: SparkSession, d: str) -> DataFrame:
     """Set membership by overlap, and patterns that exclude front matter."""
@@ -89,13 +109,15 @@ def candidate_links(spark: SparkSession, d: str) -> DataFrame:
     return fit.groupBy(F.regexp_replace("href", "#.*$", "").alias("link")).agg(F.min("page_id").alias("page_id")).orderBy("page_id", "link").limit(250).select("page_id", "link")
 
 
-@query(f"WITH {CALLS_SQL}, p AS (SELECT id, deadline FROM calls WHERE id % 2 = 0 AND deadline > TIMESTAMP '1999-01-01'), f AS (SELECT id, deadline FROM calls WHERE id % 6 = 0), r AS (SELECT id FROM calls WHERE id % 10 = 0 AND status = 'closed') SELECT id, 'kept' AS origin FROM p WHERE id NOT IN (SELECT id FROM f) AND id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'fresh' FROM f")
+@query(f"WITH {CALLS_SQL}, p AS (SELECT id, deadline FROM calls WHERE id % 2 = 0 AND deadline > TIMESTAMP '1999-01-01'), f AS (SELECT id, deadline FROM calls WHERE id % 6 = 0), r AS (SELECT id FROM calls WHERE id % 10 = 0 AND status = 'closed') SELECT id, 'kept' AS origin FROM p WHERE id NOT IN (SELECT id FROM f) AND id NOT IN (SELECT id FROM r) AND id % 14 <> 0 AND deadline NOT IN (SELECT deadline FROM f WHERE deadline IS NOT NULL) UNION ALL SELECT id, 'fresh' FROM f")
 def keep_unless_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """What the last run had stays unless it is fetched anew, rejected, archived, or fetched under another id."""
     c = calls(spark, d)
     previous = c.filter((F.col("id") % 2 == 0) & (F.col("deadline") > F.lit("1999-01-01").cast("timestamp_ntz")))
     fresh = c.filter("id % 6 = 0")
     rejected = c.filter("id % 10 = 0 and status = 'closed'").select("id")
-    kept = previous.join(fresh.select("id"), "id", "left_anti").join(rejected, "id", "left_anti")
+    archived = c.filter("id % 14 = 0").select("id")
+    kept = previous.join(fresh.select("id"), "id", "left_anti").join(rejected, "id", "left_anti").join(archived, "id", "left_anti").join(fresh.select("deadline"), "deadline", "left_anti")
     return kept.select("id", F.lit("kept").alias("origin")).unionByName(fresh.select("id", F.lit("fresh").alias("origin")))
 
 

@@ -43,7 +43,7 @@ def _rankings(spark: SparkSession, d: str) -> DataFrame:
     rank = F.get(F.array(*map(F.lit, ["A*", "A", "B", "C", "Australasian B", "National: USA"])), (F.col("ord") % 6).cast("int"))
     keys = p.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("ord"))
     rows = table(spark, d, "part").join(keys, F.col("p_partkey") == F.col("ord"))
-    return rows.select("ord", F.concat(F.substring("p_brand", 1, 8), F.lit(" 2001")).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"))
+    return rows.select("ord", F.concat(F.substring("p_brand", 1, 8), F.lit(" 2001")).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"), F.when(F.col("ord") % 2 == 0, F.concat(F.lit("/rank/"), F.col("ord").cast("string"))).alias("path"))
 
 
 _RANK = """r0 AS (SELECT p_partkey AS ord, substr(p_brand, 1, 8) AS acronym, p_name AS title, CASE p_partkey % 6 WHEN 0 THEN 'A*' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'Australasian B' ELSE 'National: USA' END AS rank FROM part
@@ -58,25 +58,31 @@ def rank_group_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _RANK + """, c AS (SELECT p_partkey AS id, regexp_replace(lower(substr(p_brand, 1, 8)), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t, p_size % 3 = 0 AS journal FROM part),
 h AS (SELECT c.id, r.ord, r.rank, r.g, CASE WHEN len(list_distinct(list_concat(c.t, r.t))) = 0 THEN 0 ELSE len(list_intersect(c.t, r.t)) / len(list_distinct(list_concat(c.t, r.t)))::DOUBLE END AS s FROM c JOIN r ON c.a = r.a AND NOT journal),
-k AS (SELECT *, max(s) OVER (PARTITION BY id) AS top FROM h), j AS (SELECT id, count(*) FILTER (s = top) AS n, arg_min(rank, ord) FILTER (s = top) AS raw, arg_min(g, ord) FILTER (s = top) AS g, count(DISTINCT g) AS gs FROM k GROUP BY id)
-SELECT c.id, CASE WHEN n = 1 OR gs = 1 THEN g END AS rank, CASE WHEN n = 1 OR gs = 1 THEN raw END AS rank_raw FROM c LEFT JOIN j USING (id)""")
+k AS (SELECT *, max(s) OVER (PARTITION BY id) AS top FROM h), j AS (SELECT id, count(*) FILTER (s = top) AS n, arg_min(rank, ord) FILTER (s = top) AS raw, arg_min(g, ord) FILTER (s = top) AS g, min(ord) FILTER (s = top) AS o, count(DISTINCT g) AS gs FROM k GROUP BY id)
+SELECT c.id, CASE WHEN n = 1 OR gs = 1 THEN g END AS rank, CASE WHEN n = 1 OR gs = 1 THEN raw END AS rank_raw, CASE WHEN (n = 1 OR gs = 1) AND o % 2 = 0 THEN 'https://ranks.org/rank/' || o END AS rank_url FROM c LEFT JOIN j USING (id)""")
 def rank_lookup_ties(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "journal").when(F.col("p_size") % 3 == 1, "conference")
     calls = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_brand", 1, 8), F.lit(" 2030")).alias("acronym"), F.col("p_name").alias("title"), kind.alias("type"))
-    return lookup.ranked(calls, _rankings(spark, d), "id", "acronym", "title", "type").select("id", "rank", "rank_raw")
+    return lookup.ranked(calls, _rankings(spark, d), "id", "acronym", "title", "type", site="https://ranks.org").select("id", "rank", "rank_raw", "rank_url")
 
 
-@query("""WITH k AS (SELECT n_nationkey AS venue, n_regionkey * 100 + n_nationkey AS ord, 'name' AS kind, lower(n_name) AS value FROM nation UNION ALL SELECT n_nationkey, n_regionkey * 100 + n_nationkey, 'id', n_nationkey::VARCHAR FROM nation),
-c AS (SELECT s_suppkey AS id, 'id' AS kind, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::VARCHAR END AS value, 0 AS place, s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 'name', (SELECT lower(n_name) FROM nation WHERE n_nationkey = (s_nationkey + 1) % 25), 1, s_nationkey FROM supplier),
+_KINDS = ["callId", "series", "acronym", "name"]
+
+
+@query("""WITH k AS (SELECT n_nationkey AS venue, n_regionkey * 100 + n_nationkey AS ord, kind, CASE kind WHEN 'callId' THEN 'c' || n_nationkey * 7 WHEN 'series' THEN 's' || n_nationkey WHEN 'acronym' THEN lower(substr(n_name, 1, 3)) ELSE lower(n_name) END AS value FROM nation, (VALUES ('callId'), ('series'), ('acronym'), ('name')) v(kind)),
+c AS (SELECT s_suppkey AS id, kind, p AS place, CASE kind WHEN 'callId' THEN 'c' || s_suppkey WHEN 'series' THEN CASE WHEN s_suppkey % 3 = 0 THEN 's' || s_nationkey END WHEN 'acronym' THEN CASE WHEN s_suppkey % 2 = 0 THEN (SELECT lower(substr(n_name, 1, 3)) FROM nation WHERE n_nationkey = (s_nationkey + 2) % 25) END ELSE (SELECT lower(n_name) FROM nation WHERE n_nationkey = (s_nationkey + 1) % 25) END AS value FROM supplier, (VALUES ('callId', 0), ('series', 1), ('acronym', 2), ('name', 3)) v(kind, p)),
 h AS (SELECT id, venue, c.kind, ord, place FROM c JOIN k ON c.kind = k.kind AND c.value = k.value) SELECT s_suppkey AS id, x.venue, x.kind AS matched_by FROM supplier LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord, place) = 1) x ON x.id = s_suppkey""")
 def identity_first_match(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation")
-    order = (F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("venue_ord")
-    keys = nation.select(F.col("n_nationkey").alias("venue"), order, F.inline(F.array(F.struct(F.lit("name").alias("kind"), F.lower("n_name").alias("value")), F.struct(F.lit("id").alias("kind"), F.col("n_nationkey").cast("string").alias("value")))))
-    named = nation.select(F.col("n_nationkey").alias("_k"), F.lower("n_name").alias("_name"))
-    calls = table(spark, d, "supplier").join(named, (F.col("s_nationkey") + 1) % 25 == F.col("_k"), "left")
-    own = F.array(F.struct(F.lit("id").alias("kind"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey").cast("string")).alias("value")), F.struct(F.lit("name").alias("kind"), F.col("_name").alias("value")))
-    return lookup.identified(calls.select(F.col("s_suppkey").alias("id"), own.alias("keys")), keys, "id").select("id", "venue", "matched_by")
+    """Venues in their order; within one by call id, series, acronym and name."""
+    nation, key = table(spark, d, "nation"), F.col("n_nationkey")
+    pairs = lambda *values: F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in zip(_KINDS, values, strict=True)))
+    tagged = lambda t, c: F.concat(F.lit(t), c.cast("string"))
+    own = pairs(tagged("c", key * 7), tagged("s", key), F.lower(F.substring("n_name", 1, 3)), F.lower("n_name"))
+    keys = nation.select(key.alias("venue"), (F.col("n_regionkey") * 100 + key).alias("venue_ord"), F.inline(own))
+    names = lambda shift: nation.select(F.pmod(key - shift, F.lit(25)).alias("s_nationkey"), F.lower("n_name").alias(f"_{shift}"))
+    s, n = table(spark, d, "supplier").join(names(1), "s_nationkey", "left").join(names(2), "s_nationkey", "left"), F.col("s_suppkey")
+    calls_ = pairs(tagged("c", n), F.when(n % 3 == 0, tagged("s", F.col("s_nationkey"))), F.when(n % 2 == 0, F.substring("_2", 1, 3)), F.col("_1"))
+    return lookup.identified(s.select(n.alias("id"), calls_.alias("keys")), keys, "id").select("id", "venue", "matched_by")
 
 
 @query("SELECT c_custkey AS id, coalesce(n, 0)::BIGINT AS paper_count, coalesce(e, 0)::BIGINT AS edition_count, CASE WHEN n IS NULL THEN 'missing' ELSE 'verified' END AS coverage_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(DISTINCT date_part('year', o_orderdate)) AS e FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey")
@@ -173,13 +179,13 @@ def keep_last(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
 
 
-@query(f"""WITH {PAPERS_SQL}, e AS (SELECT id, year FROM papers WHERE id % 3 = 0), x AS (SELECT '10.5555/' || (id % 900) AS doi, id AS rank, 'topic' || id % 5 AS topic FROM papers WHERE id % 2 = 0), l AS (SELECT doi, arg_max(topic, rank) AS topic FROM x GROUP BY doi) SELECT e.id, e.year, l.topic FROM e LEFT JOIN l ON l.doi = '10.5555/' || e.id""")
+@query(f"""WITH {PAPERS_SQL}, e AS (SELECT id, year FROM papers WHERE id % 3 = 0), x AS (SELECT '10.5555/' || (id % 900) AS doi, id AS rank, list_transform(range(1, 6), lambda i: 't' || id * i % 5) AS topics FROM papers WHERE id % 2 = 0), l AS (SELECT doi, arg_max(topics, rank) AS topics FROM x GROUP BY doi) SELECT e.id, e.year, array_to_string(l.topics, ',') AS topics FROM e LEFT JOIN l ON l.doi = '10.5555/' || e.id""")
 def enrich_last_wins(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d)
     tag = lambda c: T.doi(F.concat(F.lit("https://doi.org/10.5555/"), c.cast("string")))
-    extra = p.filter("id % 2 = 0").select(tag(F.col("id") % 900).alias("doi"), F.col("id").alias("rank"), F.concat(F.lit("topic"), (F.col("id") % 5).cast("string")).alias("topic"))
-    last = extra.groupBy("doi").agg(F.max_by("topic", "rank").alias("topic"))
-    return p.filter("id % 3 = 0").withColumn("doi", tag(F.col("id"))).join(last, "doi", "left").select("id", "year", "topic")
+    extra = p.filter("id % 2 = 0").select(tag(F.col("id") % 900).alias("doi"), F.col("id").alias("rank"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("t"), (F.col("id") * i % 5).cast("string"))).alias("topics"))
+    last = extra.groupBy("doi").agg(F.slice(F.max_by("topics", "rank"), 1, 5).alias("topics"))
+    return p.filter("id % 3 = 0").select("id", "year", tag(F.col("id")).alias("doi")).join(last, "doi", "left").select("id", "year", F.array_join("topics", ",").alias("topics"))
 
 
 @query("SELECT p_brand AS venue, min(p_name) AS sample, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS kinds, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")
@@ -271,6 +277,20 @@ def argmax_registry_all(spark: SparkSession, d: str) -> DataFrame:
     return lookup.best_match(a, r, "_k", ["brand"], score, 0.5, "ord").select("brand", "name", "matched", "score")
 
 
+@query("""WITH i AS (SELECT s_suppkey AS ord, 'i' || s_suppkey AS issn, s_nationkey AS venue FROM supplier), a AS (SELECT c_custkey AS id, 'i' || c_custkey AS issn, c_nationkey AS venue FROM customer), m AS (SELECT venue, min(ord) AS ord FROM i GROUP BY venue)
+SELECT a.id, coalesce(i.ord, m.ord) AS matched, CASE WHEN i.ord IS NOT NULL THEN 1 WHEN m.ord IS NOT NULL THEN 0.75 END::DOUBLE AS score FROM a LEFT JOIN i ON i.issn = a.issn LEFT JOIN m ON m.venue = a.venue""")
+def registry_by_issn(spark: SparkSession, d: str) -> DataFrame:
+    """The registry row that shares an ISSN, with score 1; else the first of the most similar names."""
+    words = lambda c: F.array(F.lit("journal"), F.lit("annual"), F.lit("review"), F.concat(F.lit("v"), c.cast("string")))
+    registry = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("i"), F.col("s_suppkey").cast("string")).alias("issn"), F.col("s_nationkey").alias("venue"), F.slice(words(F.col("s_nationkey")), 2, 3).alias("v"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("issn"), F.col("c_nationkey").alias("venue"), words(F.col("c_nationkey")).alias("u"))
+    exact = rows.join(registry.select("issn", F.col("ord").alias("_1")), "issn", "left")
+    first = registry.groupBy("venue").agg(F.min(F.struct("ord", "v")).alias("_f"))
+    out = exact.join(first, "venue", "left").withColumn("_s", T.largest_share(F.col("u"), F.col("_f.v")))
+    similar = F.when(F.col("_s") >= 0.65, F.col("_f.ord"))
+    return out.select("id", F.coalesce("_1", similar).alias("matched"), F.when(F.col("_1").isNotNull(), 1.0).when(similar.isNotNull(), F.col("_s")).alias("score"))
+
+
 @query("WITH t AS (SELECT c_mktsegment AS s, c_nationkey AS n, count(*) AS c FROM customer GROUP BY ALL) SELECT s AS segment, n AS nation, c AS n, count(*) OVER (PARTITION BY s) > 2 AS shared, CASE WHEN lead(c) OVER (PARTITION BY s ORDER BY c DESC, n) IS NULL OR c > lead(c) OVER (PARTITION BY s ORDER BY c DESC, n) THEN 'strict' ELSE 'tie' END AS lead_kind FROM t")
 def strict_best_window(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))

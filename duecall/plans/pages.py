@@ -242,11 +242,10 @@ def evidence_fusion(spark: SparkSession, d: str) -> DataFrame:
     return E.fused(rows, "venue", F.lit(2000))
 
 
-@query("WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT doc_id, round(least(1, CASE WHEN list_contains(w, 'license') THEN 0.55 ELSE 0 END + 0.45 * len(list_intersect(['the', 'apache', 'public', 'work'], w)) / 4), 6)::DOUBLE AS score FROM w")
+@query("WITH w AS (SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(text)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS w FROM documents) SELECT doc_id, round(least(1, CASE WHEN contains(' ' || w || ' ', ' mit ') THEN 0.55 ELSE 0 END + 0.45 * (contains(w, 'licens')::INT + contains(w, 'apache')::INT + contains(w, 'public')::INT + contains(w, 'work')::INT) / 4), 6)::DOUBLE AS score FROM w")
 def venue_match_score(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split(F.lower("text"), " ")
-    score = E.venue_score(F.lit("license"), F.array(*map(F.lit, ["the", "apache", "public", "work"])), words)
-    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
+    score = T.let(T.name_text(F.col("text")), lambda t: E.venue_score("mit", "the licens apache of public work", t))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE substr(text, 1, 170) || ' [...] ' || substr(text, (length(text) - 170) // 2 + 1, 170) || ' [...] ' || right(text, 170) END AS excerpt FROM documents")
