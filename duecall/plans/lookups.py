@@ -106,10 +106,14 @@ def two_key_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT a.p_name AS name, b.p_name AS contains FROM part a JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS p_name FROM part) b ON contains(a.p_name, b.p_name)")
 def theta_contains(spark: SparkSession, d: str) -> DataFrame:
-    """Containment of names: distinct names first, so the nested loop is over a dimension."""
+    """Containment of names by an equi-join: a name's pieces of the lengths that parts have meet the parts."""
     names = table(spark, d, "part").select("p_name").distinct()
     parts = names.select(F.split("p_name", " ")[0].alias("part")).distinct()
-    return names.join(parts, F.col("p_name").contains(F.col("part"))).select(F.col("p_name").alias("name"), F.col("part").alias("contains"))
+    lengths = parts.agg(F.collect_set(F.length("part")).alias("ls"))
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p_name") - n + 1))
+    pieces = F.flatten(F.transform("ls", lambda n: F.transform(places(n), lambda i: F.substr(F.col("p_name"), i, n))))
+    cut = names.crossJoin(F.broadcast(lengths)).select("p_name", F.explode(F.array_distinct(pieces)).alias("part"))
+    return cut.join(parts, "part").select(F.col("p_name").alias("name"), F.col("part").alias("contains"))
 
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4))"

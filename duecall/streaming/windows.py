@@ -29,7 +29,7 @@ def rate_limited(events: DataFrame, keys: list[str], seconds: int, limit: int) -
     """events (keys, event_id, ts) with window_start and allowed.
 
     Sorted by key and time within partitions, events stream through the fold in batches: no
-    key is held whole.
+    key is held whole, but each window hangs on the one before, so one key's events pass through one task.
     """
     kinds = dict(events.dtypes)
     slim = events.select(*keys, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
