@@ -179,6 +179,13 @@ def loose_json(text: Column) -> Column:
     return F.when(F.try_parse_json(F.nullif(inner, F.lit(""))).isNotNull(), inner)
 
 
+def unwrapped(text: Column, deepest: int = 5) -> Column:
+    """What is wrapped in {"value": ...}, however often up to a depth, as text; what isn't JSON stays as it is."""
+    value = F.try_parse_json(text)
+    inner = [F.try_variant_get(value, "$" + ".value" * k, "string") for k in range(deepest, -1, -1)]
+    return F.coalesce(*inner, text)
+
+
 def slug(text: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), 1, most), "^-+|-+$", "")
 

@@ -87,3 +87,21 @@ def last_good(previous: DataFrame, fresh: DataFrame, key: str, complete: bool, n
         return fresh.withColumn("kept_from_last", F.lit(False))
     kept = previous.join(fresh.select(key), key, "left_anti").filter(F.col("deadline") > instant(now))
     return fresh.withColumn("kept_from_last", F.lit(False)).unionByName(kept.withColumn("kept_from_last", F.lit(True)))
+
+
+def item_type(x: Column) -> Column:
+    """A record's type: as it says, else by what it holds: a role for reviewers, a review status, a conference that asks for workshops."""
+    text = F.lower(F.concat_ws(" ", x["name"], x["requirements"]))
+    return (
+        F.when(F.coalesce(x["type"], F.lit("")) != "", x["type"])
+        .when(x["venue"].isNotNull() & F.lower(F.coalesce(x["role"], F.lit(""))).contains("reviewer"), "reviewer-call")
+        .when(x["review_status"].isNotNull(), "review")
+        .when(x["conference"].isNotNull() & text.contains("workshop"), "workshop-proposal")
+        .otherwise("")
+    )
+
+
+def trusted(x: Column) -> Column:
+    """Whether a record counts as trusted: no level is no objection, what awaits review never is."""
+    level = F.lower(F.coalesce(x["level"], F.lit("trusted")))
+    return x["review_status"].isNull() & (item_type(x) != "review") & level.isin("trusted", "admitted", "verified")

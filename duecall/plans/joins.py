@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.operators import lifecycle as life
-from duecall.operators import lookup, merge
+from duecall.operators import lookup, merge, upserts
 from duecall.plans.rules import by
 from duecall.sources import parsers
 from duecall.sources.tables import CALLS_SQL, calls, table
@@ -151,3 +151,44 @@ def fresh_cache(spark: SparkSession, d: str) -> DataFrame:
     at = F.lit("2024-01-20").cast("timestamp_ntz")
     ttl = F.when(F.col("event_type") == "view", 5).when(F.col("event_type") == "click", 300).when(F.col("event_type") == "signup", 86_400).otherwise(604_800)
     return table(spark, d, "events").filter((F.col("ts") > at - F.make_dt_interval(secs=ttl)) & (F.col("ts") <= at)).select(F.col("event_id").alias("id"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'x' || event_id WHEN 1 THEN 'plain' WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN '{not json' END AS value FROM events")
+def unwrapped_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values that a service wraps, once or more often, or not at all."""
+    n = F.col("event_id").cast("string")
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"value": {"value": {"value": "x'), n, F.lit('"}}}'))).when(F.col("event_id") % 5 == 1, '"plain"').when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"value": '), n, F.lit("}"))).when(F.col("event_id") % 5 == 3, "{not json")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), T.unwrapped(raw).alias("value"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'journal' WHEN 1 THEN 'reviewer-call' WHEN 2 THEN 'review' WHEN 3 THEN 'workshop-proposal' ELSE '' END AS type, o_orderkey % 6 <> 2 AND o_custkey % 4 <> 1 AS trusted FROM orders""")
+def inferred_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types and trust of records that don't say theirs."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    on = lambda r, v: F.when(k % 6 == r, v)
+    x = F.struct(
+        on(0, "journal").alias("type"), F.when(k % 6 < 5, F.lit("V")).alias("venue"), on(1, "Area Reviewers").alias("role"), on(2, "pending").alias("review_status"), F.when(k % 6 >= 3, "C").alias("conference"),
+        F.when(k % 6 == 3, "Call for Workshops").otherwise("Call").alias("name"), F.lit(None).cast("string").alias("requirements"), by(c, None, "Caution", "Trusted", "verified").alias("level"),
+    )
+    return table(spark, d, "orders").select(k.alias("id"), x.alias("x")).select("id", life.item_type(F.col("x")).alias("type"), life.trusted(F.col("x")).alias("trusted"))
+
+
+@query("SELECT c_custkey AS venue, 2000 + c_nationkey AS year, (2000 + c_nationkey) || ': ' || c_name AS title, 'conf/' || c_custkey || '/a,conf/' || c_custkey || '/b' AS volumes FROM customer WHERE c_nationkey BETWEEN 5 AND 20 UNION ALL SELECT c_custkey, 2010, 'Tenth & last, 2010', '' FROM customer")
+def xml_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A venue's index: editions of a range of years with their volumes."""
+    n = F.col("c_custkey").cast("string")
+    xml = F.concat(
+        F.lit("<bht><h1>Venue</h1><h2 id='a'>"), (2000 + F.col("c_nationkey")).cast("string"), F.lit(": <i>"), F.col("c_name"), F.lit('</i></h2><ul><proceedings key="conf/'), n, F.lit('/a"/><proceedings mdate="x" key="conf/'), n,
+        F.lit('/b"/></ul><h2>Tenth &amp; last, 2010</h2><p/><h2>Other volumes</h2><proceedings key="conf/x"/></bht>'),
+    )
+    out = parsers.index_editions(table(spark, d, "customer").select(F.col("c_custkey").alias("venue"), xml.alias("xml")), "venue", 2005, 2020)
+    return out.select("venue", "year", "title", F.array_join("volumes", ",").alias("volumes"))
+
+
+@query("SELECT count(*) AS n, min(s_suppkey) AS first, max(s_suppkey) AS last FROM supplier")
+def baseline_validated(spark: SparkSession, d: str) -> DataFrame:
+    """A baseline of ids that is read back: each of the right form, and not more than twenty thousand, or the job fails."""
+    ids = table(spark, d, "supplier").select(F.concat(F.lit("call-"), F.col("s_suppkey").cast("string")).alias("id")).distinct()
+    ids = upserts.asserted(ids, F.col("id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), F.concat(F.lit("not an id: "), F.col("id")))
+    key = F.substring("id", 6, 20).cast("long")
+    return upserts.asserted(ids.agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")), F.col("n") <= 20_000, F.lit("too many ids"))

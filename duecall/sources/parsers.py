@@ -103,3 +103,12 @@ def directory_html(pages: DataFrame, key: str, marker: str) -> DataFrame:
     rows = rows.withColumn("status", F.when(F.lower("near").contains("open for submissions"), "open").when(F.col("due").isNotNull(), "due").otherwise("active"))
     place = F.struct((F.col("status") != "open").alias("a"), F.col("due").isNull().alias("b"), F.when(F.col("status") == "open", -F.col("i")).otherwise(F.col("i")).alias("c"), "title", "status", "due")
     return rows.groupBy(key, "group_id").agg(F.min(place).alias("_b")).select(key, "group_id", "_b.title", "_b.status", "_b.due")
+
+
+def index_editions(pages: DataFrame, key: str, since: int, until: int) -> DataFrame:
+    """(key, year, title, volumes) of a venue's index: each heading with a year in the range, and the volumes listed before the next one."""
+    parts = pages.select(key, F.posexplode(F.split("xml", r"(?=<h2\b)")).alias("at", "_p")).filter(F.col("_p").startswith("<h2"))
+    head = T.xml_text(F.regexp_extract("_p", r"(?s)^<h2[^>]*>(.*?)</h2>", 1))
+    volumes = F.regexp_extract_all("_p", F.lit(r'<proceedings[^>]*\bkey="([^"]+)"'), F.lit(1))
+    rows = parts.select(key, "at", F.regexp_extract(head, r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int").alias("year"), head.alias("title"), volumes.alias("volumes"))
+    return rows.filter(F.col("year").between(since, until)).select(key, "year", "title", "volumes")
