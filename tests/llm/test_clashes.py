@@ -4,7 +4,7 @@ import re
 from pathlib import Path
 
 import corpus_pipeline
-from duecall.llm import bpe, chat, common, licenses, line_dedup, media, mixing, near_dup, pii, quality
+from duecall.llm import bpe, chat, common, decontamination, divergence, licenses, line_dedup, media, mixing, near_dup, pii, quality, vector_codes
 
 SOURCE = "".join(p.read_text() for p in Path(common.__file__).parent.glob("*.py"))
 NAMES = sorted({x.lower() for x in re.findall(r"[\"'(, ]([A-Za-z_][a-z0-9_]*)\b", SOURCE) if re.search(rf"[\"']{x}[\"']|\\b{x}=", SOURCE)} | {"a.b", "a`b"})
@@ -25,6 +25,7 @@ def documents(spark):
 
 def test_operators_that_return_all_columns(spark):
     docs = documents(spark)
+    items = frame(spark, "item_id long, text string", [(1, "other w0"), (2, None)], {"item_id", "text"})
     for out, own in (
         (quality.cleaned(docs), set()),
         (line_dedup.deduplicated(docs), {"removed_lines"}),
@@ -32,6 +33,8 @@ def test_operators_that_return_all_columns(spark):
         (mixing.training_order(docs), set()),
         (pii.pseudonymised(docs, "key"), {"found"}),
         (licenses.scanned(docs), {"licenses"}),
+        (decontamination.scanned(docs, items), {"leaks"}),
+        (decontamination.clean(docs, items), set()),
     ):
         assert [c for c in out.columns if c in docs.columns] == docs.columns and set(out.columns) == set(docs.columns) | own
         rows = out.collect()
@@ -42,6 +45,9 @@ def test_operators_that_return_their_own_columns(spark):
     docs = documents(spark)
     assert quality.judged(docs).count() == near_dup.grouped(docs, 2).count() == mixing.mixed(docs).count() == len(ROWS)
     assert bpe.tokenised(docs).count() == media.probe(media.store(docs)).filter("error is null").count() == len(ROWS)
+    assert divergence.divergence(frame(spark, "text string, lang string, source string", [("a b", "en", "s"), ("a", "en", None)], {"text", "lang", "source"}), least=1).count() == 4
+    vectors = frame(spark, "vec_id long, embedding array<double>, label int", [(1, [1.0] * 8, 1), (2, [2.0] * 8, None)], {"vec_id", "embedding", "label", "code", "error", "label_error"})
+    assert vector_codes.compressed(vectors)[0].count() == 2
     talk = frame(spark, "conv_id long, turn long, role string, text string", [(1, 0, "user", "hello to you all"), (1, 1, None, "> hello to you all\nhi"), (None, 0, "user", None)], {"conv_id", "turn", "role", "text"})
     assert sorted(str(r.to_turn) for r in chat.formatted(chat.quoting(talk)).collect()) == ["0", "None", "None"]
 
