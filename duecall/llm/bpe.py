@@ -10,24 +10,31 @@ A null text is an empty one: no ids, decoded to an empty text. Repeated rows giv
 repeated results. Texts are encoded whole, whatever their length. An empty table gives no
 rows. Only doc_id and text are read, so extra columns, whatever their names, don't matter. A
 vocabulary file with another normaliser or pre-tokenizer than is built here raises ValueError.
+
+Letters, numbers, white space and lower case are those of the Unicode version of the
+installed tokenizers library, which the driver asks once for all code points; Python's and other
+modules' own tables are of other versions. Words and their ids are forgotten once they take
+``KEPT_BYTES``, and long texts are cut at blanks, so a worker's memory doesn't grow with its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from duecall.llm.common import documents, small_batches
 
-#: Words, and symbols of them, that a worker remembers before it starts anew.
-KEPT_WORDS, KEPT_SYMBOLS = 800_000, 16_000_000
+#: Bytes that a worker remembers before it starts anew; characters that are encoded at once.
+KEPT_BYTES, AT_ONCE = 64_000_000, 2_000_000
+#: What a remembered word takes besides its characters.
+WORD_BYTES = 160
 
 
 def byte_letters() -> list[str]:
@@ -40,9 +47,32 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-_BLANKS = regex.compile(r"\p{White_Space}+")
 #: Characters at which str.split cuts though they aren't white space to the pattern.
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def unicode_tables() -> dict:
+    """Of the tokenizers library: the ranges of letters, numbers and white space, and the
+    characters of which Python's lower case differs."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+    def ranges(name: str) -> list[tuple[int, int]]:
+        out = []
+        for _, (i, j) in pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(every):
+            first, last = ord(every[i]), ord(every[j - 1])
+            out += [(first, 0xD7FF), (0xE000, last)] if first < 0xD800 <= last else [(first, last)]
+        return out
+
+    chars = every.replace("\n", "")
+    lower = normalizers.Lowercase().normalize_str("\n".join(chars)).split("\n")
+    return {"L": ranges(r"\p{L}"), "N": ranges(r"\p{N}"), "s": ranges(r"\s"), "lower": {ord(c): x for c, x in zip(chars, lower, strict=True) if c.lower() != x}}
+
+
+def listed(ranges: list) -> str:
+    """Ranges as they stand in a pattern's brackets."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -64,6 +94,21 @@ class Words(dict):
         return place
 
 
+class Grown:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            room = np.zeros(max(2 * len(self.data), self.n + len(more)), self.data.dtype)
+            room[: self.n] = self.data[: self.n]
+            self.data = room
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Bpe:
     """A tokenizer file's vocabulary: lower case, words by its pattern, ends of words marked by a suffix."""
 
@@ -99,14 +144,28 @@ class Bpe:
         if normal not in ([], ["NFC", "Replace", "Lowercase"]) or parts not in (["Split"], ["Split", "ByteLevel"]):
             raise ValueError(f"a vocabulary with {normal} and {parts}")
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        tables = j.get("unicode") or known_tables()
+        self.pieces = re.compile(pattern.replace(r"\p{L}", listed(tables["L"])).replace(r"\p{N}", listed(tables["N"])).replace(r"\s", listed(tables["s"])))
+        self.blanks = re.compile(f"[{listed(tables['s'])}]+")
+        self.lower = {int(c): x for c, x in tables["lower"].items()} | {ord("Σ"): "σ"}
+        #: Characters that Python's Unicode version lacks: the library composes what they stand in.
+        self.newer = re.compile(f"[{listed(absent())}]")
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.forget()
 
     def forget(self) -> None:
         self.known = Words()
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.flat, self.starts, self.lengths = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+        self.bytes = 0
+
+    def composed(self, text: str) -> str:
+        if text.isascii():
+            return text
+        if self.newer.search(text):
+            from tokenizers import normalizers
+
+            return normalizers.NFC().normalize_str(text)
+        return unicodedata.normalize("NFC", text)
 
     def chunks(self, text: str) -> list[str]:
         """The text in lower case, cut at white space, which no word crosses; special tokens stand alone."""
@@ -115,10 +174,18 @@ class Bpe:
             if k % 2:
                 out.append(part)
             elif part:
-                lower = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += _BLANKS.split(lower) if _ODD.search(lower) else lower.split()
+                lower = part.lower() if part.isascii() else self.composed(part).translate(self.lower).lower()
+                out += filter(None, self.blanks.split(lower)) if _ODD.search(lower) else lower.split()
         return out
 
+    def cut(self, text: str) -> Iterator[str]:
+        """The text in pieces of AT_ONCE characters or, up to a blank, more."""
+        at = 0
+        while len(text) - at > AT_ONCE and (end := self.blanks.search(text, at + AT_ONCE)):
+            yield text[at : end.start()]
+            at = end.end()
+        yield text[at:]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, flat, and how many each has."""
         raw = [w.encode() for w in words]
@@ -176,38 +243,71 @@ class Bpe:
         place = np.fromiter((w for p in parts for w in p), np.int64)
         own = np.repeat(np.arange(len(fresh)), [len(p) for p in parts])
         per_chunk = np.bincount(own, weights=lengths[place], minlength=len(fresh)).astype(np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(per_chunk) - per_chunk])
-        self.lengths = np.concatenate([self.lengths, per_chunk])
-        self.flat = np.concatenate([self.flat, gathered(flat, starts[place], lengths[place])])
+        self.starts.add(self.flat.n + np.cumsum(per_chunk) - per_chunk)
+        self.lengths.add(per_chunk)
+        self.flat.add(gathered(flat, starts[place], lengths[place]))
+        self.bytes += sum(map(len, fresh)) + WORD_BYTES * len(fresh) + 4 * int(per_chunk.sum())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > KEPT_WORDS or len(self.flat) > KEPT_SYMBOLS:
-            self.forget()
-        places = []
-        for text in texts:
-            found = self.chunks(text)
-            places.append(np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)))
-        if self.known.fresh:
-            self._learn()
-        out = []
-        for place in places:
-            out.append(gathered(self.flat, self.starts[place], self.lengths[place]))
-        return out
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def give() -> None:
+            if self.known.fresh:
+                self._learn()
+            for k, place in held:
+                out[k].append(gathered(self.flat.data, self.starts.data[place], self.lengths.data[place]))
+            held.clear()
+            if self.bytes > KEPT_BYTES:
+                self.forget()
+
+        for k, text in enumerate(texts):
+            for piece in self.cut(text):
+                found = self.chunks(piece)
+                held.append((k, np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))))
+                size += len(piece)
+                if size >= AT_ONCE:
+                    give()
+                    size = 0
+        give()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens of ids with blanks between, in UTF-8: what a vocabulary without a decoder gives."""
         return b" ".join(self.names[ids].tolist())
 
 
+def absent() -> list[tuple[int, int]]:
+    """The ranges of code points that Python's Unicode version doesn't assign."""
+    out: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
+_TABLES: dict = {}
+
+
+def known_tables() -> dict:
+    if not _TABLES:
+        _TABLES.update(unicode_tables())
+    return _TABLES
+
+
 def vocabulary(path: str | None = None) -> str:
-    """The text of a tokenizer file, 2 MB at most; the driver reads it and broadcasts it."""
+    """A tokenizer file, 2 MB at most, and the Unicode tables, as one JSON text; the driver makes and broadcasts it."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        return json.dumps(json.load(f) | {"unicode": known_tables()})
 
 
 _MADE: dict[str, Bpe] = {}

@@ -24,8 +24,30 @@ def test_as_the_library(text):
     assert OURS.decode(got).decode() == THEIRS.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("context", ["{}", ":{}", "a{}b"])
+def test_every_code_point(context):
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for at in range(0, len(points), 50_000):
+        text = " ".join(context.format(c) for c in points[at : at + 50_000])
+        assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids, hex(ord(points[at]))
+
+
+def test_newer_signs_compose_as_in_the_library():
+    newer = [chr(c) for a, b in bpe.absent() for c in range(a, b + 1) if b < 0x20000][:40_000]
+    text = " ".join(x + y for x, y in zip(newer, newer[1:] + ["\u0307"], strict=True)) + " \U000105d2\u0307 a\u0897\u0301\u0323 \U00016d67\U00016d67"
+    assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_are_cut_at_blanks_only(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    texts = ["one two  three <|endoftext|> four-teen it's a <|endoftext|>", "x" * 50, "", " \u3000 ", "a\x1cb \u0085 c" * 9]
+    for text, got in zip(texts, bpe.Bpe(bpe.vocabulary()).encode(texts), strict=True):
+        assert got.tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_and_forgetting(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 3)
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
     own = bpe.Bpe(bpe.vocabulary())
     for text in ("a" * 3000, "ab" * 2000, "one two three four five six", "one two three four five six"):
         assert own.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
