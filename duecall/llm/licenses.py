@@ -14,7 +14,8 @@ size is that of the templates, which are a parameter, and not of the data). Each
 two windows; where the window's least hash of the band is the template's, the pair is
 retrieved. Each retrieved pair is verified: the share of the template's distinct shingles
 in the window. Texts that hold no anchor, the longest word of each shingle in the table, hold
-none of these shingles and are passed over; that changes no result.
+none of these shingles and are passed over; that changes no result. Texts are worked in blocks of ``BLOCK``
+shingles, written with as many around them as a window reaches, so no row grows with its text.
 
 A null text has no windows, nor has one with fewer words than a shingle. Rows of equal text
 have equal results, each its own; ties between windows go to the first. An empty table gives no rows, and no
@@ -24,6 +25,7 @@ templates give no matches. Extra columns pass through, whatever their names; one
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from duecall.llm.common import documents, let, packed, unpacked, written
 
 WIDTH, BANDS, CONTAINED = 5, 24, 80
+#: Shingles of a text that are worked in one row.
+BLOCK = 1024
 
 # The wording of public license notices.
 TEMPLATES = {
@@ -108,16 +112,28 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> list[Template]:
 BAND_TABLE = "shingle long, license string, size int, salts array<long>, held array<long>"
 
 
-def retrieved(found: DataFrame, known: list[Template], width: int) -> DataFrame:
-    """(key, license, at, containment) of the windows of (key, w) that meet a template of this width in a band and hold it."""
-    spark = found.sparkSession
-    table = spark.createDataFrame([(x, t.name, t.size, list(s), list(t.shingles)) for t in known for x, s in t.bands], BAND_TABLE)
-    rows = found.select("key", shingles(F.col("w"), width).alias("h"))
-    rows = rows.select("key", "h", F.posexplode("h").alias("i", "shingle")).join(F.broadcast(table), "shingle")
-    last = F.greatest(F.lit(1), F.ceil(F.size("h") / F.col("size")).cast("int") - 1) - 1
-    block = F.floor(F.col("i") / F.col("size")).cast("int")
+def blocks(found: DataFrame, known: list[Template], width: int) -> DataFrame:
+    """(key, base, n, h) of (key, w): BLOCK shingles from base on, with as many around them as a window
+    may reach, where one of them is in the band table; n is the text's number of shingles."""
+    reach = 2 * max(t.size for t in known)
+    from_ = lambda b: F.greatest(b - reach, F.lit(0))
+    block = lambda h, b: F.struct(b.alias("base"), F.size(h).alias("n"), F.slice(h, from_(b) + 1, b - from_(b) + BLOCK + reach).alias("h"))
+    cut = let(shingles(F.col("w"), width), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(BLOCK)), lambda b: block(h, b)))
+    rows = found.select("key", F.lit(width).alias("width"), F.inline(cut))
+    core = F.slice("h", F.col("base") - from_(F.col("base")) + 1, F.lit(BLOCK))
+    known_shingles = F.array(*(F.lit(x) for x in sorted({x for t in known for x, _ in t.bands})))
+    return rows.filter(F.arrays_overlap(core, known_shingles)).select("key", "width", "base", "n", "h", core.alias("core"), from_(F.col("base")).alias("from"))
+
+
+def retrieved(rows: DataFrame, known: list[Template]) -> DataFrame:
+    """(key, license, at, containment) of the windows of blocks that meet a template of their width in a band and hold it."""
+    table = rows.sparkSession.createDataFrame([(x, t.name, t.size, list(s), list(t.shingles)) for t in known for x, s in t.bands], BAND_TABLE)
+    rows = rows.select("key", "base", "n", "h", "from", F.posexplode("core").alias("i", "shingle")).join(F.broadcast(table), "shingle")
+    last = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("size")).cast("int") - 1) - 1
+    block = F.floor((F.col("base") + F.col("i")) / F.col("size")).cast("int")
     rows = rows.select("*", F.explode(F.filter(F.array(block - 1, block), lambda j: (j >= 0) & (j <= last))).alias("j"))
-    rows = rows.select("key", "license", "salts", "held", "shingle", (F.col("j") * F.col("size")).alias("at"), F.slice("h", F.col("j") * F.col("size") + 1, 2 * F.col("size")).alias("window"))
+    at = F.col("j") * F.col("size")
+    rows = rows.select("key", "license", "salts", "held", "shingle", at.alias("at"), F.slice("h", at - F.col("from") + 1, 2 * F.col("size")).alias("window"))
     least = lambda s: F.array_min(F.transform("window", lambda x: x.bitwiseXOR(s)))
     met = rows.filter(F.exists("salts", lambda s: least(s) == F.col("shingle").bitwiseXOR(s)))
     share = F.size(F.array_intersect("window", "held")) * 100.0 / F.size("held")
@@ -140,10 +156,9 @@ def scanned(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
         return unpacked(packed(docs), docs.columns, licenses=none)
     anchors = F.array(*map(F.lit, sorted({a for t in known for a in t.anchors})))
     found = docs.select(key.alias("key"), normal_words(F.col("text")).alias("w")).filter(F.arrays_overlap("w", anchors))
-    parts = [retrieved(found, [t for t in known if t.width == k], k) for k in sorted({t.width for t in known})]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.union(x)
+    by_width = {k: [t for t in known if t.width == k] for k in sorted({t.width for t in known})}
+    rows = written(reduce(DataFrame.union, (blocks(found, own, k) for k, own in by_width.items())), "license-blocks")
+    every = reduce(DataFrame.union, (retrieved(rows.filter(F.col("width") == k), own) for k, own in by_width.items()))
     every = every.groupBy("key", "license", "at").agg(F.max("containment").alias("containment"))
     own = F.sort_array(F.collect_list(F.struct("license", "at", "containment"))).cast(NONE)
     matches = written(every.groupBy("key").agg(own.alias("found")), "matches")

@@ -50,3 +50,20 @@ def test_long_texts_ties_and_hundreds_of_templates(spark):
                     want.append((n, j * s, round(share, 6)))
         assert all(sorted(want) == x for x in got[doc]), doc
     assert len(got[901]) == 2 and any(x for x in got[5][0])
+
+
+def test_license_wording_all_over_a_long_text(spark):
+    full = licenses.TEMPLATES["mit-full"]
+    n = 300_000 // len(full.split())
+    rows = [(1, " ".join([full] * n)), (2, " ".join([f"x{k} All rights reserved." for k in range(75_000)]))]
+    got = {r.doc_id: r for r in licenses.per_document(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert "mit-full@0:100" in got[1].licenses and got[1].n_matches > n and got[2].n_matches >= 75_000
+
+
+def test_windows_across_blocks(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(300)) + " " + licenses.TEMPLATES["isc-full"] + " " + " ".join(f"v{k}" for k in range(200))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = sorted(licenses.scanned(df).first().licenses)
+    for block in (1, 7, 50, 333):
+        monkeypatch.setattr(licenses, "BLOCK", block)
+        assert sorted(licenses.scanned(df).first().licenses) == want and want
