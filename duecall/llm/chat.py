@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from duecall.llm.common import SPACE, let, text_key, written
 
-MARKS = r"^[\x20\x09]{0,3}(?:>[\x20\x09]?)+"
+MARKS = r"^[\x20\x09]{0,3}(?:>[\x20\x09]?)++"
 ANNOUNCES = r"^.{0,200} (?:wrote|writes|schrieb|a écrit|escribió)[\x20\x09]{0,2}:[\x20\x09\r]*$"
 #: Shorter lines and paragraphs don't identify a message; a whole passage does at any length.
 LEAST_WORDS = 3

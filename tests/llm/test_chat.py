@@ -65,3 +65,9 @@ def test_replies_as_their_sql(spark, tmp_path):
     out = chat.query(spark, str(tmp_path))
     same(out, con, chat.ORACLE)
     assert out.filter("n_quotes = 2").count() > 40 and out.filter("to_turn < turn - 1").count() > 5
+
+
+def test_a_million_marks(spark):
+    rows = [(1, 0, "user", "some words that are quoted"), (1, 1, "user", ">" * 1_000_000 + " some words that are quoted\nyes"), (1, 2, "user", "> " * 500_000 + "\n" + " >" * 9 + " x")]
+    got = {r.turn: r for r in run(spark, rows).collect()}
+    assert (got[1].to_turn, got[1].text) == (0, "yes") and got[2].text == ""
