@@ -7,7 +7,8 @@ record already has are revisits: they carry the payload's digest and HTTP header
 refer to that record.
 
 A null payload is an empty one. Payloads under ``MIN_REVISIT`` bytes are always
-responses. Where several rows hold the smallest page_id of an equal payload, all of
+responses. Archives of others are read too: any type of record, digests in any usual form or none; what
+a record doesn't say is null. Where several rows hold the smallest page_id of an equal payload, all of
 them are responses. A null page_id sorts last and is written without a number. Broken
 archives raise ValueError. An empty table gives no archive and no rows. Only page_id, url
 and html are read, so extra columns, whatever their names, don't matter; a url may be of any length.
@@ -33,6 +34,8 @@ from duecall.llm.common import shared_path, small_batches, written
 MIN_REVISIT = 100
 #: Bytes of an archive after which a writer begins the next one, and bytes that the reader takes at once.
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 18
+#: A record that unpacks to more is refused.
+MOST_BYTES = 1 << 30
 #: Archives carry this one date, so that equal rows give equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,6 +75,10 @@ class Record:
     headers: dict[str, str]
     block: bytes
 
+    @property
+    def is_http(self) -> bool:
+        return self.headers.get("content-type", "").startswith("application/http")
+
     @property
     def http(self) -> dict[str, str]:
         lines = self.block.split(b"\r\n\r\n", 1)[0].decode("latin-1").split("\r\n")[1:]
@@ -79,20 +86,34 @@ class Record:
 
     @property
     def payload(self) -> bytes:
-        return self.block.split(b"\r\n\r\n", 1)[-1]
+        """Of an HTTP message what follows its headers, else the whole block."""
+        return self.block.partition(b"\r\n\r\n")[2] if self.is_http else self.block
+
+
+def agrees(data: bytes, digest: str | None) -> bool:
+    """Whether data has a labelled digest, in base 32 or hexadecimal. An unknown algorithm, or none, can't be held against it."""
+    name, _, value = (digest or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return True
+    found = hashlib.new(name, data, usedforsecurity=False)
+    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
 
 
 def members(pieces: Iterable[bytes]) -> Iterator[bytes]:
     """The uncompressed bytes of each gzip member of a stream, one after another."""
-    z, out, fed = zlib.decompressobj(31), [], False
+    z, out, fed, held = zlib.decompressobj(31), [], False, 0
     for piece in pieces:
         while piece:
             fed = True
-            out.append(z.decompress(piece))
+            out.append(z.decompress(piece, MOST_BYTES + 1 - held))
+            held += len(out[-1])
+            if held > MOST_BYTES:
+                raise ValueError(f"a record has more than {MOST_BYTES} bytes")
             if not z.eof:
                 break
             yield b"".join(out)
-            piece, z, out, fed = z.unused_data, zlib.decompressobj(31), [], False
+            piece, z, out, fed, held = z.unused_data, zlib.decompressobj(31), [], False, 0
     if fed:
         raise ValueError("the archive ends within a member")
 
@@ -107,11 +128,10 @@ def parsed(data: bytes) -> Record:
     block = data[end + 4 : end + 4 + length]
     if len(block) != length or data[end + 4 + length :] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    if base32_sha1(block) != headers.get("warc-block-digest", base32_sha1(block)):
+    if not agrees(block, headers.get("warc-block-digest")):
         raise ValueError("a block's digest is wrong")
     out = Record(headers, block)
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha256:") and hashlib.sha256(out.payload).hexdigest() != digest[7:]:
+    if headers.get("warc-type") in ("response", "resource") and not agrees(out.payload, headers.get("warc-payload-digest")):
         raise ValueError("a payload's digest is wrong")
     return out
 
@@ -181,6 +201,20 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return written(resolved(pages).mapInArrow(run, "archive string, records long, bytes long"), "manifest")
 
 
+def number(x: str | None) -> int | None:
+    return int(x) if x and re.fullmatch(r"\d{1,18}", x) else None
+
+
+def row(r: Record) -> tuple:
+    """A record's line in READ. A digest that isn't named is computed; a revisit's payload isn't there, so
+    its size is what its HTTP headers say, and is null without them."""
+    h = r.headers
+    again = h.get("warc-type") == "revisit"
+    size = number(r.http.get("content-length")) if again else len(r.payload)
+    digest = h.get("warc-payload-digest", "").rpartition(":")[2] or (None if again else hashlib.sha256(r.payload).hexdigest())
+    return number(h.get("x-page-id")), h.get("warc-target-uri"), size, digest, h.get("warc-type"), number(h.get("x-refers-to-page-id"))
+
+
 READ = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -195,9 +229,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for archive in b.column(0).to_pylist():
                 for r in read_file(archive):
-                    h, number = r.headers, lambda x: int(x) if x else None
-                    size = int(r.http["content-length"]) if h["warc-type"] == "revisit" else len(r.payload)
-                    rows.append((number(h.get("x-page-id")), h.get("warc-target-uri"), size, h["warc-payload-digest"].rpartition(":")[2], h["warc-type"], number(h.get("x-refers-to-page-id"))))
+                    rows.append(row(r))
                     if len(rows) >= 1000:
                         yield batch(rows)
                         rows = []

@@ -47,3 +47,42 @@ def test_null_page_id_and_very_long_cells(spark, tmp_path):
     rows = [(None, "http://a/" + "x" * 2_000_000, "y" * 3_000_000), (9, "http://a/9", "y" * 3_000_000), (None, None, None)]
     got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/n")).collect()
     assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got) == [("9", 3_000_000, "response", None), ("None", 0, "response", None), ("None", 3_000_000, "revisit", 9)]
+
+
+def member(head, block):
+    return gzip.compress("\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nhello"
+    sha1 = warc.base32_sha1(b"hello")
+    kind = "Content-Type: application/http; msgtype=response"
+    records = [
+        member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n\r\nmore"),
+        member(["WARC-Type: request", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        member(["WARC-Type: response", "WARC-Target-URI: http://a/", kind, f"WARC-Payload-Digest: {sha1}"], http),
+        member(["WARC-Type: response", "WARC-Target-URI: http://b/", kind, f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'hello').hexdigest()}"], http),
+        member(["WARC-Type: response", kind], http),
+        member(["WARC-Type: revisit", kind, f"WARC-Payload-Digest: {sha1}"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        member(["WARC-Type: revisit", "X-Page-ID: none"], b""),
+        member(["WARC-Type: metadata", "WARC-Payload-Digest: other:1"], b"via: y"),
+        member([], b""),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(records))
+    got = warc.read(spark.createDataFrame([(f"file://{path}",)], "archive string")).collect()
+    own = hashlib.sha256(b"hello").hexdigest()
+    assert sorted((str(r.record_type), str(r.uri), str(r.payload_bytes), r.payload_digest or "") for r in got) == sorted([
+        ("warcinfo", "None", "19", hashlib.sha256(b"software: x\r\n\r\nmore").hexdigest()), ("request", "http://a/", "0", hashlib.sha256(b"").hexdigest()),
+        ("response", "http://a/", "5", sha1[5:]), ("response", "http://b/", "5", hashlib.sha1(b"hello").hexdigest()), ("response", "None", "5", own),
+        ("revisit", "None", "None", sha1[5:]), ("revisit", "None", "None", ""), ("metadata", "None", "6", "1"), ("None", "None", "0", hashlib.sha256(b"").hexdigest()),
+    ])
+    with pytest.raises(ValueError, match="payload"):
+        list(warc.read_stream([member(["WARC-Type: response", kind, f"WARC-Payload-Digest: {warc.base32_sha1(b'x')}"], http)]))
+
+
+def test_a_record_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 1000)
+    data = member(["WARC-Type: metadata"], b"x" * 5000)
+    with pytest.raises(ValueError, match="more than"):
+        list(warc.read_stream([data[k : k + 5] for k in range(0, len(data), 5)]))
