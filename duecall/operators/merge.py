@@ -69,9 +69,17 @@ def folded(rows: DataFrame, key: str, ident: str, order: str, rich: str | Callab
 
 
 def base_title(title: Column) -> Column:
-    """Without trailing track names, however many there are."""
-    tail = "|".join(m.replace(" ", "[ ]+") for m in MODIFIERS)
-    return F.trim(F.regexp_replace(T.squeezed(title), rf"(?i)(?:(?:^|[ ]+|[ ]*[-:,(]+[ ]*)(?:{tail})[ )]*)+$", ""))
+    """Without trailing track names, however many there are.
+
+    The title is read from its end, where the names begin, so each letter is met once: a
+    name, what parts it from the one before, and so on. Possessive quantifiers keep no places to go
+    back to, so the length of the tail is no matter.
+    """
+    names = "|".join(m[::-1].replace(" ", "[ ]+") for m in MODIFIERS)
+    name = rf"(?:{names})(?=$|[ :,(-])"
+    between = r"(?:[ ]*+[:,(-]++|[ ])[ )]*+"
+    tail = rf"(?i)^[ )]*+{name}(?:{between}{name})*+(?:[ ]*+[:,(-]++[ ]*+|[ ]++|$)"
+    return F.trim(F.reverse(F.regexp_replace(F.reverse(T.squeezed(title)), tail, "")))
 
 
 def title_key(title: Column) -> Column:
