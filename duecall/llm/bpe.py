@@ -147,9 +147,9 @@ class Bpe:
         tables = j.get("unicode") or known_tables()
         self.pieces = re.compile(pattern.replace(r"\p{L}", listed(tables["L"])).replace(r"\p{N}", listed(tables["N"])).replace(r"\s", listed(tables["s"])))
         self.blanks = re.compile(f"[{listed(tables['s'])}]+")
-        self.lower = {int(c): x for c, x in tables["lower"].items()} | {ord("Σ"): "σ"}
-        #: Characters that Python's Unicode version lacks: the library composes what they stand in.
-        self.newer = re.compile(f"[{listed(absent())}]")
+        self.lower = {int(c): x for c, x in tables["lower"].items()}
+        #: Characters met so far that Python's Unicode version has.
+        self.assigned: set[str] = set()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.forget()
 
@@ -158,14 +158,16 @@ class Bpe:
         self.flat, self.starts, self.lengths = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
         self.bytes = 0
 
-    def composed(self, text: str) -> str:
-        if text.isascii():
-            return text
-        if self.newer.search(text):
-            from tokenizers import normalizers
+    def renewed(self, chunk: str) -> str:
+        """A lower-case chunk; one with signs that Python's Unicode version lacks as the library composes and lowers it."""
+        if chunk.isascii() or self.assigned.issuperset(chunk):
+            return chunk
+        if all(unicodedata.category(c) != "Cn" for c in chunk):
+            self.assigned.update(chunk)
+            return chunk
+        from tokenizers import normalizers
 
-            return normalizers.NFC().normalize_str(text)
-        return unicodedata.normalize("NFC", text)
+        return normalizers.NFC().normalize_str(chunk).translate(self.lower)
 
     def chunks(self, text: str) -> list[str]:
         """The text in lower case, cut at white space, which no word crosses; special tokens stand alone."""
@@ -174,7 +176,7 @@ class Bpe:
             if k % 2:
                 out.append(part)
             elif part:
-                lower = part.lower() if part.isascii() else self.composed(part).translate(self.lower).lower()
+                lower = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += filter(None, self.blanks.split(lower)) if _ODD.search(lower) else lower.split()
         return out
 
@@ -231,7 +233,7 @@ class Bpe:
         """Encodes the chunks that are new: their words, each once, and then the chunks of words."""
         fresh, self.known.fresh = self.known.fresh, []
         words = Words()
-        parts = [[words[c]] if c in self.special else [words[w] for w in self.pieces.findall(c)] for c in fresh]
+        parts = [[words[c]] if c in self.special else [words[w] for w in self.pieces.findall(self.renewed(c))] for c in fresh]
         names = list(words)
         flat, counts = self.merge([w for w in names if w not in self.special])
         lengths = np.ones(len(names), np.int64)
@@ -279,18 +281,6 @@ class Bpe:
         return b" ".join(self.names[ids].tolist())
 
 
-def absent() -> list[tuple[int, int]]:
-    """The ranges of code points that Python's Unicode version doesn't assign."""
-    out: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if out and out[-1][1] == c - 1:
-                out[-1][1] = c
-            else:
-                out.append([c, c])
-    return [(a, b) for a, b in out]
-
-
 _TABLES: dict = {}
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -33,7 +34,7 @@ def test_every_code_point(context):
 
 
 def test_newer_signs_compose_as_in_the_library():
-    newer = [chr(c) for a, b in bpe.absent() for c in range(a, b + 1) if b < 0x20000][:40_000]
+    newer = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn"][:40_000]
     text = " ".join(x + y for x, y in zip(newer, newer[1:] + ["\u0307"], strict=True)) + " \U000105d2\u0307 a\u0897\u0301\u0323 \U00016d67\U00016d67"
     assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
 
