@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search.
-STOP_WORDS = "a an and are as at by for from in into is of on or that the to with".split()
+STOP_WORDS = "a about all am an and any are around at be for from give have i im in is it looking me my need of on or please show that the to want where which with work working".split()
+PAPER_STOP_WORDS = "a an and are at for from in is of on or the to with".split()
 
 
 def _decomposed() -> tuple[str, str, dict[str, str]]:

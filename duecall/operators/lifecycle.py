@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +60,19 @@ def soonest_first(calls: DataFrame, date: str = "deadline", key: str = "id") ->
     return calls.orderBy(F.col(date).asc_nulls_last(), key)
 
 
-def constrained(calls: DataFrame, types: list[str] | None = None, trusted: bool = False, rolling: bool = False, least: str | None = None, most: str | None = None, before: str | None = None) -> DataFrame:
-    """Rows that meet all constraints; a bound on the deadline drops rows without one."""
+def meets(types: list[str] | None = None, trusted: bool = False, rolling: bool = False, least: str | None = None, most: str | None = None, before: str | None = None) -> Column:
+    """Whether a row meets all constraints; a bound on the deadline isn't met without one."""
     date = F.when(~F.coalesce("rolling", F.lit(False)), F.col("deadline"))
-    if types:
-        calls = calls.filter(F.col("type").isin(types))
-    if trusted:
-        calls = calls.filter(F.col("official"))
-    if rolling:
-        calls = calls.filter("rolling")
-    if least:
-        calls = calls.filter(date >= instant(least))
-    if most:
-        calls = calls.filter(date <= instant(most))
-    if before:
-        calls = calls.filter(date < instant(before))
-    return calls
+    all_of = [
+        F.col("type").isin(types) if types else None, F.col("official") if trusted else None, F.col("rolling") if rolling else None,
+        date >= instant(least) if least else None, date <= instant(most) if most else None, date < instant(before) if before else None,
+    ]
+    return F.coalesce(reduce(Column.__and__, [c for c in all_of if c is not None], F.lit(True)), F.lit(False))
+
+
+def constrained(calls: DataFrame, *constraints, **named) -> DataFrame:  # noqa: ANN002, ANN003
+    """Rows that meet all constraints, which are those of meets."""
+    return calls.filter(meets(*constraints, **named))
 
 
 def lease(now: str, end: Column, days: int = 6) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.functions.parse import parse
+from duecall.operators import lifecycle
 from duecall.operators import search as S
 from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, spread, table
 
@@ -46,13 +47,23 @@ def _tok(expr: str) -> str:
     return f"list_filter(list_transform(string_split({_norm(expr)}, ' '), lambda w: regexp_replace(w, '^[./-]+|[./-]+$', '', 'g')), lambda w: w <> '' AND (length(w) >= 2 OR regexp_matches(w, '^[0-9]+$')) AND NOT list_contains({_STOP}, w))"
 
 
+# What a source's number stands for, as its records' domain and, three further, their series.
+_DOMAINS = ["machine learning privacy", "computer vision", "privacy and cryptography", "digital health", "natural language processing", "data mining", "human computer interaction", "responsible ai", "software engineering", "graph theory"]
+_DOMAINS_SQL = "[" + ", ".join(f"'{x}'" for x in _DOMAINS) + "]"
+_N_SQL = "coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0)"
+_HIGH_SQL, _BODY_SQL = f"concat_ws(' ', source, lang, {_DOMAINS_SQL}[{_N_SQL} % 10 + 1])", f"concat_ws(' ', text, {_DOMAINS_SQL}[({_N_SQL} + 3) % 10 + 1])"
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """documents as the catalogue's records: source, lang and domain are the high field, text and series the body."""
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source"))
+    n = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    domain = lambda k: F.get(F.array(*map(F.lit, _DOMAINS)), (n + k) % len(_DOMAINS))
     none = {"type": F.lit("conference"), "deadline": F.lit(None).cast("timestamp_ntz"), "rolling": F.lit(False), "official": F.lit(True)}
-    return docs.withColumns({**none, "_high": T.search_text(F.concat_ws(" ", "source", "lang")), "_body": T.search_text(F.col("text"))}).drop("text")
+    return docs.withColumns({**none, "_high": T.search_text(F.concat_ws(" ", "source", "lang", domain(0))), "_body": T.search_text(F.concat_ws(" ", "text", domain(3)))}).drop("text")
 
 
-_ASKED, _WHEN = "show me security license work in the src3 the inin apache", datetime(1998, 6, 1)
+_ASKED, _WHEN = "show me machine learning privacy work", datetime(1998, 6, 1)
 _Q = parse(_ASKED, _WHEN)
 
 
@@ -64,16 +75,16 @@ def _search(q, where: str = "true") -> str:
     hits = [" + ".join(f"{has(p)}::INT" for p in some) for some in q.concepts.values()]
     boost = "".join(f" + CASE WHEN {h} > 0 THEN 2 + 0.75::DOUBLE * least({h} - 1, 3) ELSE 0 END" for h in hits)
     phrase = f" + CASE WHEN contains(ht, '{q.text}') THEN 5 WHEN contains(bt, '{q.text}') THEN 2 ELSE 0 END" if len(q.text) >= 3 else ""
-    return f"""c0 AS (SELECT doc_id, {_norm("concat_ws(' ', source, lang)")} AS ht, {_norm('text')} AS bt, {_tok("concat_ws(' ', source, lang)")} AS h, {_tok('text')} AS b FROM documents WHERE {where}),
+    return f"""c0 AS (SELECT doc_id, {_norm(_HIGH_SQL)} AS ht, {_norm(_BODY_SQL)} AS bt, {_tok(_HIGH_SQL)} AS h, {_tok(_BODY_SQL)} AS b FROM documents WHERE {where}),
 c AS (SELECT * FROM c0 WHERE true{kept}), {_bm25(S.expansion(q.terms, q.concepts), 2.4)},
 found AS (SELECT doc_id, round(score{phrase}{boost}, 6) AS score FROM sc WHERE round(score{phrase}{boost}, 6) > 0)"""
 
 
-@query(f"WITH {_search(_Q)} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ord FROM found QUALIFY ord <= 50")
+@query(f"WITH {_search(_Q)} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ord FROM found QUALIFY ord <= 1000")
 def bm25_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """The whole catalogue search, the flagship: from a plain string to the best rows."""
+    """The whole catalogue search, the flagship: from a plain string to the best thousand rows."""
     rows, _ = S.searched(_docs(spark, d), _ASKED, _WHEN)
-    top = rows.select(F.col("id").alias("doc_id"), "score").limit(50)
+    top = rows.select(F.col("id").alias("doc_id"), "score").limit(1000)
     return top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
@@ -89,7 +100,7 @@ def bm25_filtered_corpus(spark: SparkSession, d: str) -> DataFrame:
 _PHRASES = {"legal": ["license", "public license", "apache"], "speech": ["langua", "words of"]}
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_norm('text')} AS t FROM documents), h AS (SELECT doc_id, contains(t, 'license')::INT + contains(t, 'public license')::INT + contains(t, 'apache')::INT AS h, contains(t, 'langua')::INT + contains(t, 'words of')::INT AS g FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {_norm(_BODY_SQL)} AS t FROM documents), h AS (SELECT doc_id, contains(t, 'license')::INT + contains(t, 'public license')::INT + contains(t, 'apache')::INT AS h, contains(t, 'langua')::INT + contains(t, 'words of')::INT AS g FROM t)
 SELECT doc_id, (CASE WHEN h > 0 THEN 2 + 0.75::DOUBLE * least(h - 1, 3) ELSE 0 END + CASE WHEN g > 0 THEN 2 + 0.75::DOUBLE * least(g - 1, 3) ELSE 0 END)::DOUBLE AS boost FROM h WHERE h > 0 OR g > 0""")
 def concept_boost(spark: SparkSession, d: str) -> DataFrame:
     """Rows that meet any concept, with their boost."""
@@ -98,16 +109,87 @@ def concept_boost(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select(F.col("id").alias("doc_id"), boost.alias("boost")).filter("boost is not null")
 
 
-_PLAIN = "trusted only workshops or conferences at least two weeks ahead, under three months"
-
-
-@query(f"""WITH {CALLS_SQL}, t AS (SELECT id, deadline FROM calls WHERE type IN ('workshop', 'conference') AND official AND NOT rolling AND deadline >= TIMESTAMP '{NOW}' + INTERVAL 14 DAY AND deadline < TIMESTAMP '1998-09-01')
-SELECT id, deadline, row_number() OVER (ORDER BY deadline, id) AS ord FROM t QUALIFY ord <= 1000""")
+# Queries without terms, and what each asks for on 1998-06-01, told by hand: types, first moment, last moment, moment before which, rolling, trusted.
+_MANY = [
+    ("conferences", ["conference"], None, None, None, False, False),
+    ("venues", ["conference"], None, None, None, False, False),
+    ("show me all the workshops", ["workshop"], None, None, None, False, False),
+    ("journals", ["journal", "special-issue"], None, None, None, False, False),
+    ("Special Issue", ["special-issue"], None, None, None, False, False),
+    ("books", ["book-proposal"], None, None, None, False, False),
+    ("a monograph proposal", ["book-proposal"], None, None, None, False, False),
+    ("chapter proposals", ["chapter-proposal"], None, None, None, False, False),
+    ("book chapters", ["book-proposal", "chapter-proposal"], None, None, None, False, False),
+    ("call for reviewers", ["reviewer-call"], None, None, None, False, False),
+    ("reviewer opportunities", ["reviewer-call"], None, None, None, False, False),
+    ("propose a workshop", ["workshop-proposal"], None, None, None, False, False),
+    ("workshop proposals", ["workshop-proposal"], None, None, None, False, False),
+    ("workshops or conferences", ["workshop", "conference"], None, None, None, False, False),
+    ("conferences and journals", ["journal", "special-issue", "conference"], None, None, None, False, False),
+    ("special issues of journals", ["special-issue", "journal"], None, None, None, False, False),
+    ("calls with a deadline at least one week away", [], "1998-06-08", None, None, False, False),
+    ("atleast 3 days from now", [], "1998-06-04", None, None, False, False),
+    ("minimum of two weeks", [], "1998-06-15", None, None, False, False),
+    ("more than 10 days", [], "1998-06-11", None, None, False, False),
+    ("no sooner than a month", [], "1998-07-01", None, None, False, False),
+    ("at least six months away", [], "1998-12-01", None, None, False, False),
+    ("at least a year", [], "1999-06-01", None, None, False, False),
+    ("within 5 days", [], None, "1998-06-06", None, False, False),
+    ("in the next two weeks", [], None, "1998-06-15", None, False, False),
+    ("within the next three months", [], None, "1998-09-01", None, False, False),
+    ("Deadline in less than 30 days", [], None, None, "1998-07-01", False, False),
+    ("less than a week", [], None, None, "1998-06-08", False, False),
+    ("under twelve weeks", [], None, None, "1998-08-24", False, False),
+    ("closing in the next six months", [], None, "1998-12-01", None, False, False),
+    ("within 1 year", [], None, "1999-06-01", None, False, False),
+    ("within 0 days", [], None, "1998-06-02", None, False, False),
+    ("after July 4", [], "1998-07-04", None, None, False, False),
+    ("deadline after march 1", [], "1999-03-01", None, None, False, False),
+    ("later than Dec 24, 1998", [], "1998-12-24", None, None, False, False),
+    ("no earlier than jan 31 1997", [], "1997-01-31", "1997-01-31", None, False, False),
+    ("before August 1", [], None, "1998-08-01", None, False, False),
+    ("deadline earlier than Sep 9 1998", [], None, "1998-09-09", None, False, False),
+    ("deadline before Oct 15", [], None, "1998-10-15", None, False, False),
+    ("before may 5", [], None, "1999-05-05", None, False, False),
+    ("after June 1 before June 30", [], "1998-06-01", "1998-06-30", None, False, False),
+    ("at least 2 weeks, under 3 months", [], "1998-06-15", None, "1998-09-01", False, False),
+    ("at least one month before february 31 1999", [], "1998-07-01", "1999-03-03", None, False, False),
+    ("within 2 months before july 20", [], None, "1998-07-20", None, False, False),
+    ("rolling", [], None, None, None, True, False),
+    ("rolling submissions", [], None, None, None, True, False),
+    ("rolling book proposals", ["book-proposal"], None, None, None, True, False),
+    ("rolling calls for trusted journals", ["journal", "special-issue"], None, None, None, True, True),
+    ("trusted only", [], None, None, None, False, True),
+    ("only verified", [], None, None, None, False, True),
+    ("verified conferences within 4 weeks", ["conference"], None, "1998-06-29", None, False, True),
+    ("legitimate publishers", [], None, None, None, False, True),
+    ("trusted only workshops or conferences at least two weeks away, under three months", ["workshop", "conference"], "1998-06-15", None, "1998-09-01", False, True),
+    ("open workshops closing within eight weeks", ["workshop"], None, "1998-07-27", None, False, False),
+    ("I am looking for any journal with a deadline after november 11 1998", ["journal", "special-issue"], "1998-11-11", None, None, False, False),
+]
+
+
+def _asked_sql() -> str:
+    stamp = lambda x: f"TIMESTAMP '{x}'" if x else "NULL::TIMESTAMP"
+    rows = (f"('{q}', {kinds}::VARCHAR[], {stamp(least)}, {stamp(most)}, {stamp(before)}, {rolling}, {trusted})" for q, kinds, least, most, before, rolling, trusted in _MANY)
+    return f"asked AS (SELECT * FROM (VALUES {', '.join(rows)}) v(query, kinds, least_, most_, before_, rolling_, trusted_))"
+
+
+@query(f"""WITH {CALLS_SQL}, {_asked_sql()}, t AS (SELECT query, id, deadline FROM asked JOIN calls ON (len(kinds) = 0 OR list_contains(kinds, type)) AND (NOT trusted_ OR official) AND (NOT rolling_ OR rolling)
+  AND ((least_ IS NULL AND most_ IS NULL AND before_ IS NULL) OR (NOT rolling AND deadline IS NOT NULL AND deadline >= coalesce(least_, deadline) AND deadline <= coalesce(most_, deadline) AND deadline < coalesce(before_, deadline + INTERVAL 1 DAY))))
+SELECT query, id, deadline, row_number() OVER (PARTITION BY query ORDER BY deadline, id) AS ord FROM t QUALIFY ord <= 200""")
 def plain_language_search(spark: SparkSession, d: str) -> DataFrame:
-    """A query without terms: its constraints, the soonest thousand first."""
-    rows = calls(spark, d).withColumns({"_high": F.lit(""), "_body": F.lit("")})
-    top = S.searched(rows, _PLAIN, _WHEN)[0].select("id", "deadline").limit(1000)
-    return top.withColumn("ord", F.row_number().over(Window.orderBy(F.col("deadline").asc_nulls_last(), "id")).cast("long"))
+    """Many queries without terms at once: each call goes to the queries whose constraints it meets, the soonest two hundred of each first.
+
+    The queries are a parameter and enter as constants; only each task's first rows of a query are shuffled."""
+    asked = [(q, parse(q, _WHEN)) for q, *_ in _MANY]
+    if any(p.terms or p.concepts for _, p in asked):
+        raise ValueError("a query has terms")
+    c = calls(spark, d)
+    hits = F.array(*(F.when(lifecycle.meets(p.types, p.trusted, p.rolling, *(str(x) if x else None for x in (p.least, p.most, p.before))), F.lit(q)) for q, p in asked))
+    rows = c.select("id", "deadline", F.explode(F.array_compact(hits)).alias("query"))
+    by = Window.partitionBy("query").orderBy(F.col("deadline").asc_nulls_last(), "id")
+    return rows.withColumn("ord", F.row_number().over(by).cast("long")).filter("ord <= 200").select("query", "id", "deadline", "ord")
 
 
 _PT = {"blue": 1.0, "steel": 1.0, "small": 1.0, "copper": 1.0}
