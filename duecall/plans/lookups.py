@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecall.functions import text as T
-from duecall.operators import lookup, merge, upserts
+from duecall.operators import fold, lookup, merge, setjoin, upserts
 from duecall.sources.tables import CALLS_SQL, PAPERS_SQL, calls, papers, table
 
 QUERIES, ORACLES = {}, {}
@@ -141,12 +141,11 @@ def similarity_family_all(spark: SparkSession, d: str) -> DataFrame:
 bw AS (SELECT item_id, unnest(q) AS t FROM b), dw AS (SELECT doc_id, unnest(w) AS t FROM d), m AS (SELECT item_id, doc_id, count(*) AS n FROM bw JOIN dw USING (t) GROUP BY ALL)
 SELECT item_id, doc_id, round(n / len(q)::DOUBLE, 6) AS ratio FROM m JOIN b USING (item_id) WHERE len(q) > 0 AND n / len(q)::DOUBLE >= 0.6""")
 def containment_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Which documents hold most of a short text's long words: an equi-join on words, counted."""
+    """Which documents hold most of a short text's long words, by a prefix-filtered join."""
     long = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 3))
-    b = table(spark, d, "benchmark").select("item_id", long(F.col("text")).alias("q")).select("item_id", F.size("q").alias("m"), F.explode("q").alias("t"))
-    w = table(spark, d, "documents").select("doc_id", F.explode(long(F.col("text"))).alias("t"))
-    n = b.join(w, "t").groupBy("item_id", "doc_id", "m").agg(F.count("*").alias("n"))
-    return n.filter(F.col("n") / F.col("m") >= 0.6).select("item_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("ratio"))
+    short = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), long(F.col("text")).alias("words"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), long(F.col("text")).alias("words"))
+    return setjoin.contained(short, texts, 0.6).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("SELECT user_id, min(ts) AS earliest, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
@@ -239,6 +238,47 @@ def dedupe_conservation(spark: SparkSession, d: str) -> DataFrame:
     return out.crossJoin(gone.agg(F.count("*").alias("n_duplicates")))
 
 
+_NESTED_RICH = "(CASE WHEN {0}.cfp IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.url IS NULL THEN 0 ELSE 1 END + CASE WHEN {0}.pub IS NULL THEN 0 ELSE 1 END + least(6, len({0}.tags)) / 2.0 + CASE WHEN {0}.conf THEN 5 ELSE 0 END)"
+_NESTED_OVER = "{{id: {0}.id, cfp: coalesce({0}.cfp, {1}.cfp), url: coalesce({0}.url, {1}.url), pub: coalesce({0}.pub, {1}.pub), conf: {0}.conf, tags: list_concat({0}.tags, list_filter({1}.tags, lambda t: NOT list_contains({0}.tags, t))), idx: list_concat({0}.idx, list_filter({1}.idx, lambda t: NOT list_contains({0}.idx, t))), fmt: map_concat({1}.fmt, {0}.fmt), met: map_concat({1}.met, {0}.met), leg: map_concat({1}.leg, {0}.leg), adm: map_concat({1}.adm, {0}.adm), n: {0}.n + {1}.n, log: list_concat({0}.log, {1}.log, [{{i: {1}.id, m: {0}.id}}])}}"
+_NESTED = f"""k AS (SELECT md5(coalesce(text, '')) AS key, doc_id, {{id: doc_id, cfp: CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id END, url: CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id END, pub: CASE WHEN doc_id % 2 = 0 THEN lang END, conf: doc_id % 5 = 0,
+ tags: list_concat([source], CASE WHEN lang = source THEN [] ELSE [lang] END), idx: ['i' || doc_id % 3], fmt: MAP {{'lang': lang, 'f' || doc_id % 4: source}}, met: MAP {{'m' || doc_id % 5: doc_id::VARCHAR}}, leg: CASE WHEN doc_id % 2 = 0 THEN MAP {{'level': source, 'by': lang}} ELSE MAP([]::VARCHAR[], []::VARCHAR[]) END, adm: MAP {{'status': 's' || doc_id % 7}}, n: 1, log: []::STRUCT(i BIGINT, m BIGINT)[]}} AS x FROM documents),
+f AS (SELECT key, list_reduce(list(x ORDER BY doc_id), lambda a, b: CASE WHEN {_NESTED_RICH.format('b')} > {_NESTED_RICH.format('a')} THEN {_NESTED_OVER.format('b', 'a')} ELSE {_NESTED_OVER.format('a', 'b')} END) AS x FROM k GROUP BY key)"""
+_ENTRIES_SQL = "array_to_string(list_sort(list_transform(map_entries({}), lambda e: e.key || '=' || e.value)), ',')"
+
+
+def _nested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """documents as calls with nested maps; those of equal text are one call."""
+    n, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
+    some = lambda k, c: F.when(n % k == 0, c)
+    numbered = lambda p, k: F.concat(F.lit(p), (n % k).cast("string"))
+    url = F.concat(F.lit("u"), n.cast("string"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.md5(text.cast("binary")).alias("key"), some(3, url).alias("cfp_url"), some(4, url).alias("url"), some(2, F.col("lang")).alias("publisher"), (n % 5 == 0).alias("confirmed"),
+        F.array("source", "lang").alias("topics"), F.array(numbered("i", 3)).alias("indexed_in"),
+        F.create_map(F.lit("lang"), "lang", numbered("f", 4), "source").alias("format"), F.create_map(numbered("m", 5), n.cast("string")).alias("metrics"),
+        some(2, F.create_map(F.lit("level"), "source", F.lit("by"), "lang")).alias("legitimacy"), F.create_map(F.lit("status"), numbered("s", 7)).alias("admission"),
+    )
+    scalars = ["cfp_url", "url", "publisher", "confirmed"]
+    shape = fold.Shape("key", "doc_id", "doc_id", scalars, ["topics", "indexed_in"], ["format", "metrics", "legitimacy", "admission"], scalars[:3], "topics", {"confirmed": 5.0})
+    return fold.streamed(rows, shape)
+
+
+@query(f"""WITH {_NESTED} SELECT x.id AS doc_id, x.cfp AS cfp_url, x.url AS url, x.pub AS publisher, array_to_string(x.tags, ',') AS topics, array_to_string(x.idx, ',') AS indexed_in, x.n::BIGINT AS n_merged,
+ {_ENTRIES_SQL.format('x.fmt')} AS format, {_ENTRIES_SQL.format('x.met')} AS metrics, {_ENTRIES_SQL.format('x.leg')} AS legitimacy, {_ENTRIES_SQL.format('x.adm')} AS admission FROM f""")
+def dedupe_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered merge with nested overlays, as a stream over sorted rows."""
+    unique, _ = _nested(spark, d)
+    entries = lambda c: F.array_join(F.sort_array(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias(c)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return unique.select("doc_id", "cfp_url", "url", "publisher", joined("topics"), joined("indexed_in"), "n_merged", *map(entries, ("format", "metrics", "legitimacy", "admission")))
+
+
+@query(f"WITH {_NESTED} SELECT g.i AS doc_id, g.m AS merged_into FROM (SELECT unnest(x.log) AS g FROM f)")
+def dedupe_absorbed(spark: SparkSession, d: str) -> DataFrame:
+    """What the same merge absorbed, and into which record."""
+    return _nested(spark, d)[1].select("doc_id", "merged_into")
+
+
 @query(f"""WITH {CALLS_SQL} SELECT id, type || '|' || CASE WHEN type NOT IN ('special-issue', 'book-proposal') AND id % 4 <> 0 AND venue % 50 <> 0 THEN 'acronym:v' || venue % 50 ELSE 'name:call of venue ' || venue END
  || '|' || CASE WHEN deadline IS NOT NULL THEN strftime(deadline + INTERVAL 1 SECOND * (id % 60), '%Y-%m-%d %H:%M:%S.%g') WHEN type = 'journal' THEN 'rolling' ELSE 'undated' END AS key FROM calls""")
 def identity_keys(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from duecall.functions import dates as D
 from duecall.functions import text as T
+from duecall.operators import deadlines, merge
 from duecall.operators import evidence as E
-from duecall.operators import merge
 from duecall.sources.tables import PAPERS_SQL, papers, spread, table
 
 QUERIES, ORACLES = {}, {}
@@ -152,7 +152,7 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
     day = lambda form, plus=0: F.date_format(F.date_add(at, plus), form)
     text = F.concat(
         F.lit("Important dates "), F.year(at).cast("string"), F.lit("\nAbstract deadline: "), day("MMMM d, yyyy"), F.lit(" AoE. Full paper submission deadline "), day("d MMM yyyy", 7),
-        F.lit(". Late-breaking posters due "), day("yyyy-MM-dd", 30), F.lit("; Notification and camera-ready: "), day("MMM d yyyy", 40), F.lit(" and "), day("d MMMM yyyy", 50), F.lit(". Reviewers meet "), day("MMMM d, yyyy", 60),
+        F.lit(". Late-breaking submission deadline: "), day("yyyy-MM-dd", 30), F.lit("; Notification and camera-ready: "), day("MMM d yyyy", 40), F.lit(" and "), day("d MMMM yyyy", 50), F.lit(". Reviewers meet "), day("MMMM d, yyyy", 60),
     )
     return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select(F.col("o_orderkey").alias("id"), at.alias("at"), F.regexp_replace(text, "20[0-9][0-9]|19[0-9][0-9]", "2030").alias("text"))
 
@@ -161,18 +161,16 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
 _MOVED = "try_strptime(strftime({}, '2030-%m-%d') || ' 23:59', '%Y-%m-%d %H:%M')"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS dt FROM orders),
-t AS (SELECT id, 'abstract' AS type, 2 AS p, true AS s, {_MOVED.format('dt')} + INTERVAL 12 HOUR AS date FROM o UNION ALL SELECT id, 'main', 1, true, {_MOVED.format('dt + 7')} FROM o UNION ALL SELECT id, 'late-breaking', 3, true, {_MOVED.format('dt + 30')} FROM o
- UNION ALL SELECT id, k, 99, false, d FROM (SELECT id, unnest([{_MOVED.format('dt + 40')}, {_MOVED.format('dt + 50')}]) AS d FROM o), (VALUES ('notification'), ('camera-ready')) v(k)),
-n AS (SELECT * FROM t WHERE date >= TIMESTAMP '2030-03-01' - INTERVAL 1 DAY AND date <= TIMESTAMP '2030-03-01' + INTERVAL 550 DAY),
-c AS (SELECT id, type, date FROM n WHERE s AND date > TIMESTAMP '2030-03-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, date, type) = 1)
-SELECT n.id, n.type, n.date, coalesce(n.type = c.type AND n.date = c.date, false) AS chosen FROM n LEFT JOIN c USING (id)""")
+@query(f"""WITH o AS (SELECT DISTINCT o_orderdate::DATE AS dt FROM orders),
+t AS (SELECT dt, 'abstract_submission' AS type, 2 AS p, {_MOVED.format('dt')} + INTERVAL 12 HOUR AS date FROM o UNION ALL SELECT dt, 'main_submission', 1, {_MOVED.format('dt + 7')} FROM o UNION ALL SELECT dt, 'late_breaking_submission', 3, {_MOVED.format('dt + 30')} FROM o
+ UNION ALL SELECT dt, k, 99, d FROM (SELECT dt, unnest([{_MOVED.format('dt + 40')}, {_MOVED.format('dt + 50')}]) AS d FROM o), (VALUES ('notification'), ('camera_ready')) v(k)),
+n AS (SELECT DISTINCT * FROM t WHERE date >= TIMESTAMP '2030-03-01' - INTERVAL 1 DAY AND date <= TIMESTAMP '2030-03-01' + INTERVAL 550 DAY),
+c AS (SELECT dt, type, date FROM n WHERE p < 99 AND date > TIMESTAMP '2030-03-01' QUALIFY row_number() OVER (PARTITION BY dt ORDER BY p, date, type) = 1)
+SELECT o_orderkey AS id, n.type, n.date, coalesce(n.type = c.type AND n.date = c.date, false) AS chosen FROM orders JOIN n ON n.dt = o_orderdate::DATE LEFT JOIN c ON c.dt = n.dt""")
 def deadline_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Labelled deadlines in page texts, and the track to show."""
     now = F.lit("2030-03-01 00:00:00").cast("timestamp_ntz")
-    rows = _dated(spark, d).select("id", T.let(F.col("text"), lambda x: D.tracks(x, now)).alias("t"))
-    rows = rows.select("id", F.explode("t").alias("x"), D.open_track(F.col("t"), now).alias("o"))
-    return rows.select("id", "x.type", "x.date", F.coalesce((F.col("x.type") == F.col("o.type")) & (F.col("x.date") == F.col("o.date")), F.lit(False)).alias("chosen"))
+    return deadlines.tracks(_dated(spark, d).select("id", "text"), now).select("id", "type", "date", "chosen")
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS dt FROM orders), p AS (SELECT id, {_MOVED.format('dt')} AS d FROM o)

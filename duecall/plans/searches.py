@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.functions.parse import parse
-from duecall.operators import lifecycle
+from duecall.operators import lifecycle, postings
 from duecall.operators import search as S
 from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, spread, table
 
@@ -97,6 +97,17 @@ def bm25_filtered_corpus(spark: SparkSession, d: str) -> DataFrame:
     return S.searched(_docs(spark, d).filter("lang = 'en'"), "the license mit", _WHEN)[0].select(F.col("id").alias("doc_id"), "score")
 
 
+@query(f"""WITH c AS (SELECT doc_id, {_tok(_HIGH_SQL)} AS h, {_tok(_BODY_SQL)} AS b FROM documents), l AS (SELECT doc_id, 2.4::DOUBLE * len(h) + len(b) AS len FROM c), st AS (SELECT count(*) AS n, greatest(avg(len), 1) AS av FROM l),
+x AS (SELECT doc_id, t, sum(w) AS tf FROM (SELECT doc_id, unnest(h) AS t, 2.4::DOUBLE AS w FROM c UNION ALL SELECT doc_id, unnest(b), 1 FROM c) GROUP BY ALL), q AS (SELECT DISTINCT item_id, unnest({_tok('text')}) AS t FROM benchmark), df AS (SELECT t, count(*) AS df FROM x GROUP BY t),
+s AS (SELECT item_id, x.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM q JOIN x ON q.t = x.t JOIN df ON df.t = q.t JOIN l ON l.doc_id = x.doc_id, st GROUP BY item_id, x.doc_id)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS ord FROM s QUALIFY ord <= 10""")
+def bm25_indexed_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as a query against all documents, by the stored index: the ten best of each."""
+    index = postings.build(_docs(spark, d), T.tokens(F.col("_high")), T.tokens(F.col("_body")), 2.4)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.explode(T.tokens(T.search_text(F.col("text")))).alias("term"), F.lit(1.0).alias("w"))
+    return postings.search(index, asked, 10).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "ord")
+
+
 _PHRASES = {"legal": ["license", "public license", "apache"], "speech": ["langua", "words of"]}
 
 

@@ -27,7 +27,8 @@ def cell(v):
     return (3, str(v))
 
 
-def same(df, con, sql):
+def same(df, con, sql, empty=False):
+    """Equal rows, and some: two empty results show nothing."""
     relation = con.execute(sql)
     names = [d[0] for d in relation.description]
     assert sorted(df.columns) == sorted(names)
@@ -35,4 +36,5 @@ def same(df, con, sql):
     want = sorted(tuple(cell(r[names.index(c)]) for c in order) for r in relation.fetchall())
     got = sorted(tuple(cell(r[c]) for c in order) for r in df.collect())
     assert len(got) == len(want)
+    assert want or empty
     assert got == want

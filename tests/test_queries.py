@@ -35,3 +35,4 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "score", "ord"]
+    assert df.count() > 50
