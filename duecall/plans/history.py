@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from duecall.functions import text as T
 from duecall.operators import upserts
-from duecall.sources import parsers, sinks, tables
+from duecall.sources import commits, parsers, sinks, staging, tables
 from duecall.sources.tables import CALLS_SQL, PAPERS_SQL, calls, papers, table
-from duecall.streaming import windows
+from duecall.streaming import leases, ledger, windows
 
 QUERIES, ORACLES = {}, {}
 
@@ -163,6 +163,119 @@ def directory_text_scan(spark: SparkSession, d: str) -> DataFrame:
     return parsers.directory_text(table(spark, d, "customer").select(F.col("c_custkey").alias("page"), text.alias("text")), "page", "Open for Submissions")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer)
+SELECT k AS page, 'Conf.org/' || k || '/Main Track' AS group_id, name || chr(39) || 's OpenML Workshop' AS title, CASE WHEN k % 3 = 0 THEN 'due' ELSE 'open' END AS status, CASE WHEN k % 3 = 0 THEN TIMESTAMP '2030-03-13 03:59:00' END AS due FROM c
+UNION ALL SELECT k, 'Conf.org/' || k || '/B', CASE WHEN k % 2 = 0 THEN 'Beta again' ELSE 'Beta' END, CASE WHEN k % 2 = 0 THEN 'due' ELSE 'open' END, CASE WHEN k % 2 = 0 THEN TIMESTAMP '2030-06-01 12:00:00' END FROM c""")
+def directory_titles_links(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in a directory's text, joined to its links by their text, one entry for each group."""
+    k = F.col("c_custkey")
+    status = F.when(k % 3 == 0, "Due 12 Mar 2030 at 23:59 Eastern Daylight Time").otherwise("open for submissions")
+    again = F.when(k % 2 == 0, "Due 1 June 2030 at 12:00 UTC").otherwise("Open for Submissions")
+    text = F.concat(F.lit("Open\nEarly\nOpen for submissions\n  Active Venues\r\nOpen for Submissions\n"), F.col("c_name"), F.lit("’s  OpenML Workshop \n"), status, F.lit("\nUnlinked 2030\nOpen for Submissions\nBeta\nOpen for Submissions\nDue Diligence Days\nno status\nBeta again\n"), again)
+    anchor = lambda t, h: F.struct(t.alias("text"), F.concat(*h).alias("href"))
+    key, loud = k.cast("string"), F.concat(F.upper("c_name"), F.lit("'S OPENML WORKSHOP"))
+    anchors = F.array(
+        anchor(loud, (F.lit("/other?id="), key)), anchor(loud, (F.lit("/group?id=Conf.org%2F"), key, F.lit("%2FMain%20Track&x=1"))),
+        anchor(F.concat(F.col("c_name"), F.lit("'s OpenML Workshop")), (F.lit("/group?id=Later"), key)), anchor(F.lit("Beta"), (F.lit("https://openreview.net/group?id=Conf.org/"), key, F.lit("/B#tab"))), anchor(F.lit("Beta  again"), (F.lit("/group?id=Conf.org/"), key, F.lit("/B"))),
+        anchor(F.lit("Due Diligence Days"), (F.lit("/group?id=Days"), key)),
+    )
+    pages = table(spark, d, "customer").select(k.alias("page"), text.alias("text"), anchors.alias("anchors"))
+    out = parsers.directory_titles(pages, "page")
+    return out.withColumn("title", F.replace("title", F.lit("’"), F.lit("'")))
+
+
+_ITEMS = {
+    "venues": "id || '/' || name", "venue_aliases": "venue_id || '/' || alias", "venue_external_ids": "venue_id || '/' || provider || '/' || external_id", "venue_editions": "id || '/' || venue_id || '/' || event_year", "papers": "id || '/' || title",
+    "paper_authors": "paper_id || '/' || author_position || '/' || author_name", "paper_external_ids": "paper_id || '/' || provider || '/' || external_id", "edition_papers": "edition_id || '/' || paper_id || '/' || membership_status",
+    "venue_insights": "venue_id || '/' || paper_count", "ingestion_runs": "provider || '/' || state",
+}
+
+
+def _snapshot(spark: SparkSession, d: str, second: bool) -> dict[str, DataFrame]:
+    """suppliers as venues, parts as papers, lineitems as what appeared in a venue's yearly edition; the second snapshot has some venues only."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    s = table(spark, d, "supplier")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("event_year"), "l_linestatus", "l_returnflag")
+    if second:
+        s = s.filter("s_nationkey < 12")
+        li = li.filter("l_returnflag = 'R'").join(s.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi")
+    edition = F.concat(key("e", "l_suppkey"), F.lit("-"), F.col("event_year").cast("string"))
+    venue, p = key("v", "s_suppkey"), table(spark, d, "part")
+    out = {
+        "venues": s.select(venue.alias("id"), F.concat("s_name", F.lit("!" if second else "")).alias("name")),
+        "venue_aliases": s.select(venue.alias("venue_id"), key("n", "s_nationkey").alias("alias")),
+        "venue_editions": li.select("l_suppkey", "event_year").distinct().select(edition.alias("id"), key("v", "l_suppkey").alias("venue_id"), "event_year"),
+        "edition_papers": li.groupBy("l_suppkey", "event_year", "l_partkey").agg(F.min("l_linestatus").alias("membership_status")).select(edition.alias("edition_id"), key("p", "l_partkey").alias("paper_id"), "membership_status"),
+        "venue_insights": li.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("paper_count")).select(key("v", "l_suppkey").alias("venue_id"), "paper_count"),
+        "ingestion_runs": s.groupBy().agg(F.count("*").alias("n")).select(F.lit("venue-history-sync").alias("provider"), F.lit("second" if second else "first").alias("state")),
+    }
+    if second:
+        return out
+    paper = key("p", "p_partkey")
+    author = F.array(F.struct(F.lit(1).alias("author_position"), F.col("p_brand").alias("author_name")), F.struct(F.lit(2).alias("author_position"), F.col("p_type").alias("author_name")))
+    return out | {
+        "venue_external_ids": s.select(venue.alias("venue_id"), F.lit("dblp").alias("provider"), F.lower("s_name").alias("external_id")),
+        "papers": p.select(paper.alias("id"), F.col("p_name").alias("title")),
+        "paper_authors": p.select(paper.alias("paper_id"), F.inline(author)),
+        "paper_external_ids": p.select(paper.alias("paper_id"), F.lit("type").alias("provider"), F.col("p_type").alias("external_id")),
+    }
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey < 12), l AS (SELECT l_suppkey, l_partkey, year(l_shipdate) AS y, l_linestatus FROM lineitem WHERE l_suppkey NOT IN (SELECT k FROM t) OR l_returnflag = 'R'),
+i AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), j AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT k FROM t) GROUP BY 1)
+SELECT 'venues' AS table_name, 'v' || s_suppkey || '/' || s_name || CASE WHEN s_nationkey < 12 THEN '!' ELSE '' END AS item FROM supplier
+UNION ALL SELECT 'venue_aliases', 'v' || s_suppkey || '/n' || s_nationkey FROM supplier
+UNION ALL SELECT 'venue_external_ids', 'v' || s_suppkey || '/dblp/' || lower(s_name) FROM supplier WHERE s_nationkey >= 12
+UNION ALL SELECT DISTINCT 'venue_editions', 'e' || l_suppkey || '-' || y || '/v' || l_suppkey || '/' || y FROM l
+UNION ALL SELECT 'papers', 'p' || p_partkey || '/' || p_name FROM part
+UNION ALL SELECT 'paper_authors', 'p' || p_partkey || '/1/' || p_brand FROM part UNION ALL SELECT 'paper_authors', 'p' || p_partkey || '/2/' || p_type FROM part
+UNION ALL SELECT 'paper_external_ids', 'p' || p_partkey || '/type/' || p_type FROM part
+UNION ALL SELECT 'edition_papers', 'e' || l_suppkey || '-' || y || '/p' || l_partkey || '/' || min(l_linestatus) FROM l GROUP BY l_suppkey, y, l_partkey
+UNION ALL SELECT 'venue_insights', 'v' || i.l_suppkey || '/' || coalesce(j.n, i.n) FROM i LEFT JOIN j USING (l_suppkey)
+UNION ALL SELECT 'ingestion_runs', 'venue-history-sync/' || x FROM (VALUES ('first'), ('second')) v(x)""")
+def history_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits of the ten tables, and what a reader of the second one sees."""
+    folder = staging.shared_path(spark, "history")
+    for second in (False, True):
+        commits.commit(spark, folder, _snapshot(spark, d, second))
+    now = commits.Version(spark, folder)
+    parts = [now.table(name).select(F.lit(name).alias("table_name"), F.expr(item).alias("item")) for name, item in _ITEMS.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events table, a file or a folder of files, as a stream of files."""
+    path, fs = sinks._fs(spark, f"{d}/events.parquet")
+    files = spark.readStream.schema(table(spark, d, "events").schema)
+    return files.parquet(f"{d}/events.parquet") if fs.getFileStatus(path).isDirectory() else files.option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("""WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(ts) OVER () AS last FROM events)
+SELECT user_id, ts + INTERVAL 6 HOUR AS lapsed_at FROM e WHERE CASE WHEN next IS NULL THEN date_trunc('milliseconds', ts + INTERVAL 6 HOUR) < date_trunc('milliseconds', last) ELSE next > ts + INTERVAL 6 HOUR END""")
+def lease_lapses(spark: SparkSession, d: str) -> DataFrame:
+    """When each user's lease of six hours, which every event renews, ran out: keyed state with timers, over the events as a stream."""
+    out, check = staging.shared_path(spark, "lapses"), staging.shared_path(spark, "check")
+    old = spark.conf.get(leases.STORE[0])
+    spark.conf.set(*leases.STORE)
+    try:
+        stream = leases.lapses(_events(spark, d), "user_id", 6 * 3600)
+        stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set(leases.STORE[0], old)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'deferred' ELSE 'accepted' END AS state FROM events")
+def ledger_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream through the batch ledger: repeats dropped, errors deferred, all others accepted once."""
+    folder = staging.shared_path(spark, "ledger")
+    ledger.ingest(_events(spark, d).select("event_id", "ts", "event_type"), folder, lambda: F.col("event_type") != "error", late="365 days", tries=1_000)
+    return ledger.state(spark, folder).select("event_id", "event_type", "state")
+
+
 @query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT user_id, event_type, event_id, ts, i, ts AS window_start, 1 AS c FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.ts, e.i, CASE WHEN e.ts >= r.window_start + INTERVAL 1 DAY THEN e.ts ELSE r.window_start END, CASE WHEN e.ts >= r.window_start + INTERVAL 1 DAY THEN 1 ELSE r.c + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.i = r.i + 1)
 SELECT event_type, user_id, event_id, window_start, c <= 1 AS allowed FROM r""")

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duecall.functions import taxonomy
 from duecall.functions import text as T
 from duecall.functions.parse import parse
-from duecall.operators import lifecycle, postings
+from duecall.operators import lifecycle, page_index, postings
 from duecall.operators import search as S
 from duecall.sources.tables import CALLS_SQL, NOW, PAPERS_SQL, calls, papers, spread, table
 
@@ -222,6 +223,18 @@ def papers_recent(spark: SparkSession, d: str) -> DataFrame:
     return S.page(S.faceted(papers(spark, d), year=2001, open_only=True), S.SORTS["recent"](), 0, 25).select("id", "ord", "total", "next_offset")
 
 
+@query(f"""WITH {PAPERS_SQL}, o AS (SELECT id, venue, citations, row_number() OVER (PARTITION BY venue ORDER BY coalesce(citations, 0) DESC, year DESC, id) AS ord, count(*) OVER (PARTITION BY venue) AS total FROM papers),
+q AS (SELECT * FROM (VALUES (0, 10), (10, 20), (37, 50), (60, 1)) v(off, lim))
+SELECT venue, off::BIGINT AS "offset", id, citations, ord, total, CASE WHEN total > off + lim THEN off + lim END::BIGINT AS next_offset FROM o, q WHERE ord > off AND ord <= off + lim""")
+def paper_pages_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Four pages of each venue's most cited papers, out of the stored order."""
+    p = papers(spark, d).withColumn("_cited", F.coalesce("citations", F.lit(0)))
+    stored = page_index.build(p, "venue", [("_cited", True), ("year", True), ("id", False)], 32)
+    asked = F.inline(F.array(*(F.struct(F.lit(o).cast("long").alias("offset"), F.lit(n).cast("long").alias("limit")) for o, n in ((0, 10), (10, 20), (37, 50), (60, 1)))))
+    found = page_index.many(stored, p.select("venue").distinct().select("venue", asked))
+    return found.select("venue", "offset", "id", "citations", "ord", "total", "next_offset")
+
+
 @query(f"WITH {PAPERS_SQL}, r AS (SELECT id, citations, row_number() OVER (ORDER BY coalesce(citations, 0) DESC, year DESC, id) AS ord FROM papers WHERE list_contains(topics, 'blue')) SELECT id, citations, ord FROM r WHERE ord <= 50")
 def papers_cited(spark: SparkSession, d: str) -> DataFrame:
     return S.page(S.faceted(papers(spark, d), topic="blue"), S.SORTS["cited"](), 0, 50).select("id", "citations", "ord")
@@ -262,3 +275,34 @@ def histogram_pct_of_max(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("venue")
     out = n.withColumns({"pct": F.greatest(F.lit(5.0), F.round(F.col("n") * 100.0 / F.max("n").over(by), 4)), "ord": F.row_number().over(by.orderBy(F.desc("n"), "label")).cast("long")})
     return out.filter("ord <= 8")
+
+
+def _labels_sql(rules: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in rules) + "], lambda x: x IS NOT NULL)"
+
+
+_CLASSIFIED_SQL = f"""p AS (SELECT doc_id, source, text, lower(concat({_DOMAINS_SQL}[{_N_SQL} % 10 + 1], ' ', CASE WHEN doc_id % 9 = 0 THEN '' ELSE coalesce(text, '') END)) AS t FROM documents),
+k AS (SELECT doc_id, source, {_labels_sql(taxonomy.TOPICS)} AS topics, {_labels_sql(taxonomy.METHODS)} AS methods, CASE WHEN doc_id % 9 = 0 OR coalesce(text, '') = '' THEN 'title-only' ELSE 'title-and-abstract' END AS evidence FROM p)"""
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    """documents as papers: the source's domain is the title, the text the abstract, which each ninth one lacks."""
+    n = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    title = F.get(F.array(*map(F.lit, _DOMAINS)), n % len(_DOMAINS))
+    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", taxonomy.classified(title, F.when(F.col("doc_id") % 9 != 0, F.col("text"))).alias("c")).select("doc_id", "source", "c.*")
+
+
+@query(f"WITH {_CLASSIFIED_SQL} SELECT doc_id, array_to_string(topics, '; ') AS topics, array_to_string(methods, '; ') AS methods, evidence FROM k")
+def paper_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """All topics and methods that whole papers name."""
+    return _classified(spark, d).select("doc_id", F.array_join("topics", "; ").alias("topics"), F.array_join("methods", "; ").alias("methods"), "evidence")
+
+
+@query(f"""WITH {_CLASSIFIED_SQL}, u AS (SELECT source, 'theme' AS kind, unnest(topics) AS label FROM k UNION ALL SELECT source, 'method', unnest(methods) FROM k), n AS (SELECT source, kind, label, count(*) AS n FROM u GROUP BY ALL)
+SELECT source, kind, label, n, row_number() OVER (PARTITION BY source, kind ORDER BY n DESC, label) AS ord FROM n""")
+def venue_themes(spark: SparkSession, d: str) -> DataFrame:
+    """How often each venue's papers have each theme and method."""
+    pairs = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+    n = _classified(spark, d).select("source", F.inline(F.concat(pairs("theme", "topics"), pairs("method", "methods")))).groupBy("source", "kind", "label").agg(F.count("*").alias("n"))
+    return n.withColumn("ord", F.row_number().over(Window.partitionBy("source", "kind").orderBy(F.desc("n"), "label")).cast("long"))

@@ -85,6 +85,37 @@ def directory_text(pages: DataFrame, key: str, marker: str) -> DataFrame:
     return rows.groupBy(key, F.col("line").alias("title")).agg(best["status"].alias("status"))
 
 
+# What a directory's text has besides titles and dates, in lower case.
+OPEN_LINE, IGNORED = "open for submissions", ["open for submissions", "active venues", "show all venues", "show all active venues"]
+DUE_LINE = r"(?i)^due \d{1,2} [a-z]{3,9} 20\d{2} at \d{1,2}:\d{2} "
+
+
+def directory_titles(pages: DataFrame, key: str) -> DataFrame:
+    """(key, group_id, title, status, due) of a directory's text, whose titles are joined to its links.
+
+    pages: (key, text, anchors array<struct<text, href>>). Below the first line that says so, a title is a line that is no
+    status and isn't ignored, before a line that is a status as a whole: open, or due at a time with its zone. Its link is the first to a group with
+    the same text, but for case, blanks and kinds of apostrophes. Of a group's entries the first dated one counts, else the
+    first. A page without the marker, links or text has none.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(c, "[ \t\r\n\u00a0]+", " "))
+    same = lambda c: F.regexp_replace(F.lower(clean(c)), "[\u2019\u2018]", "'")
+    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\r?\n"), clean), lambda x: x != "")).alias("i", "title"))
+    by = Window.partitionBy(key).orderBy("i")
+    lines = lines.withColumns({"status": F.lead("title").over(by), "_in": F.max((F.lower("title") == OPEN_LINE).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))})
+    is_status = lambda c: F.lower(c).isin(OPEN_LINE) | F.concat(c, F.lit(" ")).rlike(DUE_LINE)
+    rows = lines.filter((F.col("_in") == 1) & is_status(F.col("status")) & ~is_status(F.col("title")) & ~same(F.col("title")).isin(IGNORED))
+    rows = rows.select(key, "i", "title", "status", same(F.col("title")).alias("_k"))
+    links = pages.select(key, F.posexplode("anchors").alias("j", "a")).select(key, "j", same(F.col("a.text")).alias("_k"), clean(F.col("a.href")).alias("href"))
+    links = links.filter(F.col("href").rlike(r"(?i)openreview\.net/group\?id=|^/group\?id=") & (F.col("_k") != ""))
+    first = links.groupBy(key, "_k").agg(F.min(F.struct("j", "href"))["href"].alias("href"))
+    group = F.try_url_decode(F.regexp_extract("href", r"[?&]id=([^&#]*)", 1))
+    met = rows.join(first, [key, "_k"]).withColumn("group_id", group).filter(F.coalesce("group_id", F.lit("")) != "")
+    met = met.withColumn("due", F.when(F.lower("status") != OPEN_LINE, dates.due_text(F.col("status"))))
+    best = F.min(F.struct(F.col("due").isNull().alias("undated"), "i", "title", "due", F.when(F.lower("status") == OPEN_LINE, "open").otherwise("due").alias("status"))).alias("b")
+    return met.groupBy(key, "group_id").agg(best).select(key, "group_id", "b.title", "b.status", "b.due")
+
+
 def directory_html(pages: DataFrame, key: str, marker: str) -> DataFrame:
     """(key, group_id, title, status, due) of a directory page's group links below the marker, if it has one.
 

@@ -15,20 +15,25 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def snapshot(df: DataFrame, folder: str, version: str) -> str:
-    """Writes a new version beside the old ones and then moves the pointer file; readers see one or the other."""
-    spark, path = df.sparkSession, f"{folder}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    temp, fs = _fs(spark, f"{folder}/CURRENT.tmp")
+def moved(spark: SparkSession, pointer: str, version: str) -> None:
+    """Points a file at a version by a rename: readers see the old one or the new one."""
+    temp, fs = _fs(spark, f"{pointer}.tmp")
     out = fs.create(temp, True)
     out.write(bytearray(version.encode()))
     out.close()
-    target, _ = _fs(spark, f"{folder}/CURRENT")
+    target, _ = _fs(spark, pointer)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     kind = getattr(hadoop, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(kind, 1)
     how[0] = kind.OVERWRITE
     hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(temp), fs.makeQualified(target), how)
+
+
+def snapshot(df: DataFrame, folder: str, version: str) -> str:
+    """Writes a new version beside the old ones and then moves the pointer file; readers see one or the other."""
+    path = f"{folder}/v={version}"
+    df.write.mode("overwrite").parquet(path)
+    moved(df.sparkSession, f"{folder}/CURRENT", version)
     return path
 
 
