@@ -9,6 +9,8 @@ from duecall.functions import text as T
 from duecall.operators import lifecycle as life
 from duecall.operators import lookup, upserts
 from duecall.plans.rules import DOMAINS
+from duecall.sources.sinks import counted
+from duecall.sources.staging import shared_path
 from duecall.sources.tables import CALLS_SQL, NOW, calls
 
 QUERIES, ORACLES = {}, {}
@@ -175,3 +177,16 @@ def countdown(spark: SparkSession, d: str) -> DataFrame:
     months = F.floor(F.months_between("deadline", life.instant(NOW))).cast("long")
     soon = F.when(F.col("deadline") < life.instant(NOW) + F.expr("INTERVAL 7 DAY"), "soon").otherwise("later")
     return ahead.select("id", F.date_diff("deadline", life.instant(NOW)).cast("long").alias("days_left"), soon.alias("urgency"), months.alias("months_left"))
+
+
+@query(f"""WITH {CALLS_SQL} SELECT count(*) AS written, count(*) FILTER (status = 'open') AS open_calls, count(*) FILTER (type = 'conference') AS conferences, count(*) FILTER (deadline IS NULL) AS undated, max(deadline) AS newest,
+ max(deadline) BETWEEN TIMESTAMP '2001-08-02' - INTERVAL 60 DAY AND TIMESTAMP '2001-08-02' + INTERVAL 5 MINUTE AS fresh FROM calls""")
+def sync_counters(spark: SparkSession, d: str) -> DataFrame:
+    """A sync's counters and its freshness audit, observed while the calls are written."""
+    path = shared_path(spark, "sync")
+    seen = counted(
+        calls(spark, d), path, written=F.count("*"), open_calls=F.count_if(F.col("status") == "open"), conferences=F.count_if(F.col("type") == "conference"), undated=F.count_if(F.col("deadline").isNull()), newest=F.max("deadline"),
+    )
+    rows = spark.createDataFrame([tuple(seen[k] for k in ("written", "open_calls", "conferences", "undated", "newest"))], "written long, open_calls long, conferences long, undated long, newest timestamp_ntz")
+    at = F.lit("2001-08-02").cast("timestamp_ntz")
+    return rows.withColumn("fresh", F.col("newest").between(at - F.expr("INTERVAL 60 DAYS"), at + F.expr("INTERVAL 5 MINUTES")))

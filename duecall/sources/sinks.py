@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from duecall.sources.staging import written
@@ -42,6 +42,14 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/v={version}")
 
 
+def counted(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Writes a frame and returns the metrics, aggregates that are observed as its rows pass by: no second pass reads them.
+    A task that runs twice may be counted twice, so they are for counters and audits, not for results."""
+    seen = Observation()
+    df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.parquet(path)
+    return seen.get
+
+
 def shards(df: DataFrame, path: str, by: str = "venue_id", only_changed: bool = True) -> None:
     """One partition for each venue; with only_changed the others stay as they are."""
     mode = "dynamic" if only_changed else "static"
