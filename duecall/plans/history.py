@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecall.functions import text as T
@@ -67,11 +67,11 @@ def earliest_open_invitation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("user_id")).select(F.col("c_custkey").alias("id"), "due")
 
 
-@query(f"WITH {PAPERS_SQL}, r AS (SELECT title, venue, count(*) AS n FROM papers WHERE method LIKE 'P%' AND year = 2003 GROUP BY ALL) SELECT p.id FROM papers p JOIN (SELECT title FROM (SELECT title, count(*) AS c FROM r GROUP BY title) WHERE c = 1) u USING (title)")
+@query(f"WITH {PAPERS_SQL}, r AS (SELECT title, venue, count(*) AS n FROM papers GROUP BY ALL) SELECT p.id FROM papers p JOIN (SELECT title FROM (SELECT title, count(*) AS c FROM r GROUP BY title) WHERE c = 1) u USING (title)")
 def exactly_one_match(spark: SparkSession, d: str) -> DataFrame:
     """Registry rows are accepted only where one candidate is left."""
     p = papers(spark, d)
-    lone = p.filter("method like 'P%' and year = 2003").select("title", "venue").distinct().groupBy("title").agg(F.count("*").alias("c")).filter("c = 1")
+    lone = p.select("title", "venue").distinct().groupBy("title").agg(F.count("*").alias("c")).filter("c = 1")
     return p.join(lone.select("title"), "title", "left_semi").select("id")
 
 
@@ -139,24 +139,47 @@ def ordered_union(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'inproceedings' AS kind, 'a' || p_partkey AS key, p_name || ' ' || p_brand AS title, 'Jane Doe;' || p_type || ' Roe' AS authors, '2030' AS year FROM part UNION ALL SELECT 'article', 'b' || p_partkey, 'Slow etudes', NULL, NULL FROM part")
 def bibtex_scan(spark: SparkSession, d: str) -> DataFrame:
     """Two entries for each part: nested braces, quotes, accents, fields over several lines."""
-    n = F.col("p_partkey").cast("string")
-    text = F.concat(
-        F.lit("% a comment\n@inproceedings{a"), n, F.lit(",\n title = {"), F.col("p_name"), F.lit(" {"), F.col("p_brand"), F.lit("}},\n author = {Doe, Jane and Roe,\n   "), F.col("p_type"), F.lit("},\n year = 2030\n}\n@article{b"), n, F.lit(", title = \"Slow \\'etudes\", doi={10.1/x}}\n"),
-    )
-    rows = parsers.bibtex(table(spark, d, "part").select(text.alias("text")))
+    rows = parsers.bibtex(table(spark, d, "part").select(_bib_text()))
     f = F.col("fields")
     return rows.select("kind", "key", T.latex_text(f["title"]).alias("title"), F.array_join(parsers.author_names(f["author"]), ";").alias("authors"), f["year"].alias("year"))
 
 
+def _bib_text() -> Column:
+    n = F.col("p_partkey").cast("string")
+    return F.concat(
+        F.lit("% a comment\n@inproceedings{a"), n, F.lit(",\n title = {"), F.col("p_name"), F.lit(" {"), F.col("p_brand"), F.lit("}},\n author = {Doe, Jane and Roe,\n   "), F.col("p_type"), F.lit("},\n year = 2030\n}\n@article{b"), n, F.lit(", title = \"Slow \\'etudes\", doi={10.1/x}}\n"),
+    ).alias("text")
+
+
 @query("SELECT c_custkey AS toc, 0::BIGINT AS ord, 'On ' || c_mktsegment || ' Sets' AS title, 'Ann & Co|' || c_name AS authors, 2000 + c_nationkey AS year FROM customer UNION ALL SELECT c_custkey, 1, 'Second', '', NULL FROM customer")
 def xml_toc_scan(spark: SparkSession, d: str) -> DataFrame:
-    xml = F.concat(
-        F.lit("<toc><article key='x'><author>Ann &amp; Co</author><author>"), F.col("c_name"), F.lit("</author><title>On <i>"), F.col("c_mktsegment"), F.lit("</i>\n Sets</title><year>"), (2000 + F.col("c_nationkey")).cast("string"), F.lit("</year></article>\n<article><title>Second</title><year>bad</year></article></toc>"),
-    )
-    out = parsers.toc_papers(table(spark, d, "customer").select(F.col("c_custkey").alias("toc"), xml.alias("xml")), "toc")
+    out = parsers.toc_papers(table(spark, d, "customer").select(F.col("c_custkey").alias("toc"), _toc_text()), "toc")
     return out.select("toc", "ord", "title", F.array_join("authors", "|").alias("authors"), "year")
 
 
+def _toc_text() -> Column:
+    return F.concat(
+        F.lit("<toc><article key='x'><author>Ann &amp; Co</author><author>"), F.col("c_name"), F.lit("</author><title>On <i>"), F.col("c_mktsegment"), F.lit("</i>\n Sets</title><year>"), (2000 + F.col("c_nationkey")).cast("string"), F.lit("</year></article>\n<article><title>Second</title><year>bad</year></article></toc>"),
+    ).alias("xml")
+
+
+@query("SELECT 'inproceedings' AS kind, 'a' || p_partkey AS key, p_name || ' ' || p_brand AS title, 'Jane Doe;' || p_type || ' Roe' AS authors, '2030' AS year FROM part UNION ALL SELECT 'article', 'b' || p_partkey, 'Slow etudes', NULL, NULL FROM part")
+def bibtex_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same entries out of .bib files, which many tasks read."""
+    path = staging.shared_path(spark, "bib")
+    table(spark, d, "part").select(_bib_text()).write.text(path)
+    rows, f = parsers.bibtex_files(spark, path), F.col("fields")
+    return rows.select("kind", "key", T.latex_text(f["title"]).alias("title"), F.array_join(parsers.author_names(f["author"]), ";").alias("authors"), f["year"].alias("year"))
+
+
+@query("SELECT 'On ' || c_mktsegment || ' Sets' AS title, 'Ann & Co|' || c_name AS authors, 2000 + c_nationkey AS year FROM customer UNION ALL SELECT 'Second', '', NULL FROM customer")
+def xml_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The records of XML index files, which many tasks read."""
+    path = staging.shared_path(spark, "toc")
+    table(spark, d, "customer").select(_toc_text()).write.text(path)
+    return parsers.toc_files(spark, path).select("title", F.array_join("authors", "|").alias("authors"), "year")
+
+
 @query("SELECT c_custkey AS page, c_name AS title, 'Due 1 June 2030' AS status FROM customer UNION ALL SELECT c_custkey, 'Beta 2030', CASE WHEN c_custkey % 2 = 0 THEN 'Open' ELSE 'Due 12 March 2030' END FROM customer")
 def directory_text_scan(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Home\nOld Venue\nDue 1 May\nOpen for Submissions\n"), F.col("c_name"), F.lit("\nOpen\nBeta 2030\n"), F.when(F.col("c_custkey") % 2 == 0, "Open").otherwise("Due 12 March 2030"), F.lit("\n\n"), F.col("c_name"), F.lit("\nDue 1 June 2030\n"))

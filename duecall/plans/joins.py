@@ -62,17 +62,16 @@ def acronym_in_id(spark: SparkSession, d: str) -> DataFrame:
     return lookup.token_in_id(acronyms, "brand", ids, "id").select("brand", "id")
 
 
-@query("""WITH w AS (SELECT p_brand AS b, p_name AS m, p_partkey AS ord FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT max(p_partkey) FROM part GROUP BY p_brand)),
-h AS (SELECT a.b, a.n, w.m, len(list_intersect(string_split(a.n, ' '), string_split(w.m, ' '))) / 2::DOUBLE AS s FROM (SELECT DISTINCT p_brand AS b, p_name AS n FROM part) a JOIN w ON a.b = w.b)
-SELECT b AS brand, n AS name, any_value(m) AS matched, any_value(s) AS score FROM h WHERE s >= 0.5 GROUP BY b, n HAVING count(*) = 1""")
+@query("""WITH w AS (SELECT p_partkey // 6 AS b, p_name AS m, p_partkey AS ord FROM part),
+h AS (SELECT a.id, a.n, w.m, len(list_intersect(list_distinct(string_split(a.n, ' ')), list_distinct(string_split(w.m, ' ')))) / least(len(list_distinct(string_split(a.n, ' '))), len(list_distinct(string_split(w.m, ' '))))::DOUBLE AS s FROM (SELECT p_partkey AS id, (p_partkey + 3) // 6 AS b, p_name AS n FROM part) a JOIN w ON a.b = w.b)
+SELECT id, n AS name, any_value(m) AS matched, any_value(s) AS score FROM h WHERE s >= 0.5 GROUP BY id, n HAVING count(*) = 1""")
 def lone_overlap_match(spark: SparkSession, d: str) -> DataFrame:
-    """The registry row of the same acronym whose name overlaps enough, if there is exactly one; generic words don't count."""
-    p = table(spark, d, "part")
+    """The registry row of the same acronym whose name overlaps enough, if there is exactly one; generic words don't count. All parts are the registry, six to an acronym."""
+    p, n = table(spark, d, "part"), F.col("p_partkey")
     words = lambda c: F.array_distinct(T.tokens(T.name_text(F.concat(F.lit("International Conference on "), c)), 2, digits=True, stop=lookup.GENERIC))
-    ends = p.groupBy("p_brand").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("z")).select(F.explode(F.array_distinct(F.array("a", "z"))).alias("ord"))
-    registry = p.join(ends, F.col("p_partkey") == F.col("ord")).select("ord", F.col("p_brand").alias("brand"), F.col("p_name").alias("matched"), words(F.col("p_name")).alias("v"))
-    names = p.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct().withColumns({"_k": F.concat_ws("|", "brand", "name"), "u": words(F.col("name"))})
-    return lookup.best_match(names, registry, "_k", ["brand"], T.overlap(F.col("u"), F.col("v")), 0.5, "ord", alone=True).select("brand", "name", "matched", "score")
+    registry = p.select(n.alias("ord"), F.floor(n / 6).alias("acronym"), F.col("p_name").alias("matched"), words(F.col("p_name")).alias("v"))
+    names = p.select(n.alias("id"), F.floor((n + 3) / 6).alias("acronym"), F.col("p_name").alias("name"), words(F.col("p_name")).alias("u"))
+    return lookup.best_match(names, registry, "id", ["acronym"], T.overlap(F.col("u"), F.col("v")), 0.5, "ord", alone=True).select("id", "name", "matched", "score")
 
 
 @query("""WITH w AS (SELECT s_suppkey AS ord, 'brand' || (11 + s_suppkey % 50) AS a, 'name ' || s_suppkey AS n, s_nationkey AS field FROM supplier), r AS (SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS a, 'name ' || p_partkey % 300 AS n FROM part),
@@ -98,11 +97,11 @@ def directory_html(spark: SparkSession, d: str) -> DataFrame:
     return parsers.directory_html(pages, "page", "Open for Submissions")
 
 
-@query(f"""WITH {CALLS_SQL}, b AS (SELECT *, type || venue AS k FROM calls WHERE type = 'special-issue' AND id % 5 <> 1 AND status <> 'closed' AND NOT (source = 'seed' AND NOT official) AND (coalesce(expires_at, deadline) > TIMESTAMP '1998-06-01' OR (expires_at IS NULL AND deadline IS NULL AND (rolling OR deadline_tbd)))),
+@query(f"""WITH {CALLS_SQL}, b AS (SELECT *, type || venue AS k FROM calls WHERE type = 'special-issue' AND status <> 'closed' AND NOT (source = 'seed' AND NOT official) AND (coalesce(expires_at, deadline) > TIMESTAMP '1998-06-01' OR (expires_at IS NULL AND deadline IS NULL AND (rolling OR deadline_tbd)))),
 u AS (SELECT min(id) AS id, strftime(deadline, '%Y-%m-%d %H:%M:%S') AS dl, k FROM b GROUP BY ALL) SELECT id, 'https://host.org/' || id AS url FROM u WHERE id % 7 <> 0""")
 def secondary_store_scan(spark: SparkSession, d: str) -> DataFrame:
     """One store's calls: open ones, each call once, safe URLs only, rows without one dropped, soonest first."""
-    rows = calls(spark, d).filter((F.col("type") == "special-issue") & (F.col("id") % 5 != 1))
+    rows = calls(spark, d).filter(F.col("type") == "special-issue")
     url = F.when(F.col("id") % 7 == 0, "javascript:x").otherwise(F.concat(F.lit("HTTPS://host.org/"), F.col("id").cast("string")))
     rows = life.judged(rows, "1998-06-01 00:00:00").filter("active").withColumns({"url": url, "name": F.concat(F.lit("Venue "), F.col("venue").cast("string"))})
     rows = rows.withColumn("key", merge.identity_key(F.col("type"), F.col("name"), F.lit(None).cast("string"), F.col("deadline"), F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecall.functions import text as T
@@ -38,17 +38,18 @@ def ordered_child_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
-    """A catalogue of bounded size: each brand's first and last part, of equal or different rank."""
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("z"))
-    rank = F.get(F.array(*map(F.lit, ["A*", "A", "B", "C", "Australasian B", "National: USA"])), (F.col("ord") % 6).cast("int"))
-    keys = p.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("ord"))
-    rows = table(spark, d, "part").join(keys, F.col("p_partkey") == F.col("ord"))
-    return rows.select("ord", F.concat(F.substring("p_brand", 1, 8), F.lit(" 2001")).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"), F.when(F.col("ord") % 2 == 0, F.concat(F.lit("/rank/"), F.col("ord").cast("string"))).alias("path"))
+    """All parts as a catalogue: six share an acronym, with equal or different ranks."""
+    n = F.col("p_partkey")
+    rank = F.get(F.array(*map(F.lit, ["A*", "A", "B", "C", "Australasian B", "National: USA"])), (F.floor(n / 4) % 6).cast("int"))
+    return table(spark, d, "part").select(n.alias("ord"), _acronym(n).alias("acronym"), F.concat(F.col("p_name"), F.lit(" 2001")).alias("title"), rank.alias("rank"), F.lit("catalogue").alias("source"), F.when(n % 2 == 0, F.concat(F.lit("/rank/"), n.cast("string"))).alias("path"))
 
 
-_RANK = """r0 AS (SELECT p_partkey AS ord, substr(p_brand, 1, 8) AS acronym, p_name AS title, CASE p_partkey % 6 WHEN 0 THEN 'A*' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'Australasian B' ELSE 'National: USA' END AS rank FROM part
-  WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT max(p_partkey) FROM part GROUP BY p_brand)),
-r AS (SELECT *, regexp_replace(lower(acronym), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3)) AS t, CASE WHEN rank IN ('A*','A','B','C') THEN rank WHEN rank = 'Australasian B' THEN 'B' ELSE 'unranked' END AS g FROM r0)"""
+def _acronym(n: Column) -> Column:
+    return F.concat(F.lit("Ac-"), F.floor(n / 6).cast("string"), F.lit(" 2001"))
+
+
+_RANK = """r0 AS (SELECT p_partkey AS ord, 'ac' || p_partkey // 6 AS a, p_name AS title, ['A*', 'A', 'B', 'C', 'Australasian B', 'National: USA'][p_partkey // 4 % 6 + 1] AS rank FROM part),
+r AS (SELECT *, list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3)) AS t, CASE WHEN rank IN ('A*','A','B','C') THEN rank WHEN rank = 'Australasian B' THEN 'B' ELSE 'unranked' END AS g FROM r0)"""
 
 
 @query("WITH " + _RANK + " SELECT g AS rank_group, count(*) AS n FROM r GROUP BY g")
@@ -56,13 +57,13 @@ def rank_group_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _rankings(spark, d).groupBy(lookup.rank_group(F.col("rank")).alias("rank_group")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _RANK + """, c AS (SELECT p_partkey AS id, regexp_replace(lower(substr(p_brand, 1, 8)), '[^a-z0-9]', '', 'g') AS a, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t, p_size % 3 = 0 AS journal FROM part),
+@query("WITH " + _RANK + """, c AS (SELECT p_partkey AS id, 'ac' || (p_partkey + 3) // 6 AS a, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t, p_size % 3 = 0 AS journal FROM part),
 h AS (SELECT c.id, r.ord, r.rank, r.g, CASE WHEN len(list_distinct(list_concat(c.t, r.t))) = 0 THEN 0 ELSE len(list_intersect(c.t, r.t)) / len(list_distinct(list_concat(c.t, r.t)))::DOUBLE END AS s FROM c JOIN r ON c.a = r.a AND NOT journal),
 k AS (SELECT *, max(s) OVER (PARTITION BY id) AS top FROM h), j AS (SELECT id, count(*) FILTER (s = top) AS n, arg_min(rank, ord) FILTER (s = top) AS raw, arg_min(g, ord) FILTER (s = top) AS g, min(ord) FILTER (s = top) AS o, count(DISTINCT g) AS gs FROM k GROUP BY id)
 SELECT c.id, CASE WHEN n = 1 OR gs = 1 THEN g END AS rank, CASE WHEN n = 1 OR gs = 1 THEN raw END AS rank_raw, CASE WHEN (n = 1 OR gs = 1) AND o % 2 = 0 THEN 'https://ranks.org/rank/' || o END AS rank_url FROM c LEFT JOIN j USING (id)""")
 def rank_lookup_ties(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "journal").when(F.col("p_size") % 3 == 1, "conference")
-    calls = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_brand", 1, 8), F.lit(" 2030")).alias("acronym"), F.col("p_name").alias("title"), kind.alias("type"))
+    calls = table(spark, d, "part").select(F.col("p_partkey").alias("id"), _acronym(F.col("p_partkey") + 3).alias("acronym"), F.col("p_name").alias("title"), kind.alias("type"))
     return lookup.ranked(calls, _rankings(spark, d), "id", "acronym", "title", "type", site="https://ranks.org").select("id", "rank", "rank_raw", "rank_url")
 
 
@@ -182,13 +183,13 @@ def keep_last(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
 
 
-@query(f"""WITH {PAPERS_SQL}, e AS (SELECT id, year FROM papers WHERE id % 3 = 0), x AS (SELECT '10.5555/' || (id % 900) AS doi, id AS rank, list_transform(range(1, 6), lambda i: 't' || id * i % 5) AS topics FROM papers WHERE id % 2 = 0), l AS (SELECT doi, arg_max(topics, rank) AS topics FROM x GROUP BY doi) SELECT e.id, e.year, array_to_string(l.topics, ',') AS topics FROM e LEFT JOIN l ON l.doi = '10.5555/' || e.id""")
+@query(f"""WITH {PAPERS_SQL}, e AS (SELECT id, year FROM papers), x AS (SELECT '10.5555/' || (id % 900) AS doi, id AS rank, list_transform(range(1, 6), lambda i: 't' || id * i % 5) AS topics FROM papers), l AS (SELECT doi, arg_max(topics, rank) AS topics FROM x GROUP BY doi) SELECT e.id, e.year, array_to_string(l.topics, ',') AS topics FROM e LEFT JOIN l ON l.doi = '10.5555/' || e.id""")
 def enrich_last_wins(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d)
     tag = lambda c: T.doi(F.concat(F.lit("https://doi.org/10.5555/"), c.cast("string")))
-    extra = p.filter("id % 2 = 0").select(tag(F.col("id") % 900).alias("doi"), F.col("id").alias("rank"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("t"), (F.col("id") * i % 5).cast("string"))).alias("topics"))
+    extra = p.select(tag(F.col("id") % 900).alias("doi"), F.col("id").alias("rank"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("t"), (F.col("id") * i % 5).cast("string"))).alias("topics"))
     last = extra.groupBy("doi").agg(F.slice(F.max_by("topics", "rank"), 1, 5).alias("topics"))
-    return p.filter("id % 3 = 0").select("id", "year", tag(F.col("id")).alias("doi")).join(last, "doi", "left").select("id", "year", F.array_join("topics", ",").alias("topics"))
+    return p.select("id", "year", tag(F.col("id")).alias("doi")).join(last, "doi", "left").select("id", "year", F.array_join("topics", ",").alias("topics"))
 
 
 @query("SELECT p_brand AS venue, min(p_name) AS sample, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS kinds, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")

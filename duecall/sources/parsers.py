@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecall.functions import dates
@@ -75,6 +75,28 @@ def toc_papers(pages: DataFrame, key: str) -> DataFrame:
     return records.select(key, F.col("ord").cast("long"), one("title").alias("title"), authors.alias("authors"), one("year").try_cast("int").alias("year"))
 
 
+def records(spark: SparkSession, path: str, starts: str | None = None, ends: str | None = None) -> DataFrame:
+    """(record, file): the records of text files, cut where one starts or after one ends. The cut is the reader's own
+    record separator, so one large file is read by many tasks."""
+    rows = spark.read.option("lineSep", starts or ends).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"))
+    if ends:
+        return rows.withColumn("record", F.concat("record", F.lit(ends)))
+    head = starts.lstrip("\n")
+    return rows.withColumn("record", F.when(F.col("record").startswith(head), F.col("record")).otherwise(F.concat(F.lit(head), "record")))
+
+
+def bibtex_files(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, key, fields map) of the entries of .bib files, which begin at a line's start. What stands before a file's first
+    entry is passed over, unless it reads as an entry itself but for the sign."""
+    return bibtex(records(spark, path, starts="\n@").select(F.col("record").alias("text")))
+
+
+def toc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, title, authors, year) of the <article> records of XML index files; a last one that isn't closed has what it holds."""
+    whole = records(spark, path, ends="</article>").filter(F.col("record").rlike(r"<article[\s>]"))
+    return toc_papers(whole.select("file", F.col("record").alias("xml")), "file").drop("ord")
+
+
 def directory_text(pages: DataFrame, key: str, marker: str) -> DataFrame:
     """(key, title, status) of a directory as text: below the marker, a title line and the status line after it; dated ones before open ones, one for each title."""
     lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("i", "line"))
