@@ -18,30 +18,34 @@ PAPER_STOP_WORDS = "a an and are at for from in is of on or the to with".split()
 
 
 def _decomposed() -> tuple[str, str, dict[str, str]]:
-    """Characters of the basic plane whose compatibility decomposition without accents is ASCII: single letters, and ligatures."""
+    """Of all characters whose compatibility decomposition without accents has ASCII in it: those of one letter, and
+    those of more, as ligatures, numerals, units and fractions are."""
     one, many = {}, {}
-    for k in range(0xA0, 0x10000):
+    for k in (*range(0xA0, 0xD800), *range(0xE000, 0x20000)):  # no later plane has any
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not "\u0300" <= c <= "\u036f")
-        if plain != chr(k) and plain.isascii() and plain.isalnum():
-            if len(plain) == 1:
-                one[chr(k)] = plain
-            elif plain.isalpha() and unicodedata.category(chr(k)) in ("Ll", "Lu", "Lt"):
-                many[chr(k)] = plain
+        if plain != chr(k) and any(c.isascii() and c.isprintable() for c in plain):
+            (one if len(plain) == 1 else many)[chr(k)] = plain
     return "".join(one), "".join(one.values()), many
 
 
-_FROM, _TO, _LIGATURES = _decomposed()
+_FROM, _TO, _LONG = _decomposed()
+#: Characters that become several, as a pattern and as one text of pairs; none of them holds the two marks.
+_LONG_PATTERN = "[" + "".join(_LONG) + "]"
+_PAIRS = "\u0001".join(f"{k}\u0002{v}" for k, v in _LONG.items())
 
 
 def folded(text: Column | str) -> Column:
-    """Compatibility-decomposed, without accents: Latin letters, digits and ligatures; other scripts lose combining marks only."""
+    """Compatibility-decomposed, without accents, as far as the result has ASCII in it; other scripts lose combining marks only."""
     text = F.col(text) if isinstance(text, str) else text
-    out = F.regexp_replace(F.translate(text, _FROM, _TO), "[\u0300-\u036f]", "")
-    ligatures = text
-    for old, new in _LIGATURES.items():
-        ligatures = F.replace(ligatures, F.lit(old), F.lit(new))
-    plain = F.regexp_replace(F.translate(ligatures, _FROM, _TO), "[\u0300-\u036f]", "")
-    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(f"[{''.join(_LIGATURES)}]"), plain).otherwise(out)
+    plain = lambda c: F.regexp_replace(F.translate(c, _FROM, _TO), "[\u0300-\u036f]", "")
+    table = F.str_to_map(F.lit(_PAIRS), F.lit("\u0001"), F.lit("\u0002"))
+
+    def longer(t: Column) -> Column:
+        """The few texts with characters that become several, taken apart at these."""
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_LONG_PATTERN), F.lit(0)))
+        return F.reduce(found, t, lambda done, c: F.replace(done, c, F.element_at(table, c)))
+
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(_LONG_PATTERN), plain(longer(text))).otherwise(plain(text))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
