@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecall.functions import text as T
+from duecall.operators import catalogue, lookup, upserts
 from duecall.operators import lifecycle as life
-from duecall.operators import lookup, upserts
 from duecall.plans.rules import DOMAINS
 from duecall.sources.sinks import counted
 from duecall.sources.staging import shared_path
-from duecall.sources.tables import CALLS_SQL, NOW, calls
+from duecall.sources.tables import CALLS_SQL, NOW, calls, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -190,3 +190,42 @@ def sync_counters(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([tuple(seen[k] for k in ("written", "open_calls", "conferences", "undated", "newest"))], "written long, open_calls long, conferences long, undated long, newest timestamp_ntz")
     at = F.lit("2001-08-02").cast("timestamp_ntz")
     return rows.withColumn("fresh", F.col("newest").between(at - F.expr("INTERVAL 60 DAYS"), at + F.expr("INTERVAL 5 MINUTES")))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_partkey // 6 AS a, ['workshop', 'conference', 'journal'][p_partkey % 3 + 1] AS type, lower(p_name) AS name, CASE WHEN p_partkey // 6 % 9 <> 0 THEN TIMESTAMP '1998-06-01' + INTERVAL 1 DAY * (p_partkey // 6 % 40 - 12) END AS dl, p_partkey % 17 = 0 AS closed, CASE WHEN p_partkey % 5 = 0 THEN 'g' || p_partkey END AS gid,
+ CASE p_partkey % 4 WHEN 1 THEN 'https://a.org/call-for-workshops/' || p_partkey % 50 WHEN 3 THEN 'https://b.org/' || lower(p_mfgr) END AS cfp, 'https://u.org/' || p_partkey % 9 AS url, p_partkey % 2 = 0 AS off FROM (SELECT *, p_brand AS p_mfgr FROM part) WHERE p_partkey % 23 <> 0),
+l AS (SELECT 'g' || s_suppkey * 10 AS gid, s_suppkey AS k, TIMESTAMP '1998-05-25' + INTERVAL 1 DAY * (s_suppkey % 30) AS dl, 'https://live.org/' || s_suppkey AS url FROM supplier WHERE TIMESTAMP '1998-05-25' + INTERVAL 1 DAY * (s_suppkey % 30) > TIMESTAMP '1998-06-01'),
+m AS (SELECT s.id, s.a, s.type, s.name, coalesce(l.dl, s.dl) AS dl, closed, cfp, coalesce(l.url, s.url) AS url, off, id % 6 = 0 OR l.gid IS NOT NULL AS mir FROM s LEFT JOIN l USING (gid)
+ UNION ALL SELECT -k, NULL, 'conference', 'live ' || gid, dl, false, NULL, url, true, true FROM l WHERE gid NOT IN (SELECT gid FROM s WHERE gid IS NOT NULL)),
+o AS (SELECT m.*, CASE WHEN type = 'conference' THEN g END AS rank, type || '|' || CASE WHEN a IS NOT NULL AND NOT mir THEN 'a' || a ELSE 'n' || name END || '|' || coalesce(dl::VARCHAR, CASE WHEN type = 'journal' THEN 'rolling' ELSE 'undated' END) AS key FROM m
+ LEFT JOIN (SELECT c_custkey // 2 AS a, min(['A*', 'A', 'B', 'C', 'B', 'unranked'][c_custkey // 4 % 6 + 1]) AS g FROM customer GROUP BY 1) r USING (a) WHERE NOT closed AND (dl > TIMESTAMP '1998-06-01' OR (dl IS NULL AND type = 'journal'))),
+f AS (SELECT list_reduce(list({id: id, a: a, type: type, dl: dl, rank: rank, cfp: cfp, raw: CASE WHEN id > 0 AND id % 4 = 0 THEN 'x' ELSE cfp END, url: url, off: off, n: 1} ORDER BY id),
+ lambda x, y: CASE WHEN (y.raw IS NOT NULL)::INT + (y.url IS NOT NULL)::INT + 2 * y.off::INT > (x.raw IS NOT NULL)::INT + (x.url IS NOT NULL)::INT + 2 * x.off::INT
+  THEN {id: y.id, a: coalesce(y.a, x.a), type: y.type, dl: y.dl, rank: coalesce(y.rank, x.rank), cfp: CASE WHEN y.raw IS NULL THEN x.cfp ELSE y.cfp END, raw: coalesce(y.raw, x.raw), url: coalesce(y.url, x.url), off: y.off, n: x.n + y.n}
+  ELSE {id: x.id, a: coalesce(x.a, y.a), type: x.type, dl: x.dl, rank: coalesce(x.rank, y.rank), cfp: CASE WHEN x.raw IS NULL THEN y.cfp ELSE x.cfp END, raw: coalesce(x.raw, y.raw), url: coalesce(x.url, y.url), off: x.off, n: x.n + y.n} END) AS x FROM o GROUP BY key),
+u AS (SELECT x.id, x.type, x.dl AS deadline, x.rank, x.n::BIGINT AS n_merged, x.a, CASE WHEN x.cfp IS NULL OR (x.type = 'workshop' AND contains(x.cfp, 'call-for-workshops')) THEN x.url ELSE x.cfp END AS resolved_url FROM f),
+c AS (SELECT resolved_url, count(*) AS n FROM u WHERE type = 'workshop' GROUP BY 1)
+SELECT u.id, u.type, deadline, rank, n_merged, 'v' || s_suppkey AS venue, CASE WHEN s_suppkey IS NOT NULL THEN (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) END AS papers, u.resolved_url, CASE WHEN u.type = 'workshop' AND c.n > 2 THEN 'workshop-directory' ELSE u.type END AS link_kind
+FROM u LEFT JOIN supplier ON s_suppkey = u.a LEFT JOIN c USING (resolved_url)""")
+def catalogue_read(spark: SparkSession, d: str) -> DataFrame:
+    """The whole read path: parts as the store, suppliers as live groups and as venues, customers as the rankings."""
+    p, n = table(spark, d, "part"), F.col("p_partkey")
+    six, text = F.floor(n / 6), n.cast("string")
+    pick = lambda k, *xs: F.get(F.array(*(F.lit(x) if x is None or isinstance(x, str) else x for x in xs)), (k % len(xs)).cast("int"))
+    at = lambda day, k: F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(k.cast("int"))
+    store = p.select(
+        n.alias("id"), pick(n, "workshop", "conference", "journal").alias("type"), F.col("p_name").alias("name"), F.concat(F.lit("Ac-"), six.cast("string"), F.lit(" 2001")).alias("acronym"),
+        F.when(six % 9 != 0, at("1998-06-01", six % 40 - 12)).alias("deadline"), F.lit(False).alias("rolling"), F.when(n % 17 == 0, "closed").otherwise("open").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(False).alias("deadline_tbd"),
+        F.lit("agent").alias("source"), (n % 2 == 0).alias("official"), pick(n, F.lit("javascript:x"), F.concat(F.lit("HTTPS://A.org/call-for-workshops/"), (n % 50).cast("string")), F.lit(None).cast("string"), F.concat(F.lit("https://b.org/"), F.lower("p_brand"))).alias("cfp_url"),
+        F.concat(F.lit("https://u.org/"), (n % 9).cast("string")).alias("url"), (n % 6 == 0).alias("mirrored"), F.when(n % 5 == 0, F.concat(F.lit("g"), text)).alias("group_id"), F.concat(F.lit("t"), text).alias("title_key"), F.lit(2001).alias("year"), F.lit(False).alias("from_live"), (n % 23 == 0).alias("organizer"),
+    )
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    gid = F.concat(F.lit("g"), (k * 10).cast("string"))
+    live = s.select(gid.alias("group_id"), F.concat(F.lit("live"), k.cast("string")).alias("title_key"), F.lit("").alias("acronym"), F.lit(2001).alias("year"), F.concat(F.lit("Live "), gid).alias("name"), at("1998-05-25", k % 30).alias("deadline"), F.concat(F.lit("https://live.org/"), k.cast("string")).alias("url"))
+    c = F.col("c_custkey")
+    ranks = table(spark, d, "customer").select(c.alias("ord"), F.concat(F.lit("AC"), F.floor(c / 2).cast("string")).alias("acronym"), F.col("c_name").alias("title"), pick(F.floor(c / 4), "A*", "A", "B", "C", "Australasian B", "National: USA").alias("rank"), F.lit("catalogue").alias("source"))
+    keys = s.select(F.concat(F.lit("v"), k.cast("string")).alias("venue"), k.alias("venue_ord"), F.lit("acronym").alias("kind"), F.concat(F.lit("ac"), k.cast("string")).alias("value"))
+    papers = table(spark, d, "lineitem").groupBy(F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("venue")).agg(F.count("*").alias("papers"))
+    papers = s.select(F.concat(F.lit("v"), k.cast("string")).alias("venue")).join(papers, "venue", "left").select("venue", F.coalesce("papers", F.lit(0)).alias("papers"))
+    out = catalogue.active_calls(store, live, ranks, keys, papers, NOW, ["call-for-workshops"], lambda g: -(F.substring(g, 2, 20).cast("long") / 10).cast("long"))
+    return out.select("id", "type", "deadline", "rank", "n_merged", "venue", "papers", "resolved_url", "link_kind")
