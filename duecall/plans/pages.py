@@ -287,5 +287,8 @@ def client_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH a AS (SELECT o_custkey AS id, list(o_orderpriority ORDER BY o_orderkey) AS a FROM orders GROUP BY 1) SELECT id, CASE WHEN len(a) <= 3 THEN array_to_string(a, ', ') ELSE array_to_string(a[1:3], ', ') || ' et al.' END AS shown FROM a")
 def author_display(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("a"))
+    """The first three authors, and whether there are more: no more than four of a list are gathered."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_orderpriority")
+    four = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").withColumn("n", F.row_number().over(by)).filter("n <= 4")
+    a = four.groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("a"))
     return a.select("id", F.when(F.size("a") <= 3, F.array_join("a", ", ")).otherwise(F.concat(F.array_join(F.slice("a", 1, 3), ", "), F.lit(" et al."))).alias("shown"))
