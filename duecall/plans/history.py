@@ -67,12 +67,13 @@ def earliest_open_invitation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("user_id")).select(F.col("c_custkey").alias("id"), "due")
 
 
-@query(f"WITH {PAPERS_SQL}, r AS (SELECT title, venue, count(*) AS n FROM papers GROUP BY ALL) SELECT p.id FROM papers p JOIN (SELECT title FROM (SELECT title, count(*) AS c FROM r GROUP BY title) WHERE c = 1) u USING (title)")
+@query(f"WITH {PAPERS_SQL}, r AS (SELECT DISTINCT title, year, method, venue FROM papers) SELECT p.id FROM papers p JOIN (SELECT title, year, method FROM r GROUP BY ALL HAVING count(*) = 1) u USING (title, year, method)")
 def exactly_one_match(spark: SparkSession, d: str) -> DataFrame:
     """Registry rows are accepted only where one candidate is left."""
     p = papers(spark, d)
-    lone = p.select("title", "venue").distinct().groupBy("title").agg(F.count("*").alias("c")).filter("c = 1")
-    return p.join(lone.select("title"), "title", "left_semi").select("id")
+    same = ["title", "year", "method"]
+    lone = p.select(*same, "venue").distinct().groupBy(*same).agg(F.count("*").alias("c")).filter("c = 1")
+    return p.join(lone, same, "left_semi").select("id")
 
 
 @query("""SELECT event_id AS id, k AS origin FROM (SELECT event_id, 0 AS p, 'pending' AS k, event_id % 500 AS u FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 1, 'fresh', event_id % 500 FROM events WHERE event_type = 'signup') QUALIFY row_number() OVER (PARTITION BY u ORDER BY p, event_id) = 1""")
@@ -85,12 +86,12 @@ def replay_pending_first(spark: SparkSession, d: str) -> DataFrame:
     return upserts.first_by(both, ["url"], "p", "id").select("id", "origin")
 
 
-@query("""WITH r AS (SELECT p_partkey AS k, p_brand AS title FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 = 0 AND p_size >= 40) SELECT min(k) AS id, title FROM r GROUP BY title HAVING count(*) = 1""")
+@query("""WITH r AS (SELECT p_partkey AS k, p_brand || ' ' || p_partkey // 300 AS title FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 = 0 AND p_size >= 40) SELECT min(k) AS id, title FROM r GROUP BY title HAVING count(*) = 1""")
 def registry_accepted(spark: SparkSession, d: str) -> DataFrame:
     """Registry rows are accepted where title, publisher family, ISSN and number of DOIs fit, and exactly one row does."""
-    p, n = table(spark, d, "part"), F.col("p_size")
-    venues = p.select(T.name_text(F.col("p_brand")).alias("t"), F.col("p_brand").alias("title")).distinct()
-    rows = p.select(F.col("p_partkey").alias("id"), T.name_text(F.concat(F.upper("p_brand"), F.lit(" "))).alias("t"), F.when(F.col("p_partkey") % 3 == 0, "Springer Nature").otherwise("Other Press").alias("publisher"), T.issn(F.when(n % 2 == 0, "0028-0836").otherwise("0028-0837")).alias("issn"), n.alias("dois"))
+    p, n = table(spark, d, "part").withColumn("title", F.concat(F.col("p_brand"), F.lit(" "), F.floor(F.col("p_partkey") / 300).cast("string"))), F.col("p_size")
+    venues = p.select(T.name_text(F.col("title")).alias("t"), "title").distinct()
+    rows = p.select(F.col("p_partkey").alias("id"), T.name_text(F.concat(F.upper("title"), F.lit(" "))).alias("t"), F.when(F.col("p_partkey") % 3 == 0, "Springer Nature").otherwise("Other Press").alias("publisher"), T.issn(F.when(n % 2 == 0, "0028-0836").otherwise("0028-0837")).alias("issn"), n.alias("dois"))
     fit = rows.filter(F.lower("publisher").contains("springer") & F.col("issn").isNotNull() & (F.col("dois") >= 40)).join(venues, "t")
     return fit.groupBy("title").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", "title")
 
