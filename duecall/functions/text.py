@@ -29,23 +29,22 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 
 
 _FROM, _TO, _LONG = _decomposed()
-#: Characters that become several, as a pattern and as one text of pairs; none of them holds the two marks.
-_LONG_PATTERN = "[" + "".join(_LONG) + "]"
+#: Characters that become several, and pairs of them and what they become, each as one text; none holds the two marks.
+_KEYS = "\u0001".join(_LONG)
 _PAIRS = "\u0001".join(f"{k}\u0002{v}" for k, v in _LONG.items())
 
 
 def folded(text: Column | str) -> Column:
-    """Compatibility-decomposed, without accents, as far as the result has ASCII in it; other scripts lose combining marks only."""
+    """Compatibility-decomposed, without accents, as far as the result has ASCII in it; other scripts lose combining marks only.
+
+    Of a text that isn't ASCII its distinct other characters are looked up, so a text is read a few times, whatever the table's size."""
     text = F.col(text) if isinstance(text, str) else text
     plain = lambda c: F.regexp_replace(F.translate(c, _FROM, _TO), "[\u0300-\u036f]", "")
     table = F.str_to_map(F.lit(_PAIRS), F.lit("\u0001"), F.lit("\u0002"))
-
-    def longer(t: Column) -> Column:
-        """The few texts with characters that become several, taken apart at these."""
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_LONG_PATTERN), F.lit(0)))
-        return F.reduce(found, t, lambda done, c: F.replace(done, c, F.element_at(table, c)))
-
-    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(text.rlike(_LONG_PATTERN), plain(longer(text))).otherwise(plain(text))
+    other = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
+    longer = F.array_intersect(other, F.split(F.lit(_KEYS), "\u0001"))
+    apart = lambda found: F.when(F.size(found) > 0, F.reduce(found, text, lambda done, c: F.replace(done, c, F.element_at(table, c)))).otherwise(text)
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).otherwise(plain(let(longer, apart)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
