@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duecall.functions.text import let
 from duecall.operators.search import B, K1
 from duecall.sources.staging import shared_path, written
 
@@ -47,9 +48,10 @@ def build(rows: DataFrame, high: Column, body: Column, high_weight: float, path:
     """The index of rows with a column id; high and body are arrays of tokens, high counting high_weight times."""
     spark = rows.sparkSession
     path = path or shared_path(spark, "postings")
-    weighed = F.concat(F.transform(high, lambda t: F.struct(t.alias("term"), F.lit(float(high_weight)).alias("w"))), F.transform(body, lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))))
-    length = (high_weight * F.size(high) + F.size(body)).cast("double")
-    counts = rows.select("id", length.alias("len"), F.explode_outer(weighed).alias("x")).select("id", "len", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    one = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w")))
+    of = lambda x: F.struct((high_weight * F.size(x["h"]) + F.size(x["b"])).cast("double").alias("len"), F.concat(one(x["h"], high_weight), one(x["b"], 1)).alias("terms"))
+    taken = rows.select("id", let(F.struct(high.alias("h"), body.alias("b")), of).alias("x"))  # before the rows multiply
+    counts = taken.select("id", "x.len", F.explode_outer("x.terms").alias("t")).select("id", "len", "t.term", "t.w")
     counts = written(counts.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.max("len").alias("len")), "counts")
     stats = counts.groupBy("id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
     n, avg = stats.first()
