@@ -16,11 +16,11 @@ MODIFIERS = ["main track", "research track", "industry track", "demo track", "sh
 
 
 def identity_key(kind: Column, name: Column, acronym: Column, deadline: Column, mirrored: Column) -> Column:
-    """type|identity|deadline: the acronym where it tells calls apart, else the name."""
+    """type|identity|deadline: the acronym where it tells calls apart, else the name; of both only years from 2000 on go."""
     kind = F.coalesce(kind, F.lit("unknown"))
-    short = T.acronym(acronym)
+    short = T.acronym(acronym, "20")
     by_acronym = ~kind.isin(NAME_ONLY) & ~mirrored & (short != "") & ~short.isin(GENERIC)
-    ident = F.when(by_acronym, F.concat(F.lit("acronym:"), short)).otherwise(F.concat(F.lit("name:"), T.name_text(name, years=False)))
+    ident = F.when(by_acronym, F.concat(F.lit("acronym:"), short)).otherwise(F.concat(F.lit("name:"), T.name_text(name, years=False, centuries="20")))
     when = F.coalesce(F.date_format(deadline, "yyyy-MM-dd HH:mm:ss.SSS"), F.when(kind == "journal", "rolling").otherwise("undated"))
     return F.concat_ws("|", kind, ident, when)
 
