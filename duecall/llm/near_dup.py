@@ -21,7 +21,8 @@ without words the set is empty and linked with nothing. Two documents are linked
    are found. A large group of near copies thus takes a few pairs for each copy.
 5. The rest: in lists with more than one component, the classes outside the list's largest
    component are compared with those of other components, all of them; only pairs within
-   the parity bound are emitted, and confirmed likewise. No link between components is
+   the parity bound are emitted, and confirmed likewise. Near copies share most of their lists, so a class
+   carries the tokens of its long lists, and a pair is emitted in the first that it shares only. No link between components is
    lost; links within one need no pair.
 
 Nothing is capped or sampled. A null text is an empty one. Each row is a node of its own
@@ -48,6 +49,8 @@ COORDINATES, MATCHES = 32, 12
 BITS = 1024
 #: Sets of fewer shingles are linked with equal ones only: 4 of 5 is the first other way to 0.8.
 SMALLEST = 4
+#: In lists of so many classes a pair is emitted once, whatever the number of such lists that it shares.
+LONG_LIST = 64
 KEPT_WORDS = 1_000_000
 _A = np.array([xxhash.xxh64_intdigest(b"a%d" % k) | 1 for k in range(COORDINATES)], np.uint64)
 _B = np.array([xxhash.xxh64_intdigest(b"b%d" % k) for k in range(COORDINATES)], np.uint64)
@@ -218,6 +221,15 @@ def renamed(names: DataFrame, roots: DataFrame) -> DataFrame:
     return names.join(new, "component", "left").select(*rest, F.coalesce("new", "component").alias("component"))
 
 
+def met(left: DataFrame) -> DataFrame:
+    """The pairs (a, b) within the parity bound of classes of different components that share a list: once if they share a long one, and once for each short one."""
+    rest = left.filter("outer").drop("outer")
+    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("long").alias("long2"), F.col("outer").alias("outer2"))
+    fit = (F.col("component") != F.col("c2")) & (~F.col("outer2") | (F.col("component") < F.col("c2"))) & near(F.col("n"), F.col("n2"), F.col("parity"), F.col("p2"))
+    first = F.col("long").isNull() | (rest["token"] == F.array_min(F.array_intersect("long", "long2")))
+    return rest.join(other, (rest["token"] == other["token"]) & fit & first).select(*pair(F.col("key"), F.col("k2")))
+
+
 def grouped(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, tkey, n_shingles, component_id) of each row of docs (doc_id, text)."""
     rows = written(signed(docs, words), "signed")
@@ -234,15 +246,12 @@ def grouped(docs: DataFrame, words: int) -> DataFrame:
     named = lists.join(found, "key", "left").select("token", "key", F.coalesce("component", "key").alias("component"))
     named = written(named, "named")
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("m"))
-    open_lists = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.component").alias("top"))
-    left = named.join(written(open_lists, "open"), "token")
-    left = left.join(classes.select("key", "n", "parity"), "key").select("token", "key", "component", "n", "parity", (F.col("component") != F.col("top")).alias("outer"))
+    open_lists = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("rows")).filter("k > 1").select("token", F.col("top.component").alias("top"), "rows")
+    long = F.when(F.col("rows") >= LONG_LIST, F.col("token"))
+    left = named.join(written(open_lists, "open"), "token").withColumn("long", F.when(long.isNotNull(), F.collect_list(long).over(Window.partitionBy("key"))))
+    left = left.join(classes.select("key", "n", "parity"), "key").select("token", "key", "component", "n", "parity", "long", (F.col("component") != F.col("top")).alias("outer"))
     left = written(left, "left")
-    rest = left.filter("outer").drop("outer")
-    other = left.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("outer").alias("outer2"))
-    fit = (F.col("component") != F.col("c2")) & (~F.col("outer2") | (F.col("component") < F.col("c2"))) & near(F.col("n"), F.col("n2"), F.col("parity"), F.col("p2"))
-    met = rest.join(other, (rest["token"] == other["token"]) & fit)
-    cross = written(met.select(*pair(F.col("key"), F.col("k2"))).distinct(), "cross")
+    cross = written(met(left).distinct(), "cross")
     more = written(confirmed(written(likely(cross, classes), "cross_likely"), classes, docs, words), "cross_links")
     joined = None
     if not more.isEmpty():

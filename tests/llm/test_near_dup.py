@@ -67,3 +67,19 @@ def test_stage_and_empty_table(spark):
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["2", "9", "None"]
     assert near_dup.grouped(df.limit(0), 2).count() == 0
+
+
+def test_near_copies_meet_once(spark, monkeypatch):
+    """Two of a large group of near copies share most of their lists, but come out of the join once."""
+    rng, texts, counts, met = random.Random(7), [], [], near_dup.met
+    for _ in range(300):
+        words = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), rng.randint(2, 11)):
+            words[k] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_dup, "LONG_LIST", 2)
+    monkeypatch.setattr(near_dup, "met", lambda left: counts.append((met(left).count(), met(left).distinct().count())) or met(left))
+    got = near_dup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+    assert counts[0][0] == counts[0][1] > 0
